@@ -45,7 +45,7 @@ def _fast(df: DataFrame, value: str, order: list[str], series: list[str]) -> Dat
         y = pdf.sort_values(order)[value].to_numpy(dtype=float)
         half = len(y) // 2
         k = np.arange(half)
-        found = {name: [v] * half for name, v in zip(series, key)}
+        found = {name: np.full(half, v, dtype=object) for name, v in zip(series, key)}
         amplitude = 2.0 / len(y) * np.abs(np.fft.rfft(y)[:half])
         return pd.DataFrame(found | {"k": k.astype("int32"), "frequency": k / len(y), "amplitude": amplitude})
 
