@@ -13,20 +13,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slowtide.functions.text import (
-    bind,
-    count_spaced,
-    count_word,
-    entailment_score,
-    hypothesis,
-    softmax,
-    spaced_words,
-)
+from slowtide.functions.text import bind, entailment_score, hypothesis, softmax, words
 from slowtide.functions.vectors import norm, scale
 
 FLOATS = T.ArrayType(T.FloatType())
 
 
+def _model_udf(make_predict_fn: Callable, batch_size: int):
+    return predict_batch_udf(make_predict_fn, return_type=FLOATS, batch_size=batch_size).asNondeterministic()
+
+
 class Encoder(Protocol):
     def encode(self, text: Column) -> Column:
         """Vector (array of float) of a text; null for null."""
@@ -44,7 +40,7 @@ class BatchEncoder:
     """Sentence encoder: ``make_predict_fn`` returns a function from texts to an n × d array."""
 
     def __init__(self, make_predict_fn: Callable, batch_size: int = 1000):
-        self._predict = predict_batch_udf(make_predict_fn, return_type=FLOATS, batch_size=batch_size)
+        self._predict = _model_udf(make_predict_fn, batch_size)
 
     def encode(self, text: Column) -> Column:
         return F.when(text.isNotNull(), self._predict(F.coalesce(text, F.lit(""))))
@@ -54,7 +50,7 @@ class BatchClassifier:
     """Class probabilities: the model gives logits, the softmax is native."""
 
     def __init__(self, make_predict_fn: Callable, batch_size: int = 100):
-        self._logits = predict_batch_udf(make_predict_fn, return_type=FLOATS, batch_size=batch_size)
+        self._logits = _model_udf(make_predict_fn, batch_size)
 
     def encode(self, text: Column) -> Column:
         logits = self._logits(F.coalesce(text, F.lit(""))).cast("array<double>")
@@ -67,12 +63,13 @@ class BatchPairScorer:
     def __init__(
         self, make_predict_fn: Callable, entailment_index: int, contradiction_index: int, batch_size: int = 100
     ):
-        self._logits = predict_batch_udf(make_predict_fn, return_type=FLOATS, batch_size=batch_size)
+        self._logits = _model_udf(make_predict_fn, batch_size)
         self._entailment, self._contradiction = entailment_index, contradiction_index
 
     def score(self, text: Column, label: Column) -> Column:
         logits = self._logits(F.coalesce(text, F.lit("")), hypothesis(label))
-        fitted = entailment_score(F.get(logits, F.lit(self._entailment)), F.get(logits, F.lit(self._contradiction)))
+        pick = lambda l, i: F.get(l, F.lit(i))
+        fitted = bind(logits, lambda l: entailment_score(pick(l, self._entailment), pick(l, self._contradiction)))
         return F.when(text.isNotNull(), fitted)
 
     def scores(self, text: Column, labels: list[str]) -> Column:
@@ -86,46 +83,49 @@ class LexicalPairScorer:
     ``sharpness``·(1 − s) for contradiction.
     """
 
-    def __init__(self, words: dict[str, list[str]], sharpness: float = 4.0):
-        self._words, self._sharpness = words, sharpness
+    def __init__(self, lists: dict[str, list[str]], sharpness: float = 4.0):
+        self._lists, self._sharpness = lists, sharpness
+        self._listed = sorted({w for listed in lists.values() for w in listed})
 
-    def _fitted(self, spaced: Column, total: Column, label: str) -> Column:
-        hits = sum((count_word(spaced, w) for w in self._words[label]), F.lit(0.0))
+    def _fitted(self, hits: Column, total: Column, label: str) -> Column:
+        count = F.size(F.filter(hits, lambda w: w.isin(self._lists[label])))
         return bind(
-            hits / F.greatest(total, F.lit(1.0)),
+            count / F.greatest(total, F.lit(1)),
             lambda share: entailment_score(share * self._sharpness, (1 - share) * self._sharpness),
         )
 
     def _over(self, text: Column, use) -> Column:
-        """``use(spaced words, their number)``, with the text taken apart once."""
-        return bind(spaced_words(text), lambda s: bind(count_spaced(s), lambda n: use(s, n)))
+        """``use(listed words, number of all words)``, with the text taken apart once."""
+        listed = lambda w: F.filter(w, lambda x: x.isin(self._listed))
+        return bind(words(text), lambda w: bind(listed(w), lambda hits: use(hits, F.size(w))))
 
     def score(self, text: Column, label: Column) -> Column:
-        def choose(spaced, total):
-            branches = F
-            for name in self._words:
-                branches = branches.when(label == name, self._fitted(spaced, total, name))
-            return branches
+        def choose(hits, total):
+            chosen = F
+            for name in self._lists:
+                chosen = chosen.when(label == name, self._fitted(hits, total, name))
+            return chosen
 
         return F.when(text.isNotNull(), self._over(text, choose))
 
     def scores(self, text: Column, labels: list[str]) -> Column:
-        each = lambda spaced, total: F.array(*[self._fitted(spaced, total, x) for x in labels])
+        each = lambda hits, total: F.array(*[self._fitted(hits, total, x) for x in labels])
         return F.when(text.isNotNull(), self._over(text, each))
 
 
 class LexicalEncoder:
-    """Embedding stand-in: counts of words hashed to ``dims`` places, scaled to length 1."""
+    """Embedding stand-in: counts of words hashed to ``dims`` places, scaled to length 1.
+
+    ``key`` turns a word into the integer whose remainder is its place.
+    """
 
-    def __init__(self, dims: int = 16):
-        self.dims = dims
+    def __init__(self, dims: int = 16, key: Callable[[Column], Column] = F.xxhash64):
+        self.dims, self._key = dims, key
 
     def encode(self, text: Column) -> Column:
-        place = lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 6), 16, 10).cast("int"), F.lit(self.dims))
-        words = F.split(F.trim(spaced_words(text)), " +")
-        # the places of all words, each between blanks, are counted like words
-        places = F.concat(F.lit(" "), F.array_join(F.transform(words, lambda w: F.when(w != "", place(w).cast("string"))), "  "), F.lit(" "))
-        counts = bind(places, lambda p: F.array(*[count_word(p, str(i)) for i in range(self.dims)]))
+        places = F.transform(words(text), lambda w: F.pmod(self._key(w), F.lit(self.dims)))
+        at = lambda p, i: F.size(F.filter(p, lambda q: q == i)).cast("double")
+        counts = bind(places, lambda p: F.array(*[at(p, i) for i in range(self.dims)]))
         # a text without words keeps the zero vector
         unit = bind(counts, lambda c: bind(F.greatest(norm(c), F.lit(1.0)), lambda n: scale(c, 1 / n)))
         return F.when(text.isNotNull(), unit.cast("array<float>"))

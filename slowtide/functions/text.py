@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SENTENCE_END = r"""([.!?]+["')\]]*)\s+"""
+_WHITE = " \t\n\u000b\f\r"
 _BREAK = "\u0001"
 _HELD_DOT = "\u0002"
 
@@ -28,7 +29,7 @@ def split_sentences(text: Column, abbreviations: tuple[str, ...] = ()) -> Column
         listed = "|".join(re.escape(a[:-1]) for a in sorted(abbreviations, key=len, reverse=True))
         text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])({listed})\.(?=\s)", "$1" + _HELD_DOT)
     marked = F.regexp_replace(text, SENTENCE_END, "$1" + _BREAK)
-    parts = F.transform(F.split(marked, _BREAK), F.trim)
+    parts = F.transform(F.split(marked, _BREAK), lambda s: F.btrim(s, F.lit(_WHITE)))
     if abbreviations:
         parts = F.transform(parts, lambda s: F.replace(s, F.lit(_HELD_DOT), F.lit(".")))
     return F.filter(parts, lambda s: s != "")
@@ -68,9 +69,10 @@ def hypothesis(label: Column) -> Column:
 
 def softmax(logits: Column) -> Column:
     """Row-wise softmax of an array, shifted by its maximum."""
-    total = lambda powers: F.aggregate(powers, F.lit(0.0), lambda acc, x: acc + x)
-    powers = bind(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
-    return bind(powers, lambda p: bind(total(p), lambda t: F.transform(p, lambda x: x / t)))
+    powers = lambda l: bind(F.array_max(l), lambda top: F.transform(l, lambda x: F.exp(x - top)))
+    total = lambda p: F.aggregate(p, F.lit(0.0), lambda acc, x: acc + x)
+    shares = lambda p: bind(total(p), lambda t: F.transform(p, lambda x: x / t))
+    return bind(logits, lambda l: bind(powers(l), shares))
 
 
 def entailment_score(entailment: Column, contradiction: Column) -> Column:
@@ -88,23 +90,6 @@ def period_of_frequency(frequency: Column) -> Column:
     return F.when(F.abs(frequency) < 1e-6, F.lit(float("inf"))).otherwise(1 / frequency)
 
 
-def spaced_words(text: Column) -> Column:
-    """Lower-case words, each with a blank on both sides: ``" the  cat "``."""
-    words = F.regexp_replace(F.lower(text), r"[^\p{L}]+", "  ")
-    return F.concat(F.lit(" "), words, F.lit(" "))
-
-
-def count_spaced(spaced: Column) -> Column:
-    """Number of words in ``spaced_words`` text: two blanks stand between neighbours."""
-    inner = F.trim(spaced)
-    return F.when(inner == "", 0.0).otherwise(count_gaps(inner) + 1)
-
-
-def count_gaps(inner: Column) -> Column:
-    return (F.length(inner) - F.length(F.replace(inner, F.lit("  "), F.lit("")))) / F.lit(2)
-
-
-def count_word(spaced: Column, word: str) -> Column:
-    """How often a word occurs in ``spaced_words`` text, by plain string replacement."""
-    target = f" {word} "
-    return (F.length(spaced) - F.length(F.replace(spaced, F.lit(target), F.lit("")))) / F.lit(len(target))
+def words(text: Column) -> Column:
+    """The lower-case words of a text, in order."""
+    return F.filter(F.split(F.lower(text), r"[^\p{L}]+"), lambda w: w != "")

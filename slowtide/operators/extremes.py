@@ -20,10 +20,11 @@ def extreme_rows(
     filter runs before the shuffle too: a task sends k rows per component and
     side, however many rows a series has.
     """
-    scores = F.col(components) if n_components is None else F.slice(components, 1, n_components)
+    # an expression, not a column: for a column Catalyst infers filters that compute it once more
+    scores = F.transform(components, lambda x: x) if n_components is None else F.slice(components, 1, n_components)
     # ids may serve as series, tie-break and kept column at once
     carried = list(dict.fromkeys([*series, *tie_break, *keep]))
-    long = df.where(F.col(components).isNotNull()).select(*carried, F.posexplode(scores).alias("component", "score"))
+    long = df.select(*carried, F.posexplode(scores).alias("component", "score"))
 
     def side(name: str, direction) -> DataFrame:
         order = W.partitionBy(*series, "component").orderBy(direction("score"), *tie_break)

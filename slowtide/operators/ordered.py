@@ -16,17 +16,24 @@ def first_rows(df: DataFrame, k: int, order: list[str], series: list[str] = ("se
     return df.withColumn("__rank", rank).where(F.col("__rank") <= k).drop("__rank")
 
 
-def sorted_runs(df: DataFrame, order: list[str]) -> DataFrame:
-    """Cut rows into runs: all rows of run i sort before those of run i + 1.
+def sorted_runs(df: DataFrame, order: list[str], n_runs: int) -> DataFrame:
+    """Cut rows into ``n_runs`` runs: all rows of run i sort before those of run i + 1.
 
     Runs come from range partitioning on the whole sort key, so they are about
     equal in size even if one series, or one moment, holds most rows. Range
     bounds are sampled, hence the run numbers are stored before use.
     """
-    ranged = df.repartitionByRange(*order).withColumn("run", F.spark_partition_id())
+    ranged = df.repartitionByRange(n_runs, *order).withColumn("run", F.spark_partition_id())
     return write_once(ranged, "runs")
 
 
+def _sizes(df: DataFrame, series: list[str]) -> tuple[int, int]:
+    """Number of rows in all, and in the longest series."""
+    counts = df.groupBy(*series).agg(F.count(F.lit(1)).alias("rows"))
+    total, longest = counts.agg(F.sum("rows"), F.max("rows")).first()
+    return total or 0, longest or 0
+
+
 def with_previous(
     df: DataFrame,
     values: dict[str, str],
@@ -49,13 +56,13 @@ def with_previous(
         frame = W.partitionBy(*within).orderBy(*order)
         return {name: F.lag(column).over(frame) for name, column in values.items()}
 
-    if not bounded:
-        longest = df.groupBy(*series).count().agg(F.max("count")).first()[0] or 0
-        bounded = longest <= max_series_rows
     if bounded:
         return df.withColumns(look_back(series))
+    rows, longest = _sizes(df, series)
+    if longest <= max_series_rows:
+        return df.withColumns(look_back(series))
 
-    runs = sorted_runs(df, [*series, *order])
+    runs = sorted_runs(df, [*series, *order], -(-rows // max_series_rows))
     keys = [*series, "run"]
     ends = runs.groupBy(*keys).agg(
         F.max_by(F.struct(*[F.col(c) for c in values.values()]), F.struct(*order)).alias("__end")
@@ -117,13 +124,16 @@ def dimension_variance(df: DataFrame, series: list[str] = ("series",), vector: s
     )
 
 
-def row_index(df: DataFrame, order: list[str], series: list[str] = ("series",)) -> DataFrame:
+def row_index(
+    df: DataFrame, order: list[str], series: list[str] = ("series",), max_run_rows: int = MAX_SERIES_ROWS
+) -> DataFrame:
     """Add the position ``idx`` (from 0) of each row in its series and the series' length ``n``.
 
     Positions are counted within sorted runs and shifted by the rows of earlier runs.
     """
     keys = [*series, "run"]
-    runs = sorted_runs(df, [*series, *order])
+    rows, _ = _sizes(df, list(series))
+    runs = sorted_runs(df, [*series, *order], max(1, -(-rows // max_run_rows)))
     by_run = W.partitionBy(*series).orderBy("run")
     sizes = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
     starts = sizes.select(

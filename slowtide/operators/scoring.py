@@ -18,6 +18,27 @@ def add_embeddings(df: DataFrame, encoder: Encoder, text: str = "msg", target: s
     return df.withColumn(target, encoder.encode(F.col(text)))
 
 
+def text_vectors(df: DataFrame, encoder: Encoder, text: str = "msg", target: str = "embedding") -> DataFrame:
+    """Rows that have a text, with its vector.
+
+    The vector is declared non-null, so null checks further on cost nothing;
+    otherwise Catalyst would push them down and run the encoder for them too.
+    """
+    return _with_vector(df, encoder.encode(F.col(text)), text, target)
+
+
+def label_text_vectors(
+    df: DataFrame, scorer: PairScorer, labels: list[str], text: str = "msg", target: str = "embedding"
+) -> DataFrame:
+    """Rows that have a text, with its label scores as a non-null vector."""
+    return _with_vector(df, scorer.scores(F.col(text), labels), text, target)
+
+
+def _with_vector(df: DataFrame, vector: Column, text: str, target: str) -> DataFrame:
+    never_null = F.coalesce(vector, F.array().cast("array<float>"))
+    return df.where(F.col(text).isNotNull()).withColumn(target, never_null)
+
+
 def add_label_vectors(
     df: DataFrame, scorer: PairScorer, labels: list[str], text: str = "msg", target: str = "embedding"
 ) -> DataFrame:
@@ -32,8 +53,9 @@ def pair_with_labels(texts: DataFrame, labels: list[str]) -> DataFrame:
 
 def score_pairs(df: DataFrame, scorer: PairScorer, labels: list[str], text: str = "msg") -> DataFrame:
     """Long score table: every row with ``label_idx, label, score``; null texts give no row."""
-    scored = add_label_vectors(df.where(F.col(text).isNotNull()), scorer, labels, text, "__scores")
-    long = scored.select(*df.columns, F.posexplode("__scores").alias("label_idx", "score"))
+    # exploded directly: from a column, Catalyst would infer filters that score again
+    each = F.posexplode(scorer.scores(F.col(text), labels)).alias("label_idx", "score")
+    long = df.where(F.col(text).isNotNull()).select(*df.columns, each)
     names = F.array(*[F.lit(x) for x in labels])
     return long.withColumn("label", F.get(names, F.col("label_idx")))
 

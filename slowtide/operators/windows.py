@@ -139,7 +139,7 @@ def join_texts(
     row (part 0) while no window exceeds ``max_bytes`` (measured first).
     Beyond, one string would not fit a task: rows are range-partitioned in
     (series, time) order and a window comes in several parts, whose
-    concatenation in the order of ``part`` is the whole text.
+    concatenation in the order of ``part`` (with a blank) is the whole text.
     """
     series, order = list(series), list(order)
     step, length = Span(every), Span(period or every)
@@ -161,15 +161,11 @@ def join_texts(
             placed = copied.where(F.col("window_start") >= firsts.scalar()).drop("__step")
     by = ", ".join(f"`{c}`" for c in [time, *order])
     joined = F.expr(f"listagg(`{text}`, ' ') within group (order by {by})").alias(text)
-    largest = (
-        placed.groupBy(*keys)
-        .agg(F.sum(F.octet_length(text) + 1).alias("bytes"))
-        .agg(F.coalesce(F.max("bytes"), F.lit(0)).alias("bytes"))
-        .first()["bytes"]
-    )
-    if largest <= max_bytes:
+    sizes = placed.groupBy(*keys).agg(F.sum(F.octet_length(text) + 1).alias("bytes"))
+    total, largest = sizes.agg(F.sum("bytes"), F.max("bytes")).first()
+    if (largest or 0) <= max_bytes:
         return placed.groupBy(*keys).agg(joined).select(*keys, F.lit(0).alias("part"), text)
-    runs = sorted_runs(placed, [*keys, time, *order])
+    runs = sorted_runs(placed, [*keys, time, *order], -(-total // max_bytes))
     parts = runs.groupBy(*keys, "run").agg(joined)
     part = F.row_number().over(W.partitionBy(*keys).orderBy("run")) - 1
     return parts.select(*keys, part.alias("part"), text)

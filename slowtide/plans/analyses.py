@@ -15,7 +15,7 @@ from slowtide.operators.extremes import extreme_rows
 from slowtide.operators.models import apply_model, fit_pca, fit_sfa, series_moments
 from slowtide.operators.moments import moments
 from slowtide.operators.ordered import dimension_variance, first_rows
-from slowtide.operators.scoring import add_embeddings, add_label_vectors
+from slowtide.operators.scoring import label_text_vectors, text_vectors
 from slowtide.operators.sentences import explode_sentences
 from slowtide.operators.slowness import label_gains, mean_label_gains, slowness, slowness_by_time_scale
 from slowtide.operators.spectrum import amplitude_spectrum
@@ -37,7 +37,7 @@ def time_aggregated_logs(
     the only one unless a window's text exceeds the size of one string.
     """
     logs = practice_logs(messages)
-    pooled = pool_windows(add_embeddings(logs, encoder), every, period, AUTHOR)
+    pooled = pool_windows(text_vectors(logs, encoder), every, period, AUTHOR)
     if not with_text:
         return pooled
     return pooled.join(join_texts(logs, every, period, AUTHOR), [*AUTHOR, "window_start"], "left")
@@ -73,7 +73,7 @@ def add_pca_columns(
 
 def typical_sentences(messages: DataFrame, encoder: Encoder, n_components: int = 1, k: int = 20) -> DataFrame:
     """The k sentences at either end of each author's principal components."""
-    sentences = write_once(add_embeddings(explode_sentences(practice_logs(messages)), encoder), "sentences")
+    sentences = write_once(text_vectors(explode_sentences(practice_logs(messages)), encoder), "sentences")
     models = write_once(fit_pca(moments(sentences, AUTHOR), n_components, AUTHOR), "pca")
     projected = apply_model(sentences, models, SENTENCE, AUTHOR, target="PCA")
     return extreme_rows(projected, "PCA", k, SENTENCE, [*SENTENCE, "msg"], AUTHOR, n_components)
@@ -81,7 +81,7 @@ def typical_sentences(messages: DataFrame, encoder: Encoder, n_components: int =
 
 def slowness_over_time_scales(messages: DataFrame, encoder: Encoder, max_days: int = 30) -> DataFrame:
     """Slowness of each author's series for windows of 1 .. ``max_days`` days."""
-    logs = add_embeddings(practice_logs(messages), encoder)
+    logs = text_vectors(practice_logs(messages), encoder)
     return slowness_by_time_scale(logs, max_days, AUTHOR)
 
 
@@ -89,7 +89,7 @@ def slowness_gain_per_label(
     messages: DataFrame, scorer: PairScorer, labels: list[str], n_iterations: int = 1000, seed: int = 0
 ) -> DataFrame:
     """Mean slowness gain of adding each label, over random orders of the labels."""
-    sentences = add_label_vectors(explode_sentences(practice_logs(messages)), scorer, labels)
+    sentences = label_text_vectors(explode_sentences(practice_logs(messages)), scorer, labels)
     daily = pool_windows(sentences, "1d", series=AUTHOR)
     gains = label_gains(daily, len(labels), n_iterations, seed, series=AUTHOR)
     return mean_label_gains(gains, label_table(messages.sparkSession, labels), AUTHOR)
@@ -121,7 +121,7 @@ class SlownessAnalysis:
     def scored(self) -> DataFrame:
         """Sentences with one score per label."""
         sentences = explode_sentences(practice_logs(self.messages))
-        return write_once(add_label_vectors(sentences, self.scorer, self.labels), "scored")
+        return write_once(label_text_vectors(sentences, self.scorer, self.labels), "scored")
 
     @cached_property
     def pca(self) -> DataFrame:

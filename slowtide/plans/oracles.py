@@ -47,7 +47,7 @@ WORDS = _values([(i, w) for i, x in enumerate(LEXICON_LABELS) for w in LEXICON[x
 
 def _split(text: str) -> str:
     return rf"""filter(list_transform(string_split(
-      regexp_replace({text}, '([.!?]+["'')\]]*)\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"""
+      regexp_replace({text}, '([.!?]+["'')\]]*)\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(s, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))), lambda s: s <> '')"""
 
 
 def _tokens(text: str) -> str:
@@ -70,7 +70,7 @@ def _embedded(source: str, keys: str, text: str) -> str:
     """CTEs with ``embedded``: keys, dim, value (float) for each non-null text of a source."""
     return f"""tokenised as (select {keys}, unnest(case when len({_tokens(text)}) = 0 then [''] else {_tokens(text)} end) as w
       from {source} where {text} is not null),
-    counted as (select {keys}, dim, count(*) filter (where w <> '' and cast('0x' || substr(md5(w), 1, 6) as int) % 16 = dim) as c
+    counted as (select {keys}, dim, count(*) filter (where w <> '' and (unicode(w) + unicode(right(w, 1)) * 7 + length(w) * 31) % 16 = dim) as c
       from tokenised, range(16) as d(dim) group by all),
     embedded as (select {keys}, dim,
       cast(c / greatest(sqrt(sum(c * c) over (partition by {keys})), 1.0) as float) as value from counted)"""

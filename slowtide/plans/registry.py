@@ -7,7 +7,7 @@ doubles rounded to six places, so that results compare across engines.
 from collections.abc import Callable
 from functools import wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,7 +33,13 @@ from slowtide.sources.score_table import ScoreTable, VectorTable
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-ENCODER = LexicalEncoder(16)
+
+def letter_key(word: Column) -> Column:
+    """An integer from a word's first and last letters and its length; any SQL engine can compute it."""
+    return F.ascii(word) + F.ascii(F.substring(word, -1, 1)) * 7 + F.length(word) * 31
+
+
+ENCODER = LexicalEncoder(16, letter_key)
 SCORER = LexicalPairScorer(LEXICON)
 SENTENCE = ["msg_id", "sentence_idx"]
 
@@ -63,7 +69,7 @@ def query(f: Query) -> Query:
     return run
 
 
-def long_vector(df: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
+def long_vector(df: DataFrame, keys: list[str], vector: str | Column = "embedding") -> DataFrame:
     return df.select(*keys, F.posexplode(vector).alias("dim", "value"))
 
 
@@ -537,14 +543,12 @@ def matrix_temporal_importance(spark, sf_dir):
 
 @query
 def message_embeddings(spark, sf_dir):
-    rows = scoring.add_embeddings(testbed.messages(spark, sf_dir), ENCODER)
-    return long_vector(rows, ["msg_id"])
+    return long_vector(testbed.messages(spark, sf_dir), ["msg_id"], ENCODER.encode(F.col("msg")))
 
 
 @query
 def label_vectors(spark, sf_dir):
-    rows = scoring.add_label_vectors(testbed.messages(spark, sf_dir), SCORER, LEXICON_LABELS)
-    return long_vector(rows, ["msg_id"])
+    return long_vector(testbed.messages(spark, sf_dir), ["msg_id"], SCORER.scores(F.col("msg"), LEXICON_LABELS))
 
 
 @query
