@@ -93,14 +93,17 @@ def fill_scores(
     distinct = texts.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text")).distinct()
     names = list(dict.fromkeys(labels))
     known = table.entries(model, names).groupBy("text_key").agg(F.collect_set("label").alias("known"))
+    joined = distinct.join(known, "text_key", "left")
+    # new texts take all labels at once; texts with some labels stored, the others one by one
+    new = joined.where(F.col("known").isNull()).select(
+        "text_key", F.posexplode(scorer.scores(F.col("text"), names)).alias("__at", "score")
+    )
     wanted = F.array(*[F.lit(x) for x in names])
-    todo = (
-        distinct.join(known, "text_key", "left")
-        .withColumn("missing", F.when(F.col("known").isNull(), wanted).otherwise(F.array_except(wanted, F.col("known"))))
-        .where(F.size("missing") > 0)
+    partial = joined.where(F.size("known") < len(names)).select(
+        "text_key", "text", F.explode(F.array_except(wanted, F.col("known"))).alias("label")
     )
-    fresh = todo.select("text_key", "text", F.explode("missing").alias("label")).select(
-        "text_key", "label", scorer.score(F.col("text"), F.col("label")).alias("score")
+    fresh = new.select("text_key", F.get(wanted, F.col("__at")).alias("label"), "score").unionByName(
+        partial.select("text_key", "label", scorer.score(F.col("text"), F.col("label")).alias("score"))
     )
     return table.append(fresh, model, run_id)
 

@@ -302,8 +302,8 @@ _oracle("label_gains_telescope",
   {_r('''2 - case when variance / (axes.a + axes.c) > 0.99
     then (ux * ux * axes.da + 2 * ux * uy * axes.db + uy * uy * axes.dc) / variance else delta end''')} as total_gain
   from axes join slow using (series), range(20) as r(iteration) where axes.component = 0 and slow.component = 0""")
-_oracle("amplitude_spectra", [EVENTS,
-        "hourly as (select series, date_trunc('hour', ts) as start, cast(cast(avg(v) as float) as double) as v from ev group by all)",
+_oracle("amplitude_spectra", [
+        "hourly as (select event_type as series, date_trunc('hour', ts) as start, avg(value) as v from events group by all)",
         """placed as (select series, v, row_number() over (partition by series order by start) - 1 as t,
   count(*) over (partition by series) as n from hourly)""",
         """waves as (select series, k, n, sum(v * cos(2 * pi() * ((k * t) % n) / n)) as re, sum(v * sin(2 * pi() * ((k * t) % n) / n)) as im

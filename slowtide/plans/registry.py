@@ -107,21 +107,14 @@ def read_typed_messages(spark, sf_dir):
     return S.read_typed_messages(spark, path)
 
 
-def _document_scores(spark, sf_dir, table, run_id, factor=1.0):
-    docs = testbed.documents(spark, sf_dir)
-    scored = scoring.score_pairs(docs.select("text").distinct(), SCORER, LEXICON_LABELS, "text")
-    rows = scored.select(
-        scoring.text_key(F.col("text")).alias("text_key"), "label", (F.col("score") * factor).cast("float").alias("score")
-    )
-    table.append(rows, "lexical", run_id)
-
-
 @query
 def score_table_upsert(spark, sf_dir):
     """Every score stored twice; the later run replaces the earlier one's values."""
     table = ScoreTable(spark, fresh_path(spark, "scores"))
-    _document_scores(spark, sf_dir, table, "run-1", 0.5)
-    _document_scores(spark, sf_dir, table, "run-2")
+    texts = testbed.documents(spark, sf_dir).select("text", scoring.text_key(F.col("text")).alias("text_key")).distinct()
+    scored = write_once(scoring.score_pairs(texts, SCORER, LEXICON_LABELS, "text").drop("text", "label_idx"), "scored")
+    table.append(scored.withColumn("score", F.col("score") / 2), "lexical", "run-1")
+    table.append(scored, "lexical", "run-2")
     stored = table.latest("lexical", LEXICON_LABELS)
     return stored.groupBy("label").agg(
         F.count(F.lit(1)).alias("num_texts"), F.sum(F.round(F.col("score").cast("double"), 6)).alias("total")
@@ -191,15 +184,15 @@ def threads_without_author(spark, sf_dir):
 # Score lookups: English documents play the cached part
 
 
-def _pairs(spark, sf_dir, english_only=False):
+def _pairs(spark, sf_dir):
+    """Scored (document, label) pairs, stored."""
     docs = testbed.documents(spark, sf_dir)
-    docs = docs.where("lang = 'en'") if english_only else docs
-    keyed = docs.select("doc_id", "text", scoring.text_key(F.col("text")).alias("text_key"))
-    return scoring.score_pairs(keyed, SCORER, LEXICON_LABELS, "text").drop("text")
+    keyed = docs.select("doc_id", "lang", "text", scoring.text_key(F.col("text")).alias("text_key"))
+    return write_once(scoring.score_pairs(keyed, SCORER, LEXICON_LABELS, "text").drop("text"), "pairs")
 
 
-def _cache(spark, sf_dir):
-    return _pairs(spark, sf_dir, True).groupBy("text_key", "label").agg(F.max("score").alias("score"))
+def _cache(pairs):
+    return pairs.where("lang = 'en'").groupBy("text_key", "label").agg(F.max("score").alias("score"))
 
 
 @query
@@ -211,25 +204,27 @@ def text_label_pairs(spark, sf_dir):
 
 @query
 def score_cache_hits(spark, sf_dir):
-    wanted = _pairs(spark, sf_dir).select("doc_id", "text_key", "label")
-    return scoring.cache_hits(wanted, _cache(spark, sf_dir)).select("doc_id", "label", "score")
+    pairs = _pairs(spark, sf_dir)
+    wanted = pairs.select("doc_id", "text_key", "label")
+    return scoring.cache_hits(wanted, _cache(pairs)).select("doc_id", "label", "score")
 
 
 @query
 def score_cache_misses(spark, sf_dir):
-    wanted = _pairs(spark, sf_dir).select("text_key", "label")
-    found = scoring.cache_misses(wanted, _cache(spark, sf_dir))
+    pairs = _pairs(spark, sf_dir)
+    found = scoring.cache_misses(pairs, _cache(pairs))
     return found.groupBy("label").agg(F.count(F.lit(1)).alias("num_texts"))
 
 
 @query
 def score_reattach(spark, sf_dir):
     """Hits and freshly scored misses together give every input row its score."""
-    wanted = _pairs(spark, sf_dir)
-    hits = _cache(spark, sf_dir)
-    missing = scoring.cache_misses(wanted, hits)
-    fresh = wanted.groupBy("text_key", "label").agg(F.max("score").alias("score")).join(missing, ["text_key", "label"], "left_semi")
-    return scoring.attach_scores(wanted.drop("score"), hits, fresh, ["doc_id"]).select("doc_id", "label_idx", "score")
+    pairs = _pairs(spark, sf_dir)
+    hits = _cache(pairs)
+    scores = pairs.groupBy("text_key", "label").agg(F.max("score").alias("score"))
+    fresh = scores.join(scoring.cache_misses(pairs, hits), ["text_key", "label"], "left_semi")
+    found = scoring.attach_scores(pairs.drop("score"), hits, fresh, ["doc_id"])
+    return found.select("doc_id", "label_idx", "score")
 
 
 @query
@@ -494,8 +489,8 @@ def label_gains_telescope(spark, sf_dir):
 @query
 def amplitude_spectra(spark, sf_dir):
     """Hourly mean values per event type."""
-    pooled = windows.pool_windows(vector_events(spark, sf_dir), "1h")
-    hourly = pooled.select("series", "window_start", F.get("embedding", F.lit(0)).alias("value"))
+    hour = windows.Span("1h").start_of(F.col("date")).alias("window_start")
+    hourly = testbed.events(spark, sf_dir).groupBy("series", hour).agg(F.avg("value").alias("value"))
     found = amplitude_spectrum(hourly, "value")
     return found.withColumn("period", F.when(F.col("k") > 0, F.col("period")))
 
