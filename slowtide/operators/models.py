@@ -1,43 +1,47 @@
 """Principal components and slow features: fitting from moments, applying to tables."""
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slowtide.functions.spectra import eigen_descending, fix_signs, retained_count, slow_directions
 from slowtide.functions.vectors import affine, map_vector
-from slowtide.operators.moments import DIFFERENCES, VALUES, moments
+from slowtide.operators.moments import DIFFERENCES, VALUES, matrix_of, moments, plain_arrow_schema
 from slowtide.operators.ordered import consecutive_differences
-from slowtide.operators.skew import lookup_join
+from slowtide.operators.skew import lookup_join, spread_work
 
 VECTOR = T.ArrayType(T.DoubleType())
 MATRIX = T.ArrayType(VECTOR)
 
 
-def matrix_of(pdf: pd.DataFrame, kind: str) -> np.ndarray:
-    rows = pdf[pdf["kind"] == kind].sort_values("i")
-    return np.vstack(rows["covariance"].to_list()) if len(rows) else np.zeros((0, 0))
-
-
-def symmetric(m: np.ndarray) -> np.ndarray:
-    return (m + m.T) / 2
+def _matrices(table: pa.Table) -> dict[str, np.ndarray]:
+    """The covariance matrix of each kind, made symmetric."""
+    kinds, places = np.array(table["kind"].to_pylist()), table["i"].to_numpy()
+    rows = matrix_of(table["covariance"].combine_chunks())
+    found = {}
+    for kind in (VALUES, DIFFERENCES):
+        own = kinds == kind
+        m = rows[own][np.argsort(places[own])]
+        found[kind] = (m + m.T) / 2 if own.any() else np.zeros((rows.shape[1], rows.shape[1]))
+    return found
 
 
 def _per_series(moment_rows: DataFrame, series: list[str], fit, fields: list[T.StructField]) -> DataFrame:
     """Run ``fit`` once per series on its matrix rows (2·d of them at most)."""
     schema = T.StructType([moment_rows.schema[c] for c in series] + fields)
+    arrow = plain_arrow_schema(schema)
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf[pdf["kind"] == VALUES]
-        n, mean = int(values["n"].iloc[0]), np.asarray(values["mean"].iloc[0])
-        c = symmetric(matrix_of(pdf, VALUES))
-        d = symmetric(matrix_of(pdf, DIFFERENCES)) if (pdf["kind"] == DIFFERENCES).any() else np.zeros_like(c)
-        result = {name: [value] for name, value in zip(series, key)} | {k: [v] for k, v in fit(n, mean, c, d).items()}
-        return pd.DataFrame(result)
+    def run(table: pa.Table) -> pa.Table:
+        first = table["kind"].to_pylist().index(VALUES)
+        found = _matrices(table)
+        n, mean = table["n"][first].as_py(), np.array(table["mean"][first].as_py())
+        values = [table[c][0].as_py() for c in series]
+        row = values + list(fit(n, mean, found[VALUES], found[DIFFERENCES]).values())
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
 
-    return moment_rows.groupBy(*series).applyInPandas(run, schema)
+    return spread_work(moment_rows, series).groupBy(*series).applyInArrow(run, schema)
 
 
 def fit_pca(moment_rows: DataFrame, keep: float | int | None = None, series: list[str] = ("series",)) -> DataFrame:
@@ -138,17 +142,18 @@ def apply_model(
     target: str | None = None,
     split: int | None = None,
     matrix: str = "components",
-    width: int = 1024,
 ) -> DataFrame:
     """Map each vector by its series' model: matrix · (vector − mean).
 
-    ``models`` should be a stored table. It is broadcast when small, else joined
-    with hot series salted by ``spread_by``. ``width`` bounds the numbers per
-    model row, for that check. ``matrix`` may be ``whitening`` to get the
-    whitened axes instead of the slow features.
+    ``models`` should be a stored table: its size is measured first. It is
+    broadcast when small, else joined with hot series salted by ``spread_by``.
+    ``matrix`` may be ``whitening`` to get the whitened axes instead of the slow
+    features.
     """
     slim = models.select(*series, F.col(matrix).alias("__matrix"), F.col("mean").alias("__mean"))
-    joined = lookup_join(df, slim, list(series), list(spread_by), row_bytes=8 * width)
+    numbers = F.sum((F.size("__matrix") + 1) * F.size("__mean"))
+    size = 8 * (slim.agg(numbers).first()[0] or 0)
+    joined = lookup_join(df, slim, list(series), list(spread_by), dim_bytes=size)
     mapped = map_vector(
         joined, vector, lambda v: affine(v, F.col("__matrix"), F.col("__mean")), target=target, split=split
     )

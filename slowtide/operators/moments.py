@@ -7,6 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from slowtide.operators.skew import spread_work
 
 VALUES, DIFFERENCES = "x", "dx"
 # Partial matrices a task holds before it emits them, and the size of a batch
@@ -16,7 +19,7 @@ SENT_BYTES = 16 << 20
 BLOCK_ROWS = 64
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix_of(column: pa.Array) -> np.ndarray:
     """An Arrow list column without nulls as a rows × dims matrix."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if len(column) and len(flat) % len(column):
@@ -87,7 +90,7 @@ def _partial_moments(keys: list[str], columns: list[str], schema: pa.Schema):
                     # each series has its own vector length
                     if (widths[at:until] != widths[at]).any():
                         raise ValueError("vectors of different length in one series")
-                    block = _matrix(vectors.slice(at, until - at))
+                    block = matrix_of(vectors.slice(at, until - at))
                     key = (names[member[order[at]]], kind)
                     fresh = _block(block)
                     if key in state:
@@ -111,7 +114,7 @@ def _merged_block(batches: Iterator[pa.RecordBatch], key_count: int, schema: pa.
             head = [batch.column(i)[0].as_py() for i in range(key_count + 2)]
         start = head[-1]
         counts = batch.column(key_count + 2).to_numpy()
-        means, scatters = _matrix(batch.column(key_count + 3)), _matrix(batch.column(key_count + 4))
+        means, scatters = matrix_of(batch.column(key_count + 3)), matrix_of(batch.column(key_count + 4))
         for n_b, mean_b, rows_b in zip(counts.tolist(), means, scatters):
             rows_b = rows_b.reshape(-1, len(mean_b))
             if mean is None:
@@ -132,11 +135,18 @@ def _merged_block(batches: Iterator[pa.RecordBatch], key_count: int, schema: pa.
         )
 
 
-def _moment_schema(df: DataFrame, series: list[str]) -> tuple[T.StructType, pa.Schema]:
-    from pyspark.sql.pandas.types import to_arrow_schema
+def plain_arrow_schema(schema: T.StructType) -> pa.Schema:
+    """Arrow types of a Spark schema, with plain, nullable list elements."""
+
+    def plain(kind: pa.DataType) -> pa.DataType:
+        return pa.list_(plain(kind.value_type)) if pa.types.is_list(kind) else kind
+
+    return pa.schema([pa.field(f.name, plain(f.type), True) for f in to_arrow_schema(schema)])
+
 
+def _moment_schema(df: DataFrame, series: list[str]) -> T.StructType:
     row = T.ArrayType(T.DoubleType())
-    spark_schema = T.StructType(
+    return T.StructType(
         [df.schema[c] for c in series]
         + [
             T.StructField("kind", T.StringType()),
@@ -146,10 +156,6 @@ def _moment_schema(df: DataFrame, series: list[str]) -> tuple[T.StructType, pa.S
             T.StructField("covariance", row),
         ]
     )
-    plain = [pa.list_(pa.float64()) if f.name in ("mean", "covariance") else None for f in spark_schema.fields]
-    arrow = to_arrow_schema(spark_schema)
-    fields = [pa.field(f.name, p or f.type, True) for f, p in zip(arrow, plain)]
-    return spark_schema, pa.schema(fields)
 
 
 def moments(
@@ -170,7 +176,8 @@ def moments(
     difference of large sums.
     """
     series = list(series)
-    spark_schema, arrow_schema = _moment_schema(df, series)
+    spark_schema = _moment_schema(df, series)
+    arrow_schema = plain_arrow_schema(spark_schema)
     columns = {VALUES: vector} | ({DIFFERENCES: diff} if diff else {})
     vectors = [F.col(c).cast("array<double>").alias(k) for k, c in columns.items()]
     partials = df.select(*series, *vectors).mapInArrow(
@@ -181,7 +188,8 @@ def moments(
     def merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _merged_block(batches, key_count, arrow_schema)
 
-    return partials.groupBy(*series, "kind", "i").applyInArrow(merge_blocks, spark_schema)
+    keys = [*series, "kind", "i"]
+    return spread_work(partials, keys).groupBy(*keys).applyInArrow(merge_blocks, spark_schema)
 
 
 def covariance_entries(moment_rows: DataFrame, series: list[str] = ("series",)) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from slowtide.functions.scorers import Encoder, PairScorer
 from slowtide.operators.skew import salted_join
+from slowtide.session import write_once
 from slowtide.sources.score_table import ScoreTable, VectorTable
 
 
@@ -60,9 +61,12 @@ def score_pairs(df: DataFrame, scorer: PairScorer, labels: list[str], text: str
     return long.withColumn("label", F.get(names, F.col("label_idx")))
 
 
-def cache_hits(pairs: DataFrame, cache: DataFrame) -> DataFrame:
-    """Pairs (``text_key, label``) that the cache holds, with their scores; input multiplicity kept."""
-    return salted_join(pairs, cache, ["text_key", "label"], [c for c in pairs.columns], how="inner")
+def cache_hits(pairs: DataFrame, cache: DataFrame, spread_by: list[str]) -> DataFrame:
+    """Pairs (``text_key, label``) that the cache holds, with their scores; input multiplicity kept.
+
+    ``spread_by`` names columns that tell rows with the same pair apart.
+    """
+    return salted_join(pairs, cache, ["text_key", "label"], spread_by, how="inner")
 
 
 def cache_misses(pairs: DataFrame, cache: DataFrame) -> DataFrame:
@@ -88,18 +92,22 @@ def fill_scores(
     """Score the (text, label) pairs the table lacks and append them; returns how many.
 
     Texts are deduplicated before anything expensive. A text is joined once, to
-    the set of its known labels, not once per label.
+    the set of its known labels, not once per label. The texts left to score
+    are stored, so that a lost executor repeats their scoring only.
     """
     distinct = texts.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text")).distinct()
     names = list(dict.fromkeys(labels))
     known = table.entries(model, names).groupBy("text_key").agg(F.collect_set("label").alias("known"))
-    joined = distinct.join(known, "text_key", "left")
+    incomplete = F.col("known").isNull() | (F.size("known") < len(names))
+    todo = write_once(distinct.join(known, "text_key", "left").where(incomplete), "todo")
+    if todo.isEmpty():
+        return 0
     # new texts take all labels at once; texts with some labels stored, the others one by one
-    new = joined.where(F.col("known").isNull()).select(
+    new = todo.where(F.col("known").isNull()).select(
         "text_key", F.posexplode(scorer.scores(F.col("text"), names)).alias("__at", "score")
     )
     wanted = F.array(*[F.lit(x) for x in names])
-    partial = joined.where(F.size("known") < len(names)).select(
+    partial = todo.where(F.col("known").isNotNull()).select(
         "text_key", "text", F.explode(F.array_except(wanted, F.col("known"))).alias("label")
     )
     fresh = new.select("text_key", F.get(wanted, F.col("__at")).alias("label"), "score").unionByName(

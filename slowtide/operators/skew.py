@@ -65,17 +65,22 @@ def lookup_join(
     dim: DataFrame,
     keys: list[str],
     spread_by: list[str],
-    row_bytes: int,
+    dim_bytes: int,
     how: str = "inner",
     rows_per_salt: int = ROWS_PER_SALT,
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
-    """Join to a stored table of known row width: broadcast if it is small, salted if not.
-
-    ``dim`` must be cheap to count (a stored table); the check reads its rows'
-    number only, up to the limit.
-    """
-    limit = max(1, broadcast_bytes // max(1, row_bytes))
-    if dim.limit(limit + 1).count() <= limit:
+    """Join to a table of measured size: broadcast if it is small, salted if not."""
+    if dim_bytes <= broadcast_bytes:
         return facts.join(F.broadcast(dim), keys, how)
     return salted_join(facts, dim, keys, spread_by, how, rows_per_salt=rows_per_salt)
+
+
+def spread_work(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash rows by key over all shuffle partitions, for groups that are small but costly.
+
+    Adaptive execution sizes partitions by bytes and would merge them into one
+    task; a fixed number is left alone. Grouping by ``keys`` then needs no
+    further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from slowtide.functions.spectra import slowest
 from slowtide.operators.models import fit_sfa, series_moments
 from slowtide.operators.moments import DIFFERENCES, VALUES
+from slowtide.operators.skew import spread_work
 from slowtide.operators.windows import time_scale_means
 
 WHITE_NOISE = 2.0
@@ -129,7 +130,7 @@ def label_gains(
             lambda s: s["i"],
         ),
     )
-    spread = work.withColumn("orders", orders).repartition(*series, "chunk")
+    spread = spread_work(work, [*series, "chunk"]).withColumn("orders", orders)
     schema = T.StructType(
         [df.schema[c] for c in series]
         + [

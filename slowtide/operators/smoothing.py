@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slowtide.functions.text import epoch_days
+from slowtide.operators.skew import spread_work
 
 MAX_ROWS = 3000
 AMPLITUDES = tuple(float(a) for a in np.logspace(-3, 3, 25))
@@ -72,7 +73,8 @@ def smooth(
         found = dict(zip([*series, "length_scale"], [[k] for k in key]))
         return pd.DataFrame(found | {"likelihood": likelihood, "day": [t], "mean": [mean], "deviation": [deviation]})
 
-    fitted = scaled.groupBy(*series, "length_scale").applyInPandas(fit, schema)
+    keys = [*series, "length_scale"]
+    fitted = spread_work(scaled, keys).groupBy(*keys).applyInPandas(fit, schema)
     best = fitted.groupBy(*series).agg(
         F.max_by(F.struct("length_scale", F.arrays_zip("day", "mean", "deviation").alias("rows")),
                  F.struct("likelihood", "length_scale")).alias("best")

@@ -13,22 +13,24 @@ def thread_authors(messages: DataFrame, strict: bool = False) -> DataFrame:
 
     Of several first messages the one with the largest ``msg_id`` counts,
     whatever its category. With ``strict`` every thread must have one: a thread
-    without raises an error that names it. The aggregate keeps two values per
-    thread, so a huge thread shrinks before the shuffle.
+    without raises an error that names it. A huge thread shrinks to one row per
+    task before any shuffle.
     """
+    firsts = messages.where("is_first_in_thread")
+    authors = firsts.groupBy("thread_id").agg(F.max_by("author", "msg_id").alias("thread_author"))
     if not strict:
-        firsts = messages.where("is_first_in_thread")
-        return firsts.groupBy("thread_id").agg(F.max_by("author", "msg_id").alias("thread_author"))
-    first_id = F.when(F.col("is_first_in_thread"), F.col("msg_id"))
-    found = messages.groupBy("thread_id").agg(
-        F.max_by("author", first_id).alias("thread_author"), F.max(first_id).alias("__first")
-    )
+        return authors
     complaint = F.concat(F.lit("no first message in thread "), F.col("thread_id").cast("string"))
-    return found.select(
-        "thread_id",
-        F.when(F.col("__first").isNotNull(), F.col("thread_author"))
-        .otherwise(F.raise_error(complaint).cast("string"))
-        .alias("thread_author"),
+    return (
+        messages.select("thread_id")
+        .distinct()
+        .join(authors.withColumn("__known", F.lit(True)), "thread_id", "left")
+        .select(
+            "thread_id",
+            F.when(F.col("__known"), F.col("thread_author"))
+            .otherwise(F.raise_error(complaint).cast("string"))
+            .alias("thread_author"),
+        )
     )
 
 

@@ -92,7 +92,9 @@ def slowness_gain_per_label(
     sentences = label_text_vectors(explode_sentences(practice_logs(messages)), scorer, labels)
     daily = pool_windows(sentences, "1d", series=AUTHOR)
     gains = label_gains(daily, len(labels), n_iterations, seed, series=AUTHOR)
-    return mean_label_gains(gains, label_table(messages.sparkSession, labels), AUTHOR)
+    means = mean_label_gains(gains, label_table(messages.sparkSession, labels), AUTHOR)
+    # one row per author and label
+    return means.orderBy(*AUTHOR, F.desc("mean_delta_diff"), "label_idx")
 
 
 @dataclass

@@ -206,7 +206,7 @@ def text_label_pairs(spark, sf_dir):
 def score_cache_hits(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
     wanted = pairs.select("doc_id", "text_key", "label")
-    return scoring.cache_hits(wanted, _cache(pairs)).select("doc_id", "label", "score")
+    return scoring.cache_hits(wanted, _cache(pairs), ["doc_id"]).select("doc_id", "label", "score")
 
 
 @query

@@ -120,6 +120,20 @@ def test_sfa_invariants(spark, data, rows):
     assert {r["SFA_2"] for r in applied.where("series = 'short'").collect()} == {0.0}
 
 
+def test_models_too_large_to_broadcast_are_joined(spark, rows, monkeypatch):
+    from slowtide.operators import models as module
+    from slowtide.operators.skew import salted_join
+
+    fitted = write_once(fit_pca(moments(rows), 2), "pca")
+    small = apply_model(rows, fitted, ["window_start"], target="P", split=2)
+    monkeypatch.setattr(
+        module, "lookup_join", lambda f, d, k, s, dim_bytes: salted_join(f, d, k, s, "inner", rows_per_salt=20)
+    )
+    large = apply_model(rows, fitted, ["window_start"], target="P", split=2)
+    pick = lambda df: sorted((r["series"], r["window_start"], r["P_0"], r["P_1"]) for r in df.collect())
+    assert pick(small) == pick(large) and len(pick(small)) == rows.count()
+
+
 def test_slowness_survives_linear_maps(spark, data):
     x = data["slow"]
     turned = x @ np.random.default_rng(9).normal(size=(5, 5))
@@ -206,6 +220,8 @@ def test_extremes(spark):
     assert pick("b", 1, "high") == [66, 67, 68] and pick("b", 1, "low") == [99, 98, 97]
     assert found.columns == ["series", "component", "side", "rank", "score", "id"]
     assert extreme_rows(rows, "v", 3, ["id"], ["id"], n_components=1).count() == 6
+    # both sides drop rows before their shuffle
+    assert found._jdf.queryExecution().executedPlan().toString().count("WindowGroupLimit") >= 4
 
 
 def test_label_algebra(spark):

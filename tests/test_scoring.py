@@ -55,7 +55,7 @@ def test_memoised_embeddings(spark, texts):
 def test_pairs_hits_misses_reattach(spark):
     pairs = spark.createDataFrame([(1, b"a", "x"), (2, b"a", "x"), (3, b"b", "x"), (4, b"b", "y"), (5, b"b", "y")], "id int, text_key binary, label string")
     cache = spark.createDataFrame([(b"a", "x", 0.5), (b"b", "z", 0.1)], "text_key binary, label string, score float")
-    hits, misses = scoring.cache_hits(pairs, cache), scoring.cache_misses(pairs, cache)
+    hits, misses = scoring.cache_hits(pairs, cache, ["id"]), scoring.cache_misses(pairs, cache)
     assert sorted(r["id"] for r in hits.collect()) == [1, 2]
     assert sorted((bytes(r["text_key"]), r["label"]) for r in misses.collect()) == [(b"b", "x"), (b"b", "y")]
     fresh = misses.withColumn("score", F.lit(0.25).cast("float"))

@@ -83,9 +83,9 @@ def test_salted_join_equals_plain_join(spark, how):
     salted = salted_join(facts, dim, ["k"], ["id"], how, rows_per_salt=100).select("id", "k", "v")
     assert salted.count() == plain.count()
     assert salted.exceptAll(plain).count() == 0
-    wide = lookup_join(facts, dim, ["k"], ["id"], row_bytes=8, how=how, rows_per_salt=100, broadcast_bytes=64)
+    wide = lookup_join(facts, dim, ["k"], ["id"], dim_bytes=320, how=how, rows_per_salt=100, broadcast_bytes=64)
     assert wide.select("id", "k", "v").exceptAll(plain).count() == 0
-    small = lookup_join(facts, dim, ["k"], ["id"], row_bytes=8, how=how)
+    small = lookup_join(facts, dim, ["k"], ["id"], dim_bytes=320, how=how)
     assert small.select("id", "k", "v").exceptAll(plain).count() == 0
 
 
