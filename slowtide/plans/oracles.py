@@ -89,7 +89,7 @@ def _r(x: str) -> str:
 _oracle("read_messages", [MESSAGES], """select msg_id, thread_id, cast(date as varchar) as date, is_first_in_thread,
   category, author, title, msg from messages""")
 _oracle("read_typed_messages", [USER_THREADS, OWNERS], """select msg_id as "msgId", thread_id as "threadId",
-  strftime(date, '%Y-%m-%dT%H:%M:%S.%f') as date, is_first_in_thread as "isFirstInThread", category, author, title, msg,
+  strftime(date, '%Y-%m-%dT%H:%M:%S') as date, is_first_in_thread as "isFirstInThread", category, author, title, msg,
   coalesce(thread_author, 'n/a') as "threadAuthor" from messages left join owners using (thread_id)""")
 DOC_SCORES = _scored("(select distinct text from documents)", "text", "text")
 _oracle("score_table_upsert", [DOC_SCORES], f"""select label, count(*) as num_texts, {_r('sum(round(cast(score as double), 6))')} as total

@@ -51,5 +51,6 @@ def read_typed_messages(spark: SparkSession, path: str) -> DataFrame:
 
 def write_messages(messages: DataFrame, path: str) -> None:
     """Store messages as newline-delimited JSON in the layout ``read_messages`` expects."""
-    date = F.date_format(F.col("date"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    # a plain cast: date formatting would go through the session's time zone
+    date = F.replace(F.col("date").cast("string"), F.lit(" "), F.lit("T"))
     messages.withColumn("date", date).select(*STORED.fieldNames()).write.option("ignoreNullFields", "false").json(path)

@@ -36,8 +36,11 @@ class _Table:
             return self.spark.createDataFrame([], self.schema)
 
     def _append(self, fresh: DataFrame, run_id: str) -> int:
+        typed = fresh.withColumn("run_id", F.lit(run_id)).select(
+            *[F.col(f.name).cast(f.dataType) for f in self.schema.fields]
+        )
         # about equal files per partition, a large one in several
-        rows = fresh.withColumn("run_id", F.lit(run_id)).hint("rebalance", *[F.col(p) for p in self.parts])
+        rows = typed.hint("rebalance", *[F.col(p) for p in self.parts])
         rows.write.mode("append").partitionBy(*self.parts).parquet(self.path)
         return self.read().where(F.col("run_id") == run_id).count()
 

@@ -60,6 +60,18 @@ def test_round_trip(spark, sf):
     assert back.exceptAll(rows).count() == 0 and rows.exceptAll(back).count() == 0
 
 
+def test_round_trip_in_a_zone_with_summer_time(spark):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        row = ROW | {"date": "2024-03-10T02:30:00.25"}
+        read = S.read_messages(spark, write_lines(spark, [json.dumps(row)]))
+        path = fresh_path(spark, "messages")
+        S.write_messages(read, path)
+        assert S.read_messages(spark, path).select(F.col("date").cast("string")).first()[0] == "2024-03-10 02:30:00.25"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_unused_columns_are_not_read(spark):
     path = write_lines(spark, [json.dumps(ROW)])
     plan = S.read_messages(spark, path).groupBy("author").count()._jdf.queryExecution().executedPlan().toString()
