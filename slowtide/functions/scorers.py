@@ -87,8 +87,11 @@ class LexicalPairScorer:
         self._lists, self._sharpness = lists, sharpness
         self._listed = sorted({w for listed in lists.values() for w in listed})
 
-    def _fitted(self, hits: Column, total: Column, label: str) -> Column:
-        count = F.size(F.filter(hits, lambda w: w.isin(self._lists[label])))
+    def _words_of(self, label: str) -> Column:
+        return F.array(*[F.lit(w) for w in self._lists[label]])
+
+    def _fitted(self, hits: Column, total: Column, listed: Column) -> Column:
+        count = F.size(F.filter(hits, lambda w: F.array_contains(listed, w)))
         return bind(
             count / F.greatest(total, F.lit(1)),
             lambda share: entailment_score(share * self._sharpness, (1 - share) * self._sharpness),
@@ -97,20 +100,20 @@ class LexicalPairScorer:
     def _over(self, text: Column, use) -> Column:
         """``use(listed words, number of all words)``, with the text taken apart once."""
         listed = lambda w: F.filter(w, lambda x: x.isin(self._listed))
-        return bind(words(text), lambda w: bind(listed(w), lambda hits: use(hits, F.size(w))))
+        taken = bind(words(text), lambda w: bind(listed(w), lambda hits: use(hits, F.size(w))))
+        return F.when(text.isNotNull(), taken)
 
     def score(self, text: Column, label: Column) -> Column:
-        def choose(hits, total):
-            chosen = F
-            for name in self._lists:
-                chosen = chosen.when(label == name, self._fitted(hits, total, name))
-            return chosen
-
-        return F.when(text.isNotNull(), self._over(text, choose))
+        by_label = F.create_map(*[c for name in self._lists for c in (F.lit(name), self._words_of(name))])
+        chosen = F.try_element_at(by_label, label)
+        fitted = lambda hits, total: bind(chosen, lambda listed: self._fitted(hits, total, listed))
+        return F.when(chosen.isNotNull(), self._over(text, fitted))
 
     def scores(self, text: Column, labels: list[str]) -> Column:
-        each = lambda hits, total: F.array(*[self._fitted(hits, total, x) for x in labels])
-        return F.when(text.isNotNull(), self._over(text, each))
+        # one expression for all labels: the plan does not grow with their number
+        lists = F.array(*[self._words_of(x) for x in labels])
+        each = lambda hits, total: F.transform(lists, lambda listed: self._fitted(hits, total, listed))
+        return self._over(text, each)
 
 
 class LexicalEncoder:

@@ -35,14 +35,15 @@ class _Table:
                 raise
             return self.spark.createDataFrame([], self.schema)
 
-    def _append(self, fresh: DataFrame, run_id: str) -> int:
-        typed = fresh.withColumn("run_id", F.lit(run_id)).select(
+    def _append(self, fresh: DataFrame, model: str, run_id: str) -> int:
+        typed = fresh.withColumns({"model": F.lit(model), "run_id": F.lit(run_id)}).select(
             *[F.col(f.name).cast(f.dataType) for f in self.schema.fields]
         )
         # about equal files per partition, a large one in several
         rows = typed.hint("rebalance", *[F.col(p) for p in self.parts])
         rows.write.mode("append").partitionBy(*self.parts).parquet(self.path)
-        return self.read().where(F.col("run_id") == run_id).count()
+        # counted in storage: exact even if tasks of the write were repeated
+        return self.read().where((F.col("model") == model) & (F.col("run_id") == run_id)).count()
 
     def _latest(self, rows: DataFrame, keys: list[str]) -> DataFrame:
         return rows.groupBy(*keys).agg(F.max_by(self.value, "run_id").alias(self.value))
@@ -65,7 +66,7 @@ class ScoreTable(_Table):
 
     def append(self, fresh: DataFrame, model: str, run_id: str) -> int:
         """Store ``text_key, label, score`` rows under a model; returns how many this run stored."""
-        return self._append(fresh.select("text_key", "score", F.lit(model).alias("model"), "label"), run_id)
+        return self._append(fresh.select("text_key", "score", "label"), model, run_id)
 
 
 class VectorTable(_Table):
@@ -83,4 +84,4 @@ class VectorTable(_Table):
         return self._latest(self.entries(model), ["text_key"])
 
     def append(self, fresh: DataFrame, model: str, run_id: str) -> int:
-        return self._append(fresh.select("text_key", "embedding", F.lit(model).alias("model")), run_id)
+        return self._append(fresh.select("text_key", "embedding"), model, run_id)
