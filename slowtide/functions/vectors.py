@@ -5,6 +5,8 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from slowtide.functions.text import bind
+
 
 def doubles(v: Column) -> Column:
     return v.cast("array<double>")
@@ -66,9 +68,21 @@ def _vec(v: Column) -> Column:
     return array_to_vector(doubles(v))
 
 
-def vector_sum(v: Column, weight: Column | None = None) -> Column:
-    """Element-wise sum; partial sums are formed before the shuffle."""
-    return vector_to_array(Summarizer.sum(_vec(v), weight))
+def vector_sum(v: Column) -> Column:
+    """Element-wise sum; partial sums are formed before the shuffle.
+
+    ``Summarizer`` derives its sums from running means, whose rounding depends
+    on the order of rows. Its L1 norm is a plain sum of magnitudes: taken of the
+    positive and the negative parts it gives sums that are exact for float
+    entries, hence the same under any partitioning.
+    """
+    v = doubles(v)
+    part = lambda sign: F.transform(v, lambda x: F.greatest(x * sign, F.lit(0.0)))
+    norms = vector_to_array(Summarizer.normL1(array_to_vector(F.concat(part(1), part(-1)))))
+    half = lambda n: (F.size(n) / 2).cast("int")
+    return bind(
+        norms, lambda n: F.zip_with(F.slice(n, 1, half(n)), F.slice(n, half(n) + 1, half(n)), lambda p, q: p - q)
+    )
 
 
 def vector_mean(v: Column, weight: Column | None = None) -> Column:

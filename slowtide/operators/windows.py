@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from slowtide.functions.vectors import scale, vector_sum
+from slowtide.functions.vectors import vector_sum
 from slowtide.operators.ordered import sorted_runs
 from slowtide.operators.skew import salted_join
 
@@ -80,6 +80,10 @@ def _spread_to_windows(rows: DataFrame, every: Span, period: Span, series: list[
     return rows.withColumn("__step", first_step).withColumn("window_start", start)
 
 
+def _mean(total: str, n: str) -> Column:
+    return F.transform(total, lambda x: x / F.col(n)).cast("array<float>")
+
+
 def pool_windows(
     df: DataFrame,
     every: str,
@@ -119,8 +123,7 @@ def pool_windows(
             series,
             "__step",
         )
-    mean = scale(F.col("total"), 1 / F.col("n")).cast("array<float>")
-    return sums.select(*series, "window_start", "n", mean.alias(vector))
+    return sums.select(*series, "window_start", "n", _mean("total", "n").alias(vector))
 
 
 def join_texts(
@@ -198,6 +201,6 @@ def time_scale_means(
         .agg(vector_sum(F.col("total")).alias("total"), F.sum("n").alias("n"))
         .select(
             *series, "days", "window_start", "n",
-            scale(F.col("total"), 1 / F.col("n")).cast("array<float>").alias(vector),
+            _mean("total", "n").alias(vector),
         )
     )
