@@ -134,3 +134,41 @@ def starts_of(table: pa.Table, keys: list[str]) -> np.ndarray:
         values = table.column(key).to_numpy()
         changed[1:] |= values[1:] != values[:-1]
     return np.append(np.flatnonzero(changed), table.num_rows)
+
+
+class Memory:
+    """Lists of numbers by 64-bit hash, as sorted arrays; emptied when more than ``limit`` are held."""
+
+    def __init__(self, limit: int):
+        self.limit = limit
+        self.forget()
+
+    def forget(self) -> None:
+        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.values, self.used = np.zeros(1 << 16, np.int64), 0
+
+    def look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each hash is, and which are missing."""
+        place = np.searchsorted(self.keys, hashes)
+        if not len(self.keys):
+            return place, np.ones(len(hashes), bool)
+        return place, self.keys[np.minimum(place, len(self.keys) - 1)] != hashes
+
+    def missing(self, hashes: np.ndarray) -> np.ndarray:
+        """Which of some sorted distinct hashes are missing, after making room for them."""
+        new = self.look(hashes)[1]
+        if len(self.keys) + new.sum() > self.limit:
+            self.forget()
+            new[:] = True
+        return new
+
+    def add(self, hashes: np.ndarray, values: np.ndarray, counts: np.ndarray) -> None:
+        """Add missing sorted hashes with their values in turn, ``counts`` of them each."""
+        while self.used + len(values) > len(self.values):
+            self.values = np.concatenate([self.values, np.zeros_like(self.values)])
+        self.values[self.used : self.used + len(values)] = values
+        place = np.searchsorted(self.keys, hashes)
+        self.first = np.insert(self.first, place, self.used + np.cumsum(counts) - counts)
+        self.count = np.insert(self.count, place, counts)
+        self.keys = np.insert(self.keys, place, hashes)
+        self.used += len(values)

@@ -1,5 +1,7 @@
 """DuckDB texts of the queries that SQL can express on whole tables."""
 
+from slowtide.llm.licenses import BREAK, EMPTY_LINE, END_MARK, LINE_END, RULES, SENTENCES, rule_pattern
+
 ORACLES: dict[str, str] = {}
 
 ORACLES["op9_line_dedup"] = r"""
@@ -21,3 +23,41 @@ select k.doc_id, cast(count(*) as bigint) as n_lines,
 from keyed k left join repeated r on k.key = r.key
 group by k.doc_id
 """
+
+
+def _licences() -> str:
+    known = ", ".join(f"('{name}', ' {words} ', {i})" for i, (name, words) in enumerate(SENTENCES.items()))
+    steps = ["r0 as (select *, rest0 as rest, cast([] as varchar[]) as found from ids)"]
+    for i, (name, rule) in enumerate(RULES):
+        pattern, left = rule_pattern(rule)
+        left = left.replace("$", chr(92))
+        steps.append(
+            f"r{i + 1} as (select doc_id, n_sentences, sentence_ids, rest0,"
+            f" regexp_replace(rest, '{pattern}', '{left}', 'g') as rest,"
+            f" case when regexp_matches(rest, '{pattern}') then list_append(found, '{name}') else found end as found from r{i})"
+        )
+    return f"""
+with known(name, words, rank) as (values {known}),
+parts as (
+  select doc_id, unnest(p) as part, generate_subscripts(p, 1) as nth
+  from (
+    select doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(
+      replace(lower(coalesce(text, '')), chr({ord(BREAK)}), ' '),
+      '{END_MARK}', {chr(39)}{chr(92)}1{chr(39)} || chr({ord(BREAK)}), 'g'),
+      '{EMPTY_LINE}', chr({ord(BREAK)}), 'g'), '{LINE_END}', ' ', 'g'), chr({ord(BREAK)})) as p
+    from documents)),
+hits as (
+  select doc_id, nth, rank, name from parts, known
+  where contains(' ' || trim(regexp_replace(part, '[^a-z0-9]+', ' ', 'g')) || ' ', words)),
+ids as (
+  select d.doc_id, cast(count(name) as bigint) as n_sentences,
+         coalesce(string_agg(name, ',' order by nth, rank), '') as sentence_ids,
+         coalesce(string_agg(',' || name || ',', '' order by nth, rank), '') as rest0
+  from documents d left join hits h on d.doc_id = h.doc_id group by d.doc_id),
+{", ".join(steps)}
+select doc_id, n_sentences, sentence_ids, array_to_string(list_sort(list_distinct(found)), ',') as licences
+from r{len(RULES)}
+"""
+
+
+ORACLES["op10_licenses"] = _licences()

@@ -11,7 +11,7 @@ import unicodedata
 import numpy as np
 import tokenizers
 
-from slowtide.llm.codes import Sums, code_points, offsets, ragged
+from slowtide.llm.codes import Memory, Sums, code_points, offsets, ragged
 
 #: Words whose ids a worker remembers (about 40 bytes each); the memory starts anew beyond it.
 REMEMBERED = 2_000_000
@@ -46,15 +46,10 @@ class WordEncoder:
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tokenizer = tokenizers.Tokenizer.from_file(path)
-        self.remembered = remembered
         vocabulary = self.tokenizer.get_vocab()
         self.last = np.zeros(max(vocabulary.values()) + 1, bool)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self._forget()
-
-    def _forget(self) -> None:
-        self.keys, self.first, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0
+        self.memory = Memory(remembered)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array, and the texts' bounds in it (one more than texts)."""
@@ -75,9 +70,14 @@ class WordEncoder:
         raw = kind[starts] == ODD
         hashes = Sums(codes).hashes(starts, ends) ^ (raw.astype(np.uint64) * np.uint64(0x5851F42D4C957F2D))
         distinct, at, which = np.unique(hashes, return_index=True, return_inverse=True)
-        found = self._known(distinct, codes, starts[at], ends[at], raw[at])
-        counts = self.count[found][which]
-        ids = self.ids[ragged(self.first[found][which], counts)]
+        new = np.flatnonzero(self.memory.missing(distinct))
+        if len(new):
+            part = list(zip(starts[at[new]].tolist(), ends[at[new]].tolist()))
+            words = [codes[s:e].tobytes().decode("utf-32-le") for s, e in part]
+            self.memory.add(distinct[new], *self._encode_words(words, raw[at[new]]))
+        found = self.memory.look(distinct)[0][which]
+        counts = self.memory.count[found]
+        ids = self.memory.values[ragged(self.memory.first[found], counts)].astype(np.uint32)
         bounds = np.searchsorted(starts, offsets(len(t) + 1 for t in texts))
         return ids, np.concatenate([[0], np.cumsum(counts)])[bounds]
 
@@ -96,33 +96,6 @@ class WordEncoder:
         keep = kind[bounds[:-1]] != SPACE
         return bounds[:-1][keep], bounds[1:][keep]
 
-    def _known(self, hashes: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, raw: np.ndarray) -> np.ndarray:
-        """Where each hash is among the remembered words; new ones are encoded and remembered."""
-        place, new = self._look(hashes)
-        if len(self.keys) + new.sum() > self.remembered:
-            self._forget()
-            place, new = self._look(hashes)
-        if not new.any():
-            return place
-        at = np.flatnonzero(new)
-        words = [codes[s:e].tobytes().decode("utf-32-le") for s, e in zip(starts[at].tolist(), ends[at].tolist())]
-        ids, counts = self._encode_words(words, raw[at])
-        while self.used + len(ids) > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-        self.ids[self.used : self.used + len(ids)] = ids
-        first = self.used + np.cumsum(counts) - counts
-        self.used += len(ids)
-        self.keys = np.insert(self.keys, place[at], hashes[at])
-        self.first = np.insert(self.first, place[at], first)
-        self.count = np.insert(self.count, place[at], counts)
-        return self._look(hashes)[0]
-
-    def _look(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        place = np.searchsorted(self.keys, hashes)
-        if not len(self.keys):
-            return place, np.ones(len(hashes), bool)
-        return place, self.keys[np.minimum(place, len(self.keys) - 1)] != hashes
-
     def _encode_words(self, words: list[str], raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(words)
         for i in np.flatnonzero(raw):
