@@ -25,13 +25,13 @@ from slowtide.session import write_once
 
 #: Rows that the centroids are fitted on at most (the first by hash of vec_id), and rows per centroid.
 SAMPLE = 16_384
-PER_CENTROID = 32
+PER_CENTROID = 16
 #: Lists that a row may enter, and how much farther than the nearest centroid theirs may be.
-COPIES, BORDER = 6, 1.2
+COPIES, BORDER = 4, 1.2
 #: Lists that a query may scan, and how much farther than the nearest centroid theirs may be.
-LISTS, RATIO = 64, 1.6
-#: Graph: links per centroid, entries, and the length of the list of candidates.
-LINKS, ENTRIES, BEAM = 24, 32, 96
+LISTS, RATIO = 128, 1.6
+#: Graph: links per centroid, entries, and the least length of the list of candidates.
+LINKS, ENTRIES, BEAM = 24, 32, 24
 #: Rows of a list that a task holds at once.
 BLOCK_ROWS = 4096
 
@@ -69,7 +69,7 @@ class CentroidGraph:
         return np.concatenate(found), np.concatenate(far)
 
     def _search(self, rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        n, width = len(rows), max(BEAM, k)
+        n, width = len(rows), max(BEAM, k + k // 4)
         at = np.arange(n)[:, None]
         seen = np.zeros((n, len(self.centroids) + 1), bool)
         ids = np.broadcast_to(self.entries, (n, len(self.entries)))
@@ -97,19 +97,9 @@ class CentroidGraph:
         return ((rows[:, None, :] - self.centroids[ids]) ** 2).sum(2)
 
     def lists_of_row(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(row, list)`` pairs: the nearest centroid, and others within ``BORDER`` that no chosen one shadows."""
-        ids, apart = self.search(rows, 2 * COPIES)
-        taken = np.zeros(ids.shape, bool)
-        if not len(rows):
-            return np.zeros(0, int), np.zeros(0, int)
-        taken[:, 0] = True
-        for j in range(1, ids.shape[1]):
-            own = np.isfinite(apart[:, j]) & (apart[:, j] <= BORDER * apart[:, 0]) & (taken.sum(1) < COPIES)
-            for i in range(j):
-                between = np.sqrt(((self.centroids[ids[:, i]] - self.centroids[ids[:, j]]) ** 2).sum(1))
-                own &= ~(taken[:, i] & (between < 0.8 * apart[:, j]))
-            taken[:, j] = own
-        row, j = np.nonzero(taken)
+        """``(row, list)`` pairs: the nearest centroid, and up to ``COPIES`` within ``BORDER`` of its distance."""
+        ids, apart = self.search(rows, COPIES)
+        row, j = np.nonzero(np.isfinite(apart) & (apart <= BORDER * apart[:, :1]))
         return row, ids[row, j]
 
     def lists_of_query(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -61,3 +61,27 @@ from r{len(RULES)}
 
 
 ORACLES["op10_licenses"] = _licences()
+
+ORACLES["op3_ngram_join"] = r"""
+with recursive words as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\v\f\r]+'), lambda w: w <> '') as w from documents),
+shingles as (
+  select distinct doc_id, unnest(case
+    when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+  from words),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (
+  select x.doc_id as a, y.doc_id as b, count(*) as n
+  from shingles x join shingles y on x.s = y.s and x.doc_id <> y.doc_id group by x.doc_id, y.doc_id),
+links as (
+  select a, b from common c join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 5 * c.n >= 4 * (x.n + y.n - c.n)),
+reach(doc_id, other) as (
+  select doc_id, doc_id from documents
+  union
+  select r.doc_id, l.b from reach r join links l on l.a = r.other)
+select doc_id, min(other) as class_id,
+       (select count(*) from links l where l.a = r.doc_id) as n_links
+from reach r group by doc_id
+"""

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slowtide.llm import fingerprints, licenses, line_dedup, neighbours, packing, sentencepiece_viterbi, sharding, token_counts, toxicity
+from slowtide.llm import fingerprints, licenses, line_dedup, neighbours, ngram_join, packing, sentencepiece_viterbi, sharding, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -49,6 +49,12 @@ def op2_sharding(spark, sf_dir):
     return sharding.shard_documents(documents(spark, sf_dir), SHARDS)
 
 
+@query
+def op3_ngram_join(spark, sf_dir):
+    """All documents with their class of near duplicates and number of links."""
+    return ngram_join.near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op4_toxicity(spark, sf_dir):
     """All documents with the probabilities of both categories and the decision."""
