@@ -1,17 +1,55 @@
-"""A cleaning pipeline over documents: toxicity, line dedup, near duplicates, packing."""
+"""A cleaning pipeline over documents: toxicity, line dedup, near duplicates, packing.
+
+Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
+last return the columns of ``docs``. What a stage returns is stored and read
+again by the next one.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from slowtide.llm import line_dedup, packing
-from slowtide.llm.queries import WORD_TOKENIZER
+from slowtide.llm import line_dedup, ngram_join, packing, toxicity
+from slowtide.llm.queries import CATEGORIES, WORD_TOKENIZER, labels
 from slowtide.session import write_once
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain, fitted on the labelled ones among them, finds toxic go.
+
+    Null texts count as empty and stay. Columns are left as they are.
+    """
+    chain = toxicity.fit_toxicity(docs, labels(spark, sf_dir), CATEGORIES)
+    scored = toxicity.score_toxicity(docs, chain, prefix="__p_")
+    return scored.where(F.col(f"__p_{CATEGORIES[-1]}") < float(chain.thresholds[-1])).select(*docs.columns)
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that many documents share stay in the largest doc_id only; n_chars follows."""
-    return line_dedup.dedup_lines(docs)
+    """Lines that many documents share stay in the largest doc_id only; ``n_chars`` counts what is left.
+
+    Null texts become empty; documents that lose all their lines stay, empty.
+    """
+    kept = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of the least doc_id stays.
+
+    Of rows that share a doc_id the one with the least text stays; rows without
+    doc_id all stay.
+    """
+    classes = ngram_join.near_duplicates(docs)
+    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone"))
+    named = docs.where(F.col("doc_id").isNotNull())
+    kept = named.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    own = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"))
+    kept = kept.withColumn("__nth", F.row_number().over(own)).where(F.col("__nth") == 1)
+    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +57,13 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, WORD_TOKENIZER)
 
 
-STAGES = [("line_dedup", drop_repeated_lines), ("packing", pack)]
-#: Classifiers, shingle joins and tokenizers are not SQL; tests compare with brute force.
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", drop_near_duplicates),
+    ("packing", pack),
+]
+#: Classifiers and tokenizers are not SQL; tests/llm compares every stage with brute force.
 ORACLE_SQL = None
 
 
