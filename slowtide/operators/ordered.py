@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from slowtide.functions.vectors import subtract, vector_variance
+from slowtide.operators.skew import join_null_safe
 from slowtide.session import write_once
 
 MAX_SERIES_ROWS = 5_000_000
@@ -71,7 +72,7 @@ def with_previous(
     handed = ends.select(*keys, F.lag("__end").over(W.partitionBy(*series).orderBy("run")).alias("__handed"))
     frame = W.partitionBy(*keys).orderBy(*order)
     looked = runs.withColumns(look_back(keys)).withColumn("__first", F.row_number().over(frame) == 1)
-    joined = looked.join(handed, keys)
+    joined = join_null_safe(looked, handed, keys)
     return joined.withColumns(
         {
             name: F.when(F.col("__first"), F.col("__handed").getField(column)).otherwise(F.col(name))
@@ -129,22 +130,31 @@ def row_index(
 ) -> DataFrame:
     """Add the position ``idx`` (from 0) of each row in its series and the series' length ``n``.
 
-    Positions are counted within sorted runs and shifted by the rows of earlier runs.
+    Rows without a series form a series of their own.
     """
-    keys = [*series, "run"]
-    rows, _ = _sizes(df, list(series))
+    found = running_total(df.withColumn("__one", F.lit(1).cast("long")), "__one", order, series, max_run_rows)
+    return found.withColumnsRenamed({"before": "idx", "total": "n"}).drop("__one")
+
+
+def running_total(
+    df: DataFrame, value: str, order: list[str], series: list[str] = ("series",), max_run_rows: int = MAX_SERIES_ROWS
+) -> DataFrame:
+    """Add ``before``, the sum of ``value`` over the earlier rows of the series, and its ``total``.
+
+    Sums are formed within sorted runs and shifted by the sums of earlier
+    runs: no task holds a series, and rows without a series are one of their own.
+    """
+    series, keys = list(series), [*series, "run"]
+    rows, _ = _sizes(df, series)
     runs = sorted_runs(df, [*series, *order], max(1, -(-rows // max_run_rows)))
-    by_run = W.partitionBy(*series).orderBy("run")
-    sizes = runs.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+    sizes = runs.groupBy(*keys).agg(F.sum(value).alias("__sum"))
+    by_series = W.partitionBy(*series)
     starts = sizes.select(
         *keys,
-        (F.sum("__rows").over(by_run) - F.col("__rows")).alias("__start"),
-        F.sum("__rows").over(W.partitionBy(*series)).alias("n"),
-    )
-    within = F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1
-    return (
-        runs.withColumn("__within", within)
-        .join(starts, keys)
-        .withColumn("idx", F.col("__start") + F.col("__within"))
-        .drop("run", "__start", "__within")
+        (F.sum("__sum").over(by_series.orderBy("run")) - F.col("__sum")).alias("__start"),
+        F.sum("__sum").over(by_series).alias("total"),
     )
+    frame = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
+    looked = runs.withColumn("__through", F.sum(value).over(frame))
+    before = F.col("__start") + F.col("__through") - F.col(value)
+    return join_null_safe(looked, starts, keys).withColumn("before", before).drop("run", "__start", "__through")

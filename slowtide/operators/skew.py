@@ -11,17 +11,23 @@ BROADCAST_BYTES = 32 << 20
 def hot_keys(
     counts: DataFrame, keys: list[str], rows: str, rows_per_salt: int, max_hot: int = MAX_HOT_KEYS
 ) -> DataFrame:
-    """Keys with more than ``rows_per_salt`` rows and the number of salts each gets.
+    """Keys with more rows than one salt should hold, and the number of salts each gets.
 
-    At most ``max_hot`` of them, the most frequent ones: every other key then
-    holds less than 1/max_hot of all rows and needs no salt.
+    A salt holds ``rows_per_salt`` rows, or 1/max_hot of all rows if that is more.
+    Fewer than ``max_hot`` keys can exceed that share, so the list is bounded by
+    arithmetic: no key is left out, and there are no ties to break.
     """
-    return (
-        counts.where(F.col(rows) > rows_per_salt)
-        .orderBy(F.desc(rows))
-        .limit(max_hot)
-        .select(*keys, F.ceil(F.col(rows) / rows_per_salt).cast("int").alias("__salts"))
-    )
+    share = F.greatest(F.lit(rows_per_salt).cast("double"), counts.agg(F.sum(rows)).scalar() / F.lit(max_hot))
+    return counts.where(F.col(rows) > share).select(*keys, F.ceil(F.col(rows) / share).cast("int").alias("__salts"))
+
+
+def join_null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join by name in which a null key equals a null key; the keys appear once."""
+    named = right.select(*[F.col(f"`{c}`").alias(f"__right_{c}" if c in keys else c) for c in right.columns])
+    on = F.lit(True)
+    for key in keys:
+        on = on & F.col(f"`{key}`").eqNullSafe(F.col(f"`__right_{key}`"))
+    return left.join(named, on, how).drop(*[f"__right_{key}" for key in keys])
 
 
 def salted_join(

@@ -7,29 +7,39 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slowtide.functions.text import epoch_days
-from slowtide.operators.skew import spread_work
+from slowtide.operators.ordered import row_index
+from slowtide.operators.skew import join_null_safe, spread_work
+from slowtide.session import write_once
 
-MAX_ROWS = 3000
-AMPLITUDES = tuple(float(a) for a in np.logspace(-3, 3, 25))
+#: Windows fitted together, and windows on either side that a posterior also looks at.
+BLOCK_ROWS, MARGIN_ROWS = 1024, 512
+AMPLITUDES = tuple(float(a) for a in np.logspace(-3, 3, 61))
 
 
-def posterior(t: np.ndarray, y: np.ndarray, length_scale: float, noise: float) -> tuple:
-    """Best amplitude, log marginal likelihood, posterior mean and deviation at ``t``."""
+def _spectrum(t: np.ndarray, y: np.ndarray, length_scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Eigenvalues and axes of the kernel at ``t``, and ``y`` along the axes."""
     gaps = (t[:, None] - t[None, :]) / length_scale
     values, axes = np.linalg.eigh(np.exp(-0.5 * gaps * gaps))
-    values, along = np.clip(values, 0.0, None), axes.T @ y
-    best = None
-    for amplitude in AMPLITUDES:
-        total = amplitude * values + noise
-        fit = -0.5 * (np.sum(along**2 / total) + np.sum(np.log(total)) + len(y) * np.log(2 * np.pi))
-        if best is None or fit > best[1]:
-            best = (amplitude, fit)
-    amplitude, fit = best
+    return np.clip(values, 0.0, None), axes, axes.T @ y
+
+
+def likelihoods(t: np.ndarray, y: np.ndarray, length_scale: float, noise: float) -> np.ndarray:
+    """Log marginal likelihood for each of ``AMPLITUDES``."""
+    values, _, along = _spectrum(t, y, length_scale)
+    total = np.array(AMPLITUDES)[:, None] * values + noise
+    return -0.5 * ((along**2 / total).sum(1) + np.log(total).sum(1) + len(y) * np.log(2 * np.pi))
+
+
+def posterior_at(
+    t: np.ndarray, y: np.ndarray, length_scale: float, amplitude: float, noise: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior mean and deviation of the latent curve at ``t``."""
+    values, axes, along = _spectrum(t, y, length_scale)
     signal = amplitude * values
     mean = axes @ (signal / (signal + noise) * along)
     # variance of the latent curve: signal · noise / (signal + noise) along each axis
     variance = (axes**2) @ (signal * noise / (signal + noise))
-    return amplitude, fit, mean, np.sqrt(np.clip(variance, 0.0, None))
+    return mean, np.sqrt(np.clip(variance, 0.0, None))
 
 
 def smooth(
@@ -39,49 +49,64 @@ def smooth(
     series: list[str] = ("series",),
     length_scales: tuple[float, ...] = (10.0, 15.0, 25.0, 40.0, 63.0, 100.0),
     noise: float = 1.0,
-    max_rows: int = MAX_ROWS,
+    block_rows: int = BLOCK_ROWS,
+    margin_rows: int = MARGIN_ROWS,
 ) -> DataFrame:
     """Smooth each series with an RBF process: ``series.., day, length_scale, mean, lower, upper``.
 
     The length scale (in days) and amplitude of largest marginal likelihood are
-    taken; lower and upper are mean ∓ 1.96 deviations. Scales are fitted in
-    parallel. The cost grows with the cube of a series' length; a series beyond
-    ``max_rows`` windows is an error that names it: use longer windows.
+    taken; lower and upper are mean ∓ 1.96 deviations. A series is worked on in
+    blocks of ``block_rows`` windows, which bounds every task however long it is. Up to
+    one block everything is exact; beyond, the likelihood is the sum over blocks,
+    and a posterior sees ``margin_rows`` windows past its block, since the kernel
+    reaches a few length scales only. Rows without a series are one of their own.
     """
-    series = list(series)
+    series, margin_rows = list(series), min(margin_rows, block_rows)
     rows = df.where(F.col(value).isNotNull()).select(
         *series, epoch_days(F.col(time)).alias("day"), F.col(value).cast("double").alias("y")
     )
-    # lengths are known before a series is gathered anywhere
-    sizes = rows.groupBy(*series).agg(F.count(F.lit(1)).alias("__n"))
-    worst = sizes.orderBy(F.desc("__n")).first()
-    if worst is not None and worst["__n"] > max_rows:
-        named = {c: worst[c] for c in series}
-        raise ValueError(f"series {named} has {worst['__n']} windows; smoothing takes at most {max_rows}")
-    scaled = rows.withColumn("length_scale", F.explode(F.array(*[F.lit(float(s)) for s in length_scales])))
-    numbers = T.ArrayType(T.DoubleType())
-    schema = T.StructType(
-        [df.schema[c] for c in series]
-        + [T.StructField(c, T.DoubleType()) for c in ("length_scale", "likelihood")]
-        + [T.StructField(c, numbers) for c in ("day", "mean", "deviation")]
-    )
+    placed = row_index(rows, ["day", "y"], series).withColumnsRenamed({"idx": "__idx", "n": "__n"})
+    placed = placed.withColumn("__block", F.expr(f"__idx div {block_rows}"))
+    placed = write_once(placed, "smoothing-rows")
+    keyed = [df.schema[c] for c in series]
+    double, numbers = T.DoubleType(), T.ArrayType(T.DoubleType())
 
     def fit(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("day")
-        t = pdf["day"].to_numpy()
-        _, likelihood, mean, deviation = posterior(t, pdf["y"].to_numpy(), key[-1], noise)
-        found = dict(zip([*series, "length_scale"], [[k] for k in key]))
-        return pd.DataFrame(found | {"likelihood": likelihood, "day": [t], "mean": [mean], "deviation": [deviation]})
+        pdf = pdf.sort_values("__idx")
+        found = likelihoods(pdf["day"].to_numpy(), pdf["y"].to_numpy(), key[-1], noise)
+        return pd.DataFrame({**dict(zip([*series, "length_scale"], [[k] for k in (*key[:-2], key[-1])])), "fits": [found]})
 
-    keys = [*series, "length_scale"]
+    schema = T.StructType([*keyed, T.StructField("length_scale", double), T.StructField("fits", numbers)])
+    scaled = placed.withColumn("length_scale", F.explode(F.array(*[F.lit(float(s)) for s in length_scales])))
+    keys = [*series, "__block", "length_scale"]
     fitted = spread_work(scaled, keys).groupBy(*keys).applyInPandas(fit, schema)
-    best = fitted.groupBy(*series).agg(
-        F.max_by(F.struct("length_scale", F.arrays_zip("day", "mean", "deviation").alias("rows")),
-                 F.struct("likelihood", "length_scale")).alias("best")
+    best = (
+        fitted.select(*series, "length_scale", F.posexplode("fits").alias("a", "fit"))
+        .groupBy(*series, "length_scale", "a")
+        .agg(F.sum("fit").alias("fit"))
+        .groupBy(*series)
+        .agg(F.max_by(F.struct("length_scale", "a"), F.struct("fit", "length_scale", -F.col("a"))).alias("best"))
+        .select(*series, F.col("best.length_scale").alias("length_scale"), F.col("best.a").alias("a"))
     )
-    long = best.select(*series, F.col("best.length_scale").alias("length_scale"), F.explode("best.rows").alias("r"))
-    band = F.lit(1.96) * F.col("r.deviation")
-    return long.select(
-        *series, F.col("r.day").alias("day"), "length_scale", F.col("r.mean").alias("mean"),
-        (F.col("r.mean") - band).alias("lower"), (F.col("r.mean") + band).alias("upper"),
+
+    # a row also goes to the block whose margin it lies in
+    at, last = F.pmod(F.col("__idx"), F.lit(block_rows)), F.expr(f"(__n - 1) div {block_rows}")
+    seen = F.array(
+        F.col("__block"),
+        F.when((at < margin_rows) & (F.col("__block") > 0), F.col("__block") - 1),
+        F.when((at >= block_rows - margin_rows) & (F.col("__block") < last), F.col("__block") + 1),
     )
+    spread = placed.withColumn("__for", F.explode(F.array_compact(seen)))
+    chosen = join_null_safe(spread, best, series)
+
+    def curve(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("__idx")
+        scale, amplitude = float(pdf["length_scale"].iloc[0]), AMPLITUDES[int(pdf["a"].iloc[0])]
+        mean, deviation = posterior_at(pdf["day"].to_numpy(), pdf["y"].to_numpy(), scale, amplitude, noise)
+        own = (pdf["__block"] == pdf["__for"]).to_numpy()
+        found = pdf[own][[*series, "day", "length_scale"]].copy()
+        return found.assign(mean=mean[own], lower=(mean - 1.96 * deviation)[own], upper=(mean + 1.96 * deviation)[own])
+
+    names = ("day", "length_scale", "mean", "lower", "upper")
+    result = T.StructType([*keyed, *[T.StructField(c, double) for c in names]])
+    return spread_work(chosen, [*series, "__for"]).groupBy(*series, "__for").applyInPandas(curve, result)

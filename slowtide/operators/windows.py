@@ -1,5 +1,6 @@
 """Pooling of vectors and texts in time windows."""
 
+import math
 import re
 from datetime import timedelta
 
@@ -7,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from slowtide.functions.vectors import vector_sum
-from slowtide.operators.ordered import sorted_runs
-from slowtide.operators.skew import salted_join
+from slowtide.functions.vectors import check_dims, vector_sum
+from slowtide.operators.ordered import running_total
 
 UNITS = {
     "us": timedelta(microseconds=1),
@@ -38,6 +38,13 @@ class Span:
     def micros(self) -> int:
         return self.length // timedelta(microseconds=1)
 
+    @staticmethod
+    def of_micros(micros: int, offset: timedelta) -> "Span":
+        """A span that no text names."""
+        span = Span("1us")
+        span.length, span.offset = timedelta(microseconds=micros), offset
+        return span
+
     @property
     def sql(self) -> str:
         return f"{self.micros} microseconds"
@@ -48,14 +55,21 @@ class Span:
         return F.window(ts, self.sql, self.sql, offset).getField("start")
 
 
-def _interval(micros: int) -> Column:
-    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), F.lit(micros / 1e6).cast("decimal(18,6)"))
+def _interval(micros: Column) -> Column:
+    seconds = (micros.cast("decimal(20,0)") / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)
 
 
-def _sliding_starts(step_start: Column, every: Span, period: Span) -> Column:
-    """Starts of all windows on the ``every`` grid that cover a whole step."""
-    reach = period.micros - every.micros
-    return F.sequence(step_start - _interval(reach), step_start, _interval(every.micros))
+def _steps(rows: DataFrame, every: Span, period: Span, time: str) -> tuple[DataFrame, Column]:
+    """Add ``__step``, the start of the finest step that tiles all windows, and ``__last``, the latest
+    window start at or before it; and an expression for the starts of all windows that hold a step."""
+    step = Span.of_micros(math.gcd(every.micros, period.micros), every.offset)
+    cut = rows.withColumn("__step", step.start_of(F.col(time))).withColumn("__last", every.start_of(F.col(time)))
+    # windows start at __last, __last - every, .. as long as they reach the end of the step
+    since = F.expr("timestampdiff(MICROSECOND, __last, __step)")
+    n = F.floor((F.lit(period.micros - step.micros) - since) / F.lit(every.micros)).cast("int") + 1
+    back = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.col("__last") - _interval(i * F.lit(every.micros)))
+    return cut, F.when(n > 0, back).otherwise(F.array().cast("array<timestamp_ntz>"))
 
 
 def _open_windows(windows: DataFrame, series: list[str], first_step: str) -> DataFrame:
@@ -71,15 +85,6 @@ def _open_windows(windows: DataFrame, series: list[str], first_step: str) -> Dat
     return windows.where(F.col("window_start") >= first.scalar()).drop(first_step)
 
 
-def _spread_to_windows(rows: DataFrame, every: Span, period: Span, series: list[str], time: str) -> DataFrame:
-    """Copy rows to each window they fall in; used when steps do not tile the period."""
-    first_step = every.start_of(F.col(time))
-    start = F.window(
-        F.col(time), period.sql, every.sql, f"{every.offset // timedelta(microseconds=1)} microseconds"
-    ).getField("start")
-    return rows.withColumn("__step", first_step).withColumn("window_start", start)
-
-
 def _mean(total: str, n: str) -> Column:
     return F.transform(total, lambda x: x / F.col(n)).cast("array<float>")
 
@@ -91,37 +96,36 @@ def pool_windows(
     series: list[str] = ("series",),
     time: str = "date",
     vector: str = "embedding",
+    dims: int | None = None,
 ) -> DataFrame:
     """Mean vector per time window: ``series.., window_start, n, embedding``.
 
+    With ``dims`` a vector of another length is an error that names its row.
+
     Windows are [start, start + period), on the grid of ``every``; windows
     without rows are absent. Rows without a vector are left out. Sums form
     before the shuffle, so a series with most of the rows costs no more than
-    another; overlapping windows copy step sums, never rows, if the period is a
-    multiple of the step.
+    another; overlapping windows copy the sums of the finest step that tiles
+    them, never rows.
     """
     series = list(series)
     step, length = Span(every), Span(period or every)
     rows = df.select(*series, time, vector).where(F.col(vector).isNotNull())
+    if dims is not None:
+        rows = rows.withColumn(vector, check_dims(F.col(vector), dims, F.concat_ws(" ", *[F.col(c).cast("string") for c in [*series, time]])))
     total, count = vector_sum(F.col(vector)).alias("total"), F.count(F.lit(1)).alias("n")
     if length.micros == step.micros:
         sums = rows.withColumn("window_start", step.start_of(F.col(time))).groupBy(*series, "window_start").agg(total, count)
-    elif length.micros % step.micros == 0:
-        steps = rows.withColumn("__step", step.start_of(F.col(time))).groupBy(*series, "__step").agg(total, count)
-        sums = _open_windows(
-            steps.withColumn("window_start", F.explode(_sliding_starts(F.col("__step"), step, length)))
-            .groupBy(*series, "window_start")
-            .agg(vector_sum(F.col("total")).alias("total"), F.sum("n").alias("n"), F.min("__step").alias("__step")),
-            series,
-            "__step",
-        )
     else:
+        cut, starts = _steps(rows, step, length, time)
         sums = _open_windows(
-            _spread_to_windows(rows, step, length, series, time)
+            cut.groupBy(*series, "__step", "__last")
+            .agg(total, count)
+            .withColumn("window_start", F.explode(starts))
             .groupBy(*series, "window_start")
-            .agg(total, count, F.min("__step").alias("__step")),
+            .agg(vector_sum(F.col("total")).alias("total"), F.sum("n").alias("n"), F.min("__last").alias("__last")),
             series,
-            "__step",
+            "__last",
         )
     return sums.select(*series, "window_start", "n", _mean("total", "n").alias(vector))
 
@@ -138,40 +142,43 @@ def join_texts(
 ) -> DataFrame:
     """Texts of each window in time order: ``series.., window_start, part, msg``.
 
-    Texts are separated by one blank; null texts are left out. A window is one
-    row (part 0) while no window exceeds ``max_bytes`` (measured first).
-    Beyond, one string would not fit a task: rows are range-partitioned in
-    (series, time) order and a window comes in several parts, whose
-    concatenation in the order of ``part`` (with a blank) is the whole text.
+    Texts are separated by one blank; null texts are left out. A window's text
+    comes in parts whose concatenation in the order of ``part`` (with a blank) is
+    the whole: a new part begins when the window's own bytes so far pass a
+    multiple of ``max_bytes``, so a window below it is one row, part 0, whatever
+    the other windows hold. Texts are joined per step first; overlapping windows
+    copy the steps' texts.
     """
     series, order = list(series), list(order)
     step, length = Span(every), Span(period or every)
-    keys = [*series, "window_start"]
     rows = df.select(*series, time, *[c for c in order if c != time], text).where(F.col(text).isNotNull())
-    if length.micros == step.micros:
-        placed = rows.withColumn("window_start", step.start_of(F.col(time)))
-    else:
-        copied = _spread_to_windows(rows, step, length, series, time)
-        firsts = (
-            rows.withColumn("__step", step.start_of(F.col(time)))
-            .groupBy(*series)
-            .agg(F.min("__step").alias("__first"))
-        )
-        if series:
-            opened = salted_join(copied, firsts, series, [time, *order], how="inner")
-            placed = opened.where("window_start >= __first").drop("__first", "__step")
-        else:
-            placed = copied.where(F.col("window_start") >= firsts.scalar()).drop("__step")
+    cut, starts = _steps(rows, step, length, time)
+    keys = [*series, "__step", "__last"]
+    sized = running_total(cut.withColumn("__bytes", (F.octet_length(text) + 1).cast("long")), "__bytes", [time, *order], keys)
     by = ", ".join(f"`{c}`" for c in [time, *order])
     joined = F.expr(f"listagg(`{text}`, ' ') within group (order by {by})").alias(text)
-    sizes = placed.groupBy(*keys).agg(F.sum(F.octet_length(text) + 1).alias("bytes"))
-    total, largest = sizes.agg(F.sum("bytes"), F.max("bytes")).first()
-    if (largest or 0) <= max_bytes:
-        return placed.groupBy(*keys).agg(joined).select(*keys, F.lit(0).alias("part"), text)
-    runs = sorted_runs(placed, [*keys, time, *order], -(-total // max_bytes))
-    parts = runs.groupBy(*keys, "run").agg(joined)
-    part = F.row_number().over(W.partitionBy(*keys).orderBy("run")) - 1
-    return parts.select(*keys, part.alias("part"), text)
+    steps = (
+        sized.withColumn("part", F.expr(f"before div {int(max_bytes)}"))
+        .groupBy(*keys, "part")
+        .agg(joined, F.sum("__bytes").alias("__bytes"))
+    )
+    if length.micros == step.micros:
+        return _numbered(steps.withColumnRenamed("__step", "window_start"), [*series, "window_start"], text)
+    copied = steps.withColumn("window_start", F.explode(starts))
+    opened = _open_windows(copied, series, "__last")
+    window = [*series, "window_start"]
+    # a window's steps and their parts: a few rows
+    before = F.sum("__bytes").over(W.partitionBy(*window).orderBy("__step", "part")) - F.col("__bytes")
+    joined = F.expr(f"listagg(`{text}`, ' ') within group (order by __step, __nth)").alias(text)
+    placed = opened.withColumn("__before", before).withColumnRenamed("part", "__nth")
+    parts = placed.withColumn("part", F.expr(f"__before div {int(max_bytes)}")).groupBy(*window, "part").agg(joined)
+    return _numbered(parts, window, text)
+
+
+def _numbered(parts: DataFrame, window: list[str], text: str) -> DataFrame:
+    """Parts of each window numbered from 0 without gaps."""
+    number = F.row_number().over(W.partitionBy(*window).orderBy("part")) - 1
+    return parts.select(*window, number.alias("part"), text)
 
 
 def time_scale_means(

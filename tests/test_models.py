@@ -10,7 +10,7 @@ from slowtide.operators.extremes import extreme_rows
 from slowtide.operators.models import apply_model, fit_pca, fit_sfa, series_moments
 from slowtide.operators.moments import covariance_entries, merge, moments
 from slowtide.operators.slowness import label_gains, label_orders, mean_label_gains, prefix_gains, slowness, slowness_by_time_scale
-from slowtide.operators.smoothing import posterior, smooth
+from slowtide.operators.smoothing import AMPLITUDES, likelihoods, posterior_at, smooth
 from slowtide.operators.spectrum import amplitude_spectrum
 from slowtide.session import write_once
 
@@ -263,7 +263,7 @@ def test_whitening_axes_are_unit_rows(spark, rows):
 @pytest.mark.parametrize("limit", [1 << 20, 20])
 def test_spectrum(spark, limit):
     rng = np.random.default_rng(6)
-    y = {"even": rng.normal(size=64), "odd": rng.normal(size=31), "tiny": rng.normal(size=8), "one": np.ones(1)}
+    y = {"even": rng.normal(size=64), "odd": rng.normal(size=31), "tiny": rng.normal(size=8), "one": np.ones(1), None: rng.normal(size=37)}
     data = [(s, i, float(v)) for s, values in y.items() for i, v in enumerate(values)]
     rows = spark.createDataFrame(data, "series string, window_start int, v double").repartition(5)
     found = amplitude_spectrum(rows, "v", max_fft_rows=limit).collect()
@@ -287,15 +287,31 @@ def test_smoothing(spark):
     assert len(own) == 120 and np.abs(np.array([r["mean"] for r in own]) - curve).mean() < 0.5
     assert all(r["lower"] < r["mean"] < r["upper"] for r in own)
     assert {r["mean"] for r in found.where("series = 'zero'").collect()} == {0.0}
-    with pytest.raises(ValueError, match="120 windows"):
-        smooth(rows, "v", max_rows=100)
+
+
+def test_smoothing_in_blocks(spark):
+    """Long series in blocks: near the exact curve, one row per window, null series kept."""
+    start, rng = dt.datetime(2024, 1, 1), np.random.default_rng(1)
+    data = []
+    for name, n in (("long", 300), (None, 150), ("short", 40)):
+        y = 3 * np.sin(np.arange(n) / 9) + rng.normal(size=n) / 2
+        data += [(name, start + dt.timedelta(days=i), float(v)) for i, v in enumerate(y)]
+    rows = spark.createDataFrame(data, "series string, window_start timestamp_ntz, v double")
+    scales = (10.0, 15.0)
+    whole = {(r["series"], r["day"]): r["mean"] for r in smooth(rows, "v", length_scales=scales).collect()}
+    parts = {(r["series"], r["day"]): r["mean"] for r in smooth(rows, "v", length_scales=scales, block_rows=60, margin_rows=50).collect()}
+    assert whole.keys() == parts.keys() and len(whole) == 490
+    assert max(abs(whole[k] - parts[k]) for k in whole if k[0] == "short") < 1e-9
+    assert max(abs(whole[k] - parts[k]) for k in whole) < 0.2
 
 
 def test_posterior_equals_textbook():
     t, y = np.arange(6.0) * 9, np.array([0.0, 1, 3, 2, 1, -1])
-    amplitude, likelihood, mean, deviation = posterior(t, y, 15.0, 1.0)
+    fits = likelihoods(t, y, 15.0, 1.0)
+    amplitude = AMPLITUDES[int(np.argmax(fits))]
+    mean, deviation = posterior_at(t, y, 15.0, amplitude, 1.0)
     k = amplitude * np.exp(-0.5 * ((t[:, None] - t) / 15) ** 2)
     total = k + np.eye(6)
     assert np.allclose(mean, k @ np.linalg.solve(total, y))
     assert np.allclose(deviation**2, np.diag(k - k @ np.linalg.solve(total, k)))
-    assert likelihood == pytest.approx(-0.5 * (y @ np.linalg.solve(total, y) + np.linalg.slogdet(total)[1] + 6 * np.log(2 * np.pi)))
+    assert fits.max() == pytest.approx(-0.5 * (y @ np.linalg.solve(total, y) + np.linalg.slogdet(total)[1] + 6 * np.log(2 * np.pi)))

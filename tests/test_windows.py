@@ -113,7 +113,7 @@ def test_texts(rows):
 def test_oversize_texts_come_in_parts(spark, period):
     rows = spark.range(400).select(
         F.col("id").alias("msg_id"),
-        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 5)).alias("series"),
+        F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 5 > 0, F.concat(F.lit("s"), F.col("id") % 5)).alias("series"),
         F.expr("timestamp_ntz '2024-01-01' + (id % 40) * interval '3' hour").alias("date"),
         F.concat(F.lit("m"), F.col("id")).alias("msg"),
     )
@@ -124,6 +124,10 @@ def test_oversize_texts_come_in_parts(spark, period):
     for r in sorted(parts, key=lambda r: r["part"]):
         pieces.setdefault((r["series"], r["window_start"]), []).append(r["msg"])
     assert {k: " ".join(v) for k, v in pieces.items()} == whole
+    assert any(series is None for series, _ in whole)
+    # a window's parts depend on its own texts alone
+    alone = join_texts(rows.where("series = 's1'"), "1d", period, max_bytes=60).collect()
+    assert sorted(map(tuple, alone)) == sorted(tuple(r) for r in parts if r["series"] == "s1")
 
 
 def test_time_scales_equal_single_grids(rows):
@@ -137,7 +141,7 @@ def test_time_scales_equal_single_grids(rows):
 def series_rows(spark, n=300):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(n, 3))
-    names = ["hot" if i % 3 else "rest" for i in range(n)]
+    names = ["hot" if i % 3 else "rest" if i % 2 else None for i in range(n)]
     # equal dates: the id breaks ties
     data = [(i, names[i], D(2024, 1, 1) + dt.timedelta(hours=i // 4), [float(v) for v in x[i]]) for i in range(n)]
     shuffled = [data[i] for i in rng.permutation(n)]
@@ -149,7 +153,7 @@ def test_differences(spark, max_rows):
     rows, names, x = series_rows(spark)
     found = consecutive_differences(rows, ["date", "row_id"], max_series_rows=max_rows).collect()
     assert len(found) == len(names)
-    for s in ("hot", "rest"):
+    for s in ("hot", "rest", None):
         ids = [i for i, name in enumerate(names) if name == s]
         diffs = {r["row_id"]: r["diff"] for r in found if r["series"] == s}
         assert diffs[ids[0]] is None
@@ -166,7 +170,7 @@ def test_previous_value_over_runs(spark):
 def test_row_index(spark):
     rows, names, _ = series_rows(spark)
     found = row_index(rows, ["date", "row_id"], max_run_rows=20).collect()
-    for s in ("hot", "rest"):
+    for s in ("hot", "rest", None):
         ids = [i for i, name in enumerate(names) if name == s]
         assert {r["row_id"]: (r["idx"], r["n"]) for r in found if r["series"] == s} == {i: (at, len(ids)) for at, i in enumerate(ids)}
 
@@ -176,7 +180,7 @@ def test_dimension_statistics(spark):
     diffs = consecutive_differences(rows, ["date", "row_id"])
     deltas = {(r["series"], r["dim"]): r["delta"] for r in dimension_slowness(diffs).collect()}
     variances = {(r["series"], r["dim"]): r["variance"] for r in dimension_variance(rows).collect()}
-    for s in ("hot", "rest"):
+    for s in ("hot", "rest", None):
         own = x[[i for i, name in enumerate(names) if name == s]]
         for j in range(3):
             assert deltas[(s, j)] == pytest.approx(np.diff(own[:, j]).var(ddof=1) / own[:, j].var(ddof=1))
