@@ -83,6 +83,9 @@ class LexicalPairScorer:
     ``sharpness``·(1 − s) for contradiction.
     """
 
+    #: an expression as cheap as reading a stored score
+    native = True
+
     def __init__(self, lists: dict[str, list[str]], sharpness: float = 4.0):
         self._lists, self._sharpness = lists, sharpness
         self._listed = sorted({w for listed in lists.values() for w in listed})
@@ -122,6 +125,8 @@ class LexicalEncoder:
     ``key`` turns a word into the integer whose remainder is its place.
     """
 
+    native = True
+
     def __init__(self, dims: int = 16, key: Callable[[Column], Column] = F.xxhash64):
         self.dims, self._key = dims, key
 
@@ -135,9 +140,9 @@ class LexicalEncoder:
 
 
 def mock_vector(row_key: Column, dims: int = 10, seed: int = 0) -> Column:
-    """Uniform [0, 1) entries, a function of (seed, row key, position) alone."""
-    bits = 1 << 52
+    """Uniform [0, 1) entries, a function of (seed, row key, position) alone: 52 bits of an MD5 digest."""
+    digest = lambda i: F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), row_key.cast("string"), i.cast("string"))), 1, 13)
     return F.transform(
         F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.pmod(F.xxhash64(F.lit(seed), row_key, i), F.lit(bits)) / F.lit(float(bits)),
+        lambda i: F.conv(digest(i), 16, 10).cast("double") / F.lit(float(1 << 52)),
     )

@@ -22,8 +22,11 @@ def split_sentences(text: Column, abbreviations: tuple[str, ...] = ()) -> Column
     A rule, not a trained model: a sentence ends after ``.``, ``!`` or ``?``
     (with closing quotes or brackets) followed by white space. The dot of a
     listed abbreviation does not end one. Results on prose differ in places
-    from a trained splitter.
+    from a trained splitter. The control characters U+0001 and U+0002 count as
+    blanks.
     """
+    # the two held characters must not occur in the text itself
+    text = F.translate(text, _BREAK + _HELD_DOT, "  ")
     if abbreviations:
         # longest first, so that "e.g." wins over "g."
         listed = "|".join(re.escape(a[:-1]) for a in sorted(abbreviations, key=len, reverse=True))

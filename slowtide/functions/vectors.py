@@ -64,8 +64,14 @@ def check_dims(v: Column, dims: int, row_key: Column) -> Column:
     return F.when(v.isNull() | (F.size(v) == dims), v).otherwise(F.raise_error(complaint).cast("array<float>"))
 
 
+def whole(v: Column) -> Column:
+    """The vector as doubles; an error if one of its entries is null."""
+    no_entry = F.raise_error(F.lit("a vector has a null entry")).cast("array<double>")
+    return F.when(F.exists(v, lambda x: x.isNull()), no_entry).otherwise(doubles(v))
+
+
 def _vec(v: Column) -> Column:
-    return array_to_vector(doubles(v))
+    return array_to_vector(whole(v))
 
 
 def vector_sum(v: Column) -> Column:
@@ -73,10 +79,12 @@ def vector_sum(v: Column) -> Column:
 
     ``Summarizer`` derives its sums from running means, whose rounding depends
     on the order of rows. Its L1 norm is a plain sum of magnitudes: taken of the
-    positive and the negative parts it gives sums that are exact for float
-    entries, hence the same under any partitioning.
+    positive and the negative parts it gives sums of doubles. They are exact, and
+    so the same under any partitioning, as long as the entries are floats whose
+    magnitudes times the number of rows span less than 2**29; beyond, the last
+    bits may differ.
     """
-    v = doubles(v)
+    v = whole(v)
     part = lambda sign: F.transform(v, lambda x: F.greatest(x * sign, F.lit(0.0)))
     norms = vector_to_array(Summarizer.normL1(array_to_vector(F.concat(part(1), part(-1)))))
     half = lambda n: (F.size(n) / 2).cast("int")

@@ -1,5 +1,6 @@
 """Distributed means and covariance matrices of vectors and of their differences."""
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,43 +28,87 @@ def matrix_of(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def merge(a: tuple, b: tuple) -> tuple:
-    """Merge (count, mean, scatter) of two row sets without cancellation."""
-    n_a, mean_a, scatter_a = a
-    n_b, mean_b, scatter_b = b
-    if len(mean_a) != len(mean_b):
-        raise ValueError(f"vectors of different length in one series: {len(mean_a)}, {len(mean_b)}")
-    n = n_a + n_b
-    shift = mean_b - mean_a
-    return n, mean_a + shift * (n_b / n), scatter_a + scatter_b + np.outer(shift, shift) * (n_a * n_b / n)
+class Partial:
+    """Rows and moments of one series: rows as they are while they are few, else count, mean and scatter.
 
+    ``start`` and ``size`` name the rows of the scatter matrix that are kept. A
+    matrix takes as much room as its dimension in rows, so a partial of fewer
+    than ``BLOCK_ROWS`` rows stays rows wherever it is held or sent.
+    """
 
-def _block(x: np.ndarray) -> tuple:
-    mean = x.mean(axis=0)
-    centred = x - mean
-    return len(x), mean, centred.T @ centred
+    def __init__(self, start: int = 0, size: int | None = None):
+        self.start, self.size = start, size
+        self.rows: list[np.ndarray] = []
+        self.waiting = 0
+        self.n, self.mean, self.scatter = 0, None, None
+
+    @property
+    def nbytes(self) -> int:
+        return sum(r.nbytes for r in self.rows) + (0 if self.scatter is None else self.scatter.nbytes)
+
+    def add_rows(self, x: np.ndarray) -> None:
+        if (self.rows or self.mean is not None) and self.width != x.shape[1]:
+            raise ValueError(f"vectors of different length in one series: {self.width}, {x.shape[1]}")
+        self.rows.append(x)
+        self.waiting += len(x)
+        if self.waiting >= BLOCK_ROWS:
+            self.fold()
+
+    def fold(self) -> None:
+        """Turn the waiting rows into moments."""
+        if not self.rows:
+            return
+        x = np.concatenate(self.rows)
+        self.rows, self.waiting = [], 0
+        mean = x.mean(axis=0)
+        centred = x - mean
+        part = centred if self.size is None else centred[:, self.start : self.start + self.size]
+        self.add_moments(len(x), mean, part.T @ centred)
+
+    def add_moments(self, n: int, mean: np.ndarray, scatter: np.ndarray) -> None:
+        """The pairwise update, without cancellation."""
+        if self.mean is None:
+            self.n, self.mean, self.scatter = n, mean.copy(), scatter.copy()
+            return
+        if len(mean) != len(self.mean):
+            raise ValueError(f"vectors of different length in one series: {len(self.mean)}, {len(mean)}")
+        shift, total = mean - self.mean, self.n + n
+        part = shift[self.start : self.start + len(self.scatter)]
+        self.scatter += scatter + np.outer(part, shift) * (self.n * n / total)
+        self.mean += shift * (n / total)
+        self.n = total
+
+    @property
+    def width(self) -> int:
+        return self.rows[0].shape[1] if self.rows else len(self.mean)
+
+    def blocks(self) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """``(first matrix row, n, mean, numbers)`` to be merged elsewhere; rows have no mean."""
+        if self.mean is not None:
+            self.fold()
+        first, last = (0, self.width) if self.size is None else (self.start, self.start + 1)
+        for at in range(first, last, BLOCK_ROWS):
+            if self.mean is None:
+                yield at, self.waiting, np.zeros(0), np.concatenate(self.rows).ravel()
+            else:
+                own = self.scatter[at : at + BLOCK_ROWS] if self.size is None else self.scatter
+                yield at, self.n, self.mean, own.ravel()
 
 
 def _partial_moments(keys: list[str], columns: list[str], schema: pa.Schema):
-    """Task-side part: one (count, mean, scatter) per series and kind seen by the task."""
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array(column, field.type) for column, field in zip(zip(*rows), schema)], schema=schema
-        )
+    """Task-side part: rows or moments of each series and kind seen by the task."""
 
     def rows_of(state: dict) -> Iterator[pa.RecordBatch]:
         ready, size = [], 0
-        for (values, kind), (n, mean, scatter) in state.items():
-            for block in range(0, len(mean), BLOCK_ROWS):
-                part = scatter[block : block + BLOCK_ROWS].ravel()
+        for (values, kind), partial in state.items():
+            for block, n, mean, part in partial.blocks():
                 ready.append((*values, kind, block, n, mean, part))
                 size += part.nbytes
                 if size > SENT_BYTES:
-                    yield batch_of(ready)
+                    yield _batch_of(ready, schema)
                     ready, size = [], 0
         if ready:
-            yield batch_of(ready)
+            yield _batch_of(ready, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state, held = {}, 0
@@ -88,16 +133,16 @@ def _partial_moments(keys: list[str], columns: list[str], schema: pa.Schema):
                 widths = np.diff(vectors.offsets.to_numpy())
                 for at, until in zip(np.r_[0, cuts], np.r_[cuts, len(order)]):
                     # each series has its own vector length
+                    name = names[member[order[at]]]
                     if (widths[at:until] != widths[at]).any():
-                        raise ValueError("vectors of different length in one series")
-                    block = matrix_of(vectors.slice(at, until - at))
-                    key = (names[member[order[at]]], kind)
-                    fresh = _block(block)
-                    if key in state:
-                        state[key] = merge(state[key], fresh)
-                    else:
-                        state[key] = fresh
-                        held += fresh[2].nbytes
+                        raise ValueError(f"vectors of different length in series {name}")
+                    own = vectors.slice(at, until - at)
+                    if own.flatten().null_count:
+                        raise ValueError(f"a vector with a null entry in series {name}")
+                    partial = state.setdefault((name, kind), Partial())
+                    before = partial.nbytes
+                    partial.add_rows(matrix_of(own))
+                    held += partial.nbytes - before
             if held > HELD_BYTES:
                 yield from rows_of(state)
                 state, held = {}, 0
@@ -106,33 +151,37 @@ def _partial_moments(keys: list[str], columns: list[str], schema: pa.Schema):
     return run
 
 
-def _merged_block(batches: Iterator[pa.RecordBatch], key_count: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Merge the partials of one (series, kind, block of matrix rows), one batch at a time."""
-    head, n, mean, rows = None, 0, None, None
+def _batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, field.type) for c, field in zip(zip(*rows), schema)], schema=schema)
+
+
+def _merge(batches: Iterator[pa.RecordBatch], key_count: int, schema: pa.Schema, final: bool) -> Iterator[pa.RecordBatch]:
+    """Merge the partials of one (series, kind, block of matrix rows), one batch at a time.
+
+    Gives one partial again, or the block's rows of the covariance matrix if ``final``.
+    """
+    head, partial = None, None
     for batch in batches:
         if head is None:
             head = [batch.column(i)[0].as_py() for i in range(key_count + 2)]
-        start = head[-1]
-        counts = batch.column(key_count + 2).to_numpy()
-        means, scatters = matrix_of(batch.column(key_count + 3)), matrix_of(batch.column(key_count + 4))
-        for n_b, mean_b, rows_b in zip(counts.tolist(), means, scatters):
-            rows_b = rows_b.reshape(-1, len(mean_b))
-            if mean is None:
-                n, mean, rows = n_b, mean_b.copy(), rows_b.copy()
-                continue
-            if len(mean_b) != len(mean):
-                raise ValueError(f"vectors of different length in one series: {len(mean)}, {len(mean_b)}")
-            shift, total = mean_b - mean, n + n_b
-            rows += rows_b + np.outer(shift[start : start + len(rows)], shift) * (n * n_b / total)
-            mean += shift * (n_b / total)
-            n = total
-    if head is not None:
-        # sample covariance; a single row has none
-        covariance = rows / (n - 1) if n > 1 else np.zeros_like(rows)
-        found = [(*head[:-1], head[-1] + i, n, mean, row) for i, row in enumerate(covariance)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(column, field.type) for column, field in zip(zip(*found), schema)], schema=schema
-        )
+            partial = Partial(head[-1], BLOCK_ROWS)
+        counts, means, parts = (batch.column(key_count + i) for i in (2, 3, 4))
+        for n, mean, part in zip(counts.to_pylist(), means, parts):
+            mean, part = (v.values.to_numpy(zero_copy_only=False) for v in (mean, part))
+            if len(mean):
+                partial.add_moments(n, mean, part.reshape(-1, len(mean)))
+            else:
+                partial.add_rows(part.reshape(n, -1))
+    if head is None:
+        return
+    if not final:
+        yield _batch_of([(*head[:-1], at, n, mean, part) for at, n, mean, part in partial.blocks()], schema)
+        return
+    partial.fold()
+    # sample covariance; a single row has none
+    n, scatter = partial.n, partial.scatter
+    covariance = scatter / (n - 1) if n > 1 else np.zeros_like(scatter)
+    yield _batch_of([(*head[:-1], head[-1] + i, n, partial.mean, row) for i, row in enumerate(covariance)], schema)
 
 
 def plain_arrow_schema(schema: T.StructType) -> pa.Schema:
@@ -169,11 +218,12 @@ def moments(
     ``series.., kind, i, n, mean, covariance`` with kind ``x`` for the vectors
     and ``dx`` for the differences (if ``diff`` names their column).
 
-    One pass: each task reduces its rows to one matrix per series; blocks of
-    matrix rows are then merged, and nothing reaches the driver. A merge streams
-    one block per task of the first step and holds a single one. Matrices are centred
-    when they are formed and merged by the pairwise update, never as a
-    difference of large sums.
+    One pass: each task reduces its rows to one matrix per series, or sends
+    them on while they are fewer than a matrix takes. Partials are merged in two
+    steps, first over parts of the tasks and then over those, so that a series
+    seen by every task is no heavier than others; blocks of matrix rows are
+    merged apart, and nothing reaches the driver. Matrices are centred when they are
+    formed and merged by the pairwise update, never as a difference of large sums.
     """
     series = list(series)
     spark_schema = _moment_schema(df, series)
@@ -185,11 +235,19 @@ def moments(
     )
     key_count = len(series)
 
-    def merge_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _merged_block(batches, key_count, arrow_schema)
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _merge(batches, key_count, arrow_schema, final=False)
+
+    def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _merge(batches, key_count, arrow_schema, final=True)
 
     keys = [*series, "kind", "i"]
-    return spread_work(partials, keys).groupBy(*keys).applyInArrow(merge_blocks, spark_schema)
+    parts = math.isqrt(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if parts > 1:
+        # which task a partial comes from is as good as any other way to divide them
+        dealt = partials.withColumn("__part", F.pmod(F.spark_partition_id(), F.lit(parts)))
+        partials = dealt.groupBy(*keys, "__part").applyInArrow(merged, spark_schema)
+    return spread_work(partials, keys).groupBy(*keys).applyInArrow(finished, spark_schema)
 
 
 def covariance_entries(moment_rows: DataFrame, series: list[str] = ("series",)) -> DataFrame:

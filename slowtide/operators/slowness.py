@@ -24,7 +24,7 @@ def slowness(
     order: list[str] = ("window_start",),
     series: list[str] = ("series",),
     vector: str = "embedding",
-    bounded: bool = True,
+    bounded: bool = False,
 ) -> DataFrame:
     """Sum of the ``dims`` smallest slowness values of each series: ``series.., n, delta``.
 
@@ -48,24 +48,28 @@ def slowness_by_time_scale(
     ``series.., days, n, delta``. One job over day sums serves all time scales.
     """
     pooled = time_scale_means(df, max_days, series, time, vector)
-    return slowness(pooled, series=[*series, "days"], vector=vector)
+    # windows of whole days: the calendar limits a series
+    return slowness(pooled, series=[*series, "days"], vector=vector, bounded=True)
 
 
 def _order_key(iteration, label_idx, seed: int):
-    return F.xxhash64(F.lit(seed), iteration, label_idx)
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), iteration.cast("string"), label_idx.cast("string")))
 
 
-def label_orders(spark, n_iterations: int, n_labels: int, seed: int = 0) -> DataFrame:
-    """A seeded random order of the labels per iteration: ``iteration, label_order``.
+def with_label_order(df: DataFrame, n_labels: int, seed: int = 0) -> DataFrame:
+    """Add ``label_order``, a seeded random order of the labels for each ``iteration``.
 
     Labels are sorted by a hash of (seed, iteration, label), so the orders do
     not depend on how the work is partitioned.
     """
     ids = F.sequence(F.lit(0), F.lit(n_labels - 1))
     keyed = F.transform(ids, lambda i: F.struct(_order_key(F.col("iteration"), i, seed).alias("h"), i.alias("i")))
-    return spark.range(n_iterations).select(
-        F.col("id").alias("iteration"), F.transform(F.array_sort(keyed), lambda s: s["i"]).alias("label_order")
-    )
+    return df.withColumn("label_order", F.transform(F.array_sort(keyed), lambda s: s["i"]))
+
+
+def label_orders(spark, n_iterations: int, n_labels: int, seed: int = 0) -> DataFrame:
+    """Orders of the labels for so many iterations: ``iteration, label_order``."""
+    return with_label_order(spark.range(n_iterations).select(F.col("id").alias("iteration")), n_labels, seed)
 
 
 def prefix_gains(c: np.ndarray, d: np.ndarray, n: int, orders: np.ndarray, keep: float = 0.99) -> np.ndarray:
@@ -97,6 +101,7 @@ def label_gains(
     series: list[str] = ("series",),
     vector: str = "embedding",
     iterations_per_task: int = 50,
+    bounded: bool = False,
 ) -> DataFrame:
     """Slowness gain of every label in every iteration.
 
@@ -104,7 +109,7 @@ def label_gains(
     its two matrices once; iterations then run in parallel on copies of them.
     """
     series = list(series)
-    flat = series_moments(df, order, series, vector).groupBy(*series).agg(
+    flat = series_moments(df, order, series, vector, bounded).groupBy(*series).agg(
         F.max("n").alias("n"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == VALUES, F.struct("i", "covariance")))).alias("c"),
         F.array_sort(F.collect_list(F.when(F.col("kind") == DIFFERENCES, F.struct("i", "covariance")))).alias("d"),
