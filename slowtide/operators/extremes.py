@@ -4,6 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from slowtide.operators.skew import join_null_safe
+from slowtide.session import write_once
+
 
 def extreme_rows(
     df: DataFrame,
@@ -16,15 +19,16 @@ def extreme_rows(
 ) -> DataFrame:
     """The k largest and k smallest rows of every entry of a vector column.
 
-    ``series.., component, side ('high'/'low'), rank, score, keep..``. The rank
-    filter runs before the shuffle too: a task sends k rows per component and
-    side, however many rows a series has.
+    ``series.., component, side ('high'/'low'), rank, score, keep..``. Series and
+    ``tie_break`` columns together must name a row. The rank filter runs before the
+    shuffle too: a task sends k rows per component and side, however many rows a
+    series has. Other kept columns are joined to the winners only.
     """
     # an expression, not a column: for a column Catalyst infers filters that compute it once more
     scores = F.transform(components, lambda x: x) if n_components is None else F.slice(components, 1, n_components)
-    # ids may serve as series, tie-break and kept column at once
-    carried = list(dict.fromkeys([*series, *tie_break, *keep]))
-    long = df.select(*carried, F.posexplode(scores).alias("component", "score"))
+    ids = list(dict.fromkeys([*series, *tie_break]))
+    # ids and scores alone are ranked; both sides read the stored long form
+    long = write_once(df.select(*ids, F.posexplode(scores).alias("component", "score")), "component-scores")
 
     def side(name: str, direction) -> DataFrame:
         order = W.partitionBy(*series, "component").orderBy(direction("score"), *tie_break)
@@ -35,4 +39,8 @@ def extreme_rows(
         )
 
     both = side("high", F.desc).unionByName(side("low", F.asc))
+    rest = [c for c in dict.fromkeys(keep) if c not in ids]
+    if rest:
+        # the texts of the winners: at most 2 · k rows per component
+        both = join_null_safe(both, df.select(*ids, *rest), ids)
     return both.select(*dict.fromkeys([*series, "component", "side", "rank", "score", *keep]))

@@ -1,11 +1,15 @@
 """Scoring jobs: embed texts, score text × label, and never score a pair twice."""
 
-from pyspark.sql import Column, DataFrame
+from __future__ import annotations
+
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slowtide.functions.scorers import Encoder, PairScorer
 from slowtide.operators.skew import salted_join
-from slowtide.session import write_once
+from slowtide.session import fresh_path, write_once
 from slowtide.sources.score_table import ScoreTable, VectorTable
 
 
@@ -80,6 +84,12 @@ def attach_scores(pairs: DataFrame, hits: DataFrame, fresh: DataFrame, spread_by
     return salted_join(pairs, known, ["text_key", "label"], spread_by)
 
 
+def distinct_texts(df: DataFrame, text: str = "msg") -> DataFrame:
+    """``(text_key, text)`` of the texts that occur, grouped by the 32-byte key alone."""
+    keyed = df.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text"))
+    return keyed.groupBy("text_key").agg(F.any_value("text").alias("text"))
+
+
 def fill_scores(
     texts: DataFrame,
     scorer: PairScorer,
@@ -95,11 +105,14 @@ def fill_scores(
     the set of its known labels, not once per label. The texts left to score
     are stored, so that a lost executor repeats their scoring only.
     """
-    distinct = texts.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text")).distinct()
+    distinct = distinct_texts(texts, text)
     names = list(dict.fromkeys(labels))
-    known = table.entries(model, names).groupBy("text_key").agg(F.collect_set("label").alias("known"))
+    # only the labels of the texts at hand
+    stored = table.entries(model, names).join(distinct.select("text_key"), "text_key", "left_semi")
+    known = stored.groupBy("text_key").agg(F.collect_set("label").alias("known"))
     incomplete = F.col("known").isNull() | (F.size("known") < len(names))
-    todo = write_once(distinct.join(known, "text_key", "left").where(incomplete), "todo")
+    # balanced and stored before the model sees it
+    todo = write_once(distinct.join(known, "text_key", "left").where(incomplete).hint("rebalance"), "todo")
     if todo.isEmpty():
         return 0
     # new texts take all labels at once; texts with some labels stored, the others one by one
@@ -160,8 +173,61 @@ def memoised_embeddings(
     text: str = "msg",
 ) -> DataFrame:
     """Add embeddings through the vector table: each text is encoded once, ever."""
-    distinct = df.where(F.col(text).isNotNull()).select(text_key(F.col(text)).alias("text_key"), F.col(text).alias("text")).distinct()
-    todo = distinct.join(table.entries(model).select("text_key"), "text_key", "left_anti")
-    table.append(todo.select("text_key", encoder.encode(F.col("text")).alias("embedding")), model, run_id)
+    new = distinct_texts(df, text).join(table.entries(model).select("text_key"), "text_key", "left_anti")
+    # balanced and stored before the model sees it
+    todo = write_once(new.hint("rebalance"), "todo")
+    if not todo.isEmpty():
+        table.append(todo.select("text_key", encoder.encode(F.col("text")).alias("embedding")), model, run_id)
     keyed = df.withColumn("text_key", text_key(F.col(text)))
     return salted_join(keyed, table.latest(model), ["text_key"], spread_by).drop("text_key")
+
+
+@dataclass
+class Memo:
+    """Stored results of one model, by which the analyses score every text once, ever.
+
+    ``path`` holds the vector table and the score table; ``run_id`` marks what a
+    run stored. Without a path the tables live below the session's shared folder
+    for as long as that does, which still removes repeats within a run.
+    """
+
+    spark: SparkSession
+    path: str | None = None
+    model: str = "model"
+    run_id: str = "run"
+    vectors: VectorTable = field(init=False)
+    scores: ScoreTable = field(init=False)
+
+    def __post_init__(self):
+        self.path = self.path or fresh_path(self.spark, "memo")
+        self.vectors = VectorTable(self.spark, f"{self.path}/vectors")
+        self.scores = ScoreTable(self.spark, f"{self.path}/scores")
+
+    def text_vectors(self, df: DataFrame, encoder: Encoder, spread_by: list[str], text: str = "msg") -> DataFrame:
+        """Rows that have a text, with its vector as ``embedding``."""
+        rows = df.where(F.col(text).isNotNull())
+        return memoised_embeddings(rows, encoder, self.vectors, self.model, self.run_id, spread_by, text)
+
+    def label_text_vectors(
+        self, df: DataFrame, scorer: PairScorer, labels: list[str], spread_by: list[str], text: str = "msg"
+    ) -> DataFrame:
+        """Rows that have a text, with its label scores as ``embedding``."""
+        rows = df.where(F.col(text).isNotNull())
+        return memoised_label_vectors(rows, scorer, labels, self.scores, self.model, self.run_id, spread_by, text)
+
+
+def memo_for(spark: SparkSession, model, memo: Memo | None) -> Memo | None:
+    """The memo to use: the given one, or a new one for a model that is not an expression of its own."""
+    return memo if memo is not None or getattr(model, "native", False) else Memo(spark)
+
+
+def vectors_of(df: DataFrame, encoder: Encoder, memo: Memo | None, spread_by: list[str]) -> DataFrame:
+    """Rows that have a text, with its vector; each text is encoded once if the encoder is a model."""
+    memo = memo_for(df.sparkSession, encoder, memo)
+    return text_vectors(df, encoder) if memo is None else memo.text_vectors(df, encoder, spread_by)
+
+
+def label_vectors_of(df: DataFrame, scorer: PairScorer, labels: list[str], memo: Memo | None, spread_by: list[str]) -> DataFrame:
+    """Rows that have a text, with its label scores; each pair is scored once if the scorer is a model."""
+    memo = memo_for(df.sparkSession, scorer, memo)
+    return label_text_vectors(df, scorer, labels) if memo is None else memo.label_text_vectors(df, scorer, labels, spread_by)

@@ -1,6 +1,9 @@
 """The end-to-end analyses. Each runs for all authors (series) at once.
 
 Restrict ``messages`` with ``practice_logs(..., author=...)`` for one author.
+Models are called through a ``Memo``: each text, or pair of text and label, is
+scored once, over all analyses that share it. Without one, a model gets tables
+of its own for the run; scorers that are mere expressions are evaluated in place.
 """
 
 from dataclasses import dataclass
@@ -15,7 +18,7 @@ from slowtide.operators.extremes import extreme_rows
 from slowtide.operators.models import apply_model, fit_pca, fit_sfa, series_moments
 from slowtide.operators.moments import moments
 from slowtide.operators.ordered import dimension_variance, first_rows
-from slowtide.operators.scoring import label_text_vectors, text_vectors
+from slowtide.operators.scoring import Memo, label_vectors_of, vectors_of
 from slowtide.operators.sentences import explode_sentences
 from slowtide.operators.slowness import label_gains, mean_label_gains, slowness, slowness_by_time_scale
 from slowtide.operators.spectrum import amplitude_spectrum
@@ -25,11 +28,17 @@ from slowtide.plans.vocabulary import label_table
 from slowtide.session import write_once
 
 AUTHOR = ["author"]
+MESSAGE = ["msg_id"]
 SENTENCE = ["msg_id", "sentence_idx"]
 
 
 def time_aggregated_logs(
-    messages: DataFrame, encoder: Encoder, every: str, period: str | None = None, with_text: bool = False
+    messages: DataFrame,
+    encoder: Encoder,
+    every: str,
+    period: str | None = None,
+    with_text: bool = False,
+    memo: Memo | None = None,
 ) -> DataFrame:
     """Practice logs pooled in time windows: ``author, window_start, n, embedding`` (and texts).
 
@@ -37,15 +46,18 @@ def time_aggregated_logs(
     the only one unless a window's text exceeds the size of one string.
     """
     logs = practice_logs(messages)
-    pooled = pool_windows(text_vectors(logs, encoder), every, period, AUTHOR)
+    pooled = pool_windows(vectors_of(logs, encoder, memo, MESSAGE), every, period, AUTHOR)
     if not with_text:
         return pooled
     return pooled.join(join_texts(logs, every, period, AUTHOR), [*AUTHOR, "window_start"], "left")
 
 
-def author_slowness(messages: DataFrame, encoder: Encoder, every: str = "1w", dims: int = 1) -> DataFrame:
+def author_slowness(
+    messages: DataFrame, encoder: Encoder, every: str = "1w", dims: int = 1, memo: Memo | None = None
+) -> DataFrame:
     """Slowness of each author's windowed series: ``author, n, delta``."""
-    return slowness(time_aggregated_logs(messages, encoder, every), dims, series=AUTHOR)
+    windows = time_aggregated_logs(messages, encoder, every, memo=memo)
+    return slowness(windows, dims, series=AUTHOR, bounded=True)
 
 
 def slow_features(
@@ -55,11 +67,12 @@ def slow_features(
     period: str | None = "1w",
     keep: float | None = 0.98,
     n_components: int = 3,
+    memo: Memo | None = None,
 ) -> DataFrame:
     """Windowed logs with the slowest features ``SFA_0 ..`` of each author."""
-    windows = write_once(time_aggregated_logs(messages, encoder, every, period), "windows")
+    windows = write_once(time_aggregated_logs(messages, encoder, every, period, memo=memo), "windows")
     share = keep if keep is not None and 0 < keep < 1 else None
-    models = write_once(fit_sfa(series_moments(windows, series=AUTHOR), n_components, share, series=AUTHOR), "sfa")
+    models = write_once(fit_sfa(series_moments(windows, series=AUTHOR, bounded=True), n_components, share, series=AUTHOR), "sfa")
     return apply_model(windows, models, ["window_start"], AUTHOR, target="SFA", split=n_components)
 
 
@@ -71,27 +84,36 @@ def add_pca_columns(
     return apply_model(df, models, spread_by, series, vector, target="PCA", split=n_components)
 
 
-def typical_sentences(messages: DataFrame, encoder: Encoder, n_components: int = 1, k: int = 20) -> DataFrame:
+def typical_sentences(
+    messages: DataFrame, encoder: Encoder, n_components: int = 1, k: int = 20, memo: Memo | None = None
+) -> DataFrame:
     """The k sentences at either end of each author's principal components."""
-    sentences = write_once(text_vectors(explode_sentences(practice_logs(messages)), encoder), "sentences")
+    sentences = write_once(vectors_of(explode_sentences(practice_logs(messages)), encoder, memo, SENTENCE), "sentences")
     models = write_once(fit_pca(moments(sentences, AUTHOR), n_components, AUTHOR), "pca")
     projected = apply_model(sentences, models, SENTENCE, AUTHOR, target="PCA")
     return extreme_rows(projected, "PCA", k, SENTENCE, [*SENTENCE, "msg"], AUTHOR, n_components)
 
 
-def slowness_over_time_scales(messages: DataFrame, encoder: Encoder, max_days: int = 30) -> DataFrame:
+def slowness_over_time_scales(
+    messages: DataFrame, encoder: Encoder, max_days: int = 30, memo: Memo | None = None
+) -> DataFrame:
     """Slowness of each author's series for windows of 1 .. ``max_days`` days."""
-    logs = text_vectors(practice_logs(messages), encoder)
+    logs = vectors_of(practice_logs(messages), encoder, memo, MESSAGE)
     return slowness_by_time_scale(logs, max_days, AUTHOR)
 
 
 def slowness_gain_per_label(
-    messages: DataFrame, scorer: PairScorer, labels: list[str], n_iterations: int = 1000, seed: int = 0
+    messages: DataFrame,
+    scorer: PairScorer,
+    labels: list[str],
+    n_iterations: int = 1000,
+    seed: int = 0,
+    memo: Memo | None = None,
 ) -> DataFrame:
     """Mean slowness gain of adding each label, over random orders of the labels."""
-    sentences = label_text_vectors(explode_sentences(practice_logs(messages)), scorer, labels)
+    sentences = label_vectors_of(explode_sentences(practice_logs(messages)), scorer, labels, memo, SENTENCE)
     daily = pool_windows(sentences, "1d", series=AUTHOR)
-    gains = label_gains(daily, len(labels), n_iterations, seed, series=AUTHOR)
+    gains = label_gains(daily, len(labels), n_iterations, seed, series=AUTHOR, bounded=True)
     means = mean_label_gains(gains, label_table(messages.sparkSession, labels), AUTHOR)
     # one row per author and label
     return means.orderBy(*AUTHOR, F.desc("mean_delta_diff"), "label_idx")
@@ -114,6 +136,7 @@ class SlownessAnalysis:
     n_pca: int = 4
     n_sfa: int = 2
     train_rows: int = 800
+    memo: Memo | None = None
 
     @cached_property
     def label_names(self) -> DataFrame:
@@ -123,7 +146,7 @@ class SlownessAnalysis:
     def scored(self) -> DataFrame:
         """Sentences with one score per label."""
         sentences = explode_sentences(practice_logs(self.messages))
-        return write_once(label_text_vectors(sentences, self.scorer, self.labels), "scored")
+        return write_once(label_vectors_of(sentences, self.scorer, self.labels, self.memo, SENTENCE), "scored")
 
     @cached_property
     def pca(self) -> DataFrame:
@@ -145,7 +168,7 @@ class SlownessAnalysis:
 
     @cached_property
     def sfa(self) -> DataFrame:
-        rows = series_moments(self.train, series=AUTHOR)
+        rows = series_moments(self.train, series=AUTHOR, bounded=True)
         return write_once(fit_sfa(rows, self.n_sfa, cutoff=self.cutoff, cutoff_mode=self.cutoff_mode, series=AUTHOR), "sfa")
 
     def with_slow_features(self, df: DataFrame, spread_by: list[str], split: bool = True) -> DataFrame:

@@ -1,7 +1,6 @@
 """Session settings and the shared folder where jobs cut their lineage."""
 
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,17 +33,11 @@ def build_session(app: str = "slowtide", master: str | None = None, **overrides)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    Only a local session, where driver and executors share one machine, may
-    fall back to a temporary folder.
+    ``spark.checkpoint.dir``, or else the session's warehouse, which is storage that
+    all of them read and write too.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="slowtide-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return named or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -2,8 +2,9 @@
 
 Both are partitioned Parquet tables that only grow. A text is known by its
 32-byte digest: with one row per label, the text itself would be stored as
-often as there are labels. Writing a key again replaces its value: readers keep
-the value of the largest ``run_id``.
+often as there are labels. Writing a key again replaces its value: every append
+takes the next number of the table, ``seq``, and readers keep the value of the
+largest. One writer at a time.
 """
 
 from pyspark.errors import AnalysisException
@@ -23,7 +24,7 @@ class _Table:
     @property
     def schema(self) -> T.StructType:
         keys = [T.StructField("text_key", T.BinaryType())]
-        tail = [T.StructField("run_id", T.StringType())] + [T.StructField(p, T.StringType()) for p in self.parts]
+        tail = [T.StructField("run_id", T.StringType()), T.StructField("seq", T.LongType())] + [T.StructField(p, T.StringType()) for p in self.parts]
         return T.StructType(keys + self.columns + tail)
 
     def read(self) -> DataFrame:
@@ -36,17 +37,17 @@ class _Table:
             return self.spark.createDataFrame([], self.schema)
 
     def _append(self, fresh: DataFrame, model: str, run_id: str) -> int:
-        typed = fresh.withColumns({"model": F.lit(model), "run_id": F.lit(run_id)}).select(
+        """Write straight from the tasks that made the rows, so that a lost one repeats its own work only."""
+        seq = (self.read().agg(F.max("seq")).first()[0] or 0) + 1
+        typed = fresh.withColumns({"model": F.lit(model), "run_id": F.lit(run_id), "seq": F.lit(seq)}).select(
             *[F.col(f.name).cast(f.dataType) for f in self.schema.fields]
         )
-        # about equal files per partition, a large one in several
-        rows = typed.hint("rebalance", *[F.col(p) for p in self.parts])
-        rows.write.mode("append").partitionBy(*self.parts).parquet(self.path)
+        typed.write.mode("append").partitionBy(*self.parts).parquet(self.path)
         # counted in storage: exact even if tasks of the write were repeated
-        return self.read().where((F.col("model") == model) & (F.col("run_id") == run_id)).count()
+        return self.read().where((F.col("model") == model) & (F.col("seq") == seq)).count()
 
     def _latest(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        return rows.groupBy(*keys).agg(F.max_by(self.value, "run_id").alias(self.value))
+        return rows.groupBy(*keys).agg(F.max_by(self.value, "seq").alias(self.value))
 
 
 class ScoreTable(_Table):

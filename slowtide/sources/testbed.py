@@ -9,16 +9,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every conversation turn as a forum message."""
-    return table(spark, sf_dir, "conversations").selectExpr(
-        "conv_id * 1000 + turn as msg_id",
+    """Every conversation turn as a forum message, with a message without text after about one turn in 29."""
+    turns = table(spark, sf_dir, "conversations").selectExpr(
+        "conv_id", "role", "turn", "text", "explode(case when (conv_id + turn) % 29 = 0 then array(false, true) else array(false) end) as added"
+    )
+    return turns.selectExpr(
+        "conv_id * 1000 + turn + case when added then 500 else 0 end as msg_id",
         "conv_id as thread_id",
         "timestamp_ntz '2024-01-01 00:00:00' + conv_id * interval '1' day + turn * interval '1' hour as date",
-        "turn = 0 as is_first_in_thread",
+        "turn = 0 and not added as is_first_in_thread",
         "case when conv_id % 3 = 0 then 'Other' else 'PracticeLogs' end as category",
         "concat(role, '_', cast(conv_id % 7 as string)) as author",
         "concat('Thread ', cast(conv_id as string)) as title",
-        "case when turn > 0 and (conv_id + turn) % 29 = 0 then null else text end as msg",
+        "case when not added then text end as msg",
     )
 
 
