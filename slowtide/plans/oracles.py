@@ -1,6 +1,6 @@
 """DuckDB texts of the queries in ``registry``, written independently of the Spark plans."""
 
-from slowtide.plans.vocabulary import ANALYSIS_LABELS, LEXICON, LEXICON_LABELS
+from slowtide.plans.vocabulary import ALL_LEXICON, ANALYSIS_LABELS, LEXICON, LEXICON_LABELS
 
 ORACLES: dict[str, str] = {}
 
@@ -16,16 +16,19 @@ def _values(rows, columns: str, name: str) -> str:
 
 # Derived tables
 
-MESSAGES = """messages as (
-  select conv_id * 1000 + turn as msg_id, conv_id as thread_id,
+MESSAGES = """turns as (
+  select conv_id, role, turn, text, false as added from conversations
+  union all select conv_id, role, turn, null, true from conversations where (conv_id + turn) % 29 = 0),
+messages as (
+  select conv_id * 1000 + turn + case when added then 500 else 0 end as msg_id, conv_id as thread_id,
          timestamp '2024-01-01 00:00:00' + conv_id * interval '1' day + turn * interval '1' hour as date,
-         turn = 0 as is_first_in_thread,
+         turn = 0 and not added as is_first_in_thread,
          case when conv_id % 3 = 0 then 'Other' else 'PracticeLogs' end as category,
          role || '_' || cast(conv_id % 7 as varchar) as author,
          'Thread ' || cast(conv_id as varchar) as title,
-         case when turn > 0 and (conv_id + turn) % 29 = 0 then null else text end as msg
-  from conversations)"""
-USER_THREADS = MESSAGES.replace("turn = 0 as", "turn = 0 and role <> 'system' as")
+         text as msg
+  from turns)"""
+USER_THREADS = MESSAGES.replace("turn = 0 and not added as", "turn = 0 and not added and role <> 'system' as")
 OWNERS = """owners as (select thread_id, max_by(author, msg_id) as thread_author
   from messages where is_first_in_thread group by thread_id)"""
 LOGS = """logs as (select messages.* from messages join owners using (thread_id)
@@ -38,11 +41,10 @@ VECTORS = """vectors as (
   from embeddings)"""
 LONG_VECTORS = """entries as (select row_id, series, date, cast(generate_subscripts(embedding, 1) - 1 as bigint) as dim,
   cast(unnest(embedding) as double) as v from vectors)"""
-PAIRS = """pairs as (select row_id, series, date, cast(embedding[1] as double) as x, cast(embedding[2] as double) as y
-  from vectors)"""
+PAIRS = """pairs as (select row_id, series, date, list_sum(cast(embedding[:32] as double[])) as x,
+  list_sum(cast(embedding[33:] as double[])) as y from vectors)"""
 EVENTS = """ev as (select event_id, event_type as series, ts, cast(cast(value as float) as double) as v from events)"""
 LABELS = _values(list(enumerate(LEXICON_LABELS)), "label_idx, label", "label_names")
-WORDS = _values([(i, w) for i, x in enumerate(LEXICON_LABELS) for w in LEXICON[x]], "label_idx, word", "words")
 
 
 def _split(text: str) -> str:
@@ -54,9 +56,11 @@ def _tokens(text: str) -> str:
     return rf"list_filter(regexp_split_to_array(lower({text}), '[^\p{{L}}]+'), lambda w: w <> '')"
 
 
-def _scored(source: str, keys: str, text: str) -> str:
+def _scored(source: str, keys: str, text: str, names: list[str] = LEXICON_LABELS, lists: dict = LEXICON) -> str:
     """CTEs with ``scored``: keys, label_idx, label, score (float) for each non-null text of a source."""
-    return f"""{LABELS}, {WORDS},
+    label_rows = _values(list(enumerate(names)), "label_idx, label", "label_names")
+    word_rows = _values([(i, w) for i, x in enumerate(names) for w in lists[x]], "label_idx, word", "words")
+    return f"""{label_rows}, {word_rows},
     tokenised as (select {keys}, {text} as t, {_tokens(text)} as tokens from {source} where {text} is not null),
     lists as (select label_idx, list(word) as listed from words group by label_idx),
     shares as (select {keys}, t, label_idx, label,
@@ -66,12 +70,12 @@ def _scored(source: str, keys: str, text: str) -> str:
       cast(1 / (1 + exp(4.0 * (1 - share) - 4.0 * share)) as float) as score from shares)"""
 
 
-def _embedded(source: str, keys: str, text: str) -> str:
+def _embedded(source: str, keys: str, text: str, dims: int = 16) -> str:
     """CTEs with ``embedded``: keys, dim, value (float) for each non-null text of a source."""
     return f"""tokenised as (select {keys}, unnest(case when len({_tokens(text)}) = 0 then [''] else {_tokens(text)} end) as w
       from {source} where {text} is not null),
-    counted as (select {keys}, dim, count(*) filter (where w <> '' and (unicode(w) + unicode(right(w, 1)) * 7 + length(w) * 31) % 16 = dim) as c
-      from tokenised, range(16) as d(dim) group by all),
+    counted as (select {keys}, dim, count(*) filter (where w <> '' and (unicode(w) + unicode(right(w, 1)) * 7 + length(w) * 31) % {dims} = dim) as c
+      from tokenised, range({dims}) as d(dim) group by all),
     embedded as (select {keys}, dim,
       cast(c / greatest(sqrt(sum(c * c) over (partition by {keys})), 1.0) as float) as value from counted)"""
 
@@ -107,7 +111,7 @@ _oracle("own_thread_messages", [MESSAGES, OWNERS], """select msg_id, thread_id,
 _oracle("first_messages", [MESSAGES], "select thread_id, author from messages where is_first_in_thread")
 _oracle("messages_with_text", [MESSAGES], "select msg_id, msg from messages where msg is not null")
 _oracle("append_columns", [VECTORS], "select row_id, series, " + ", ".join(
-    f"{_r(f'embedding[{i + 1}]')} as \"V_{i}\"" for i in range(3)) + " from vectors")
+    f"{_r(f'embedding[{i + 1}]')} as \"V_{i}\"" for i in range(64)) + " from vectors")
 _oracle("thread_author_strict", [MESSAGES, OWNERS], """select msg_id, thread_id, author, thread_author
   from messages left join owners using (thread_id)""")
 _oracle("thread_author_lenient", [USER_THREADS, OWNERS], """select msg_id, coalesce(thread_author, 'n/a') as thread_author
@@ -115,8 +119,8 @@ _oracle("thread_author_lenient", [USER_THREADS, OWNERS], """select msg_id, coale
 _oracle("threads_without_author", [USER_THREADS], """select thread_id, count(*) as num_messages from messages
   group by thread_id having not bool_or(is_first_in_thread)""")
 _oracle("text_label_pairs", [MESSAGES, _values(list(enumerate(ANALYSIS_LABELS)), "label_idx, label", "all_labels")],
-        """select msg_id, cast(label_idx as bigint) as label_idx, 'This example is ' || label || '.' as hypothesis
-  from messages, all_labels""")
+        """select msg_id, cast(label_idx as bigint) as label_idx, 'This example is ' || label || '.' as hypothesis,
+  md5(msg || 'This example is ' || label || '.') as pair from messages, all_labels""")
 ALL_SCORES = _scored("documents", "doc_id, lang", "text")
 CACHE = "cache as (select t, label, max(score) as score from scored where lang = 'en' group by t, label)"
 _oracle("score_cache_hits", [ALL_SCORES, CACHE], f"""select doc_id, label, {_r('cache.score')} as score
@@ -309,13 +313,13 @@ _oracle("amplitude_spectra", [
         """waves as (select series, k, n, sum(v * cos(2 * pi() * ((k * t) % n) / n)) as re, sum(v * sin(2 * pi() * ((k * t) % n) / n)) as im
   from placed, (select unnest(range(400)) as k) where k < n // 2 group by series, k, n)"""],
         f"""select series, cast(k as bigint) as k, {_r('k / n')} as frequency, {_r('2 / n * sqrt(re * re + im * im)')} as amplitude,
-  {_r('case when k > 0 then n / k end')} as period from waves""")
+  {_r('case when k > 0 then n / k end')} as period, k = 0 as endless from waves""")
 
 # Label analyses on given matrices
 
-MATRIX = """long as (select label as component, generate_subscripts(embedding[:10], 1) - 1 as label_idx, cast(unnest(embedding[:10]) as double) as v from embeddings),
+MATRIX = """long as (select label as component, generate_subscripts(embedding, 1) - 1 as label_idx, cast(unnest(embedding) as double) as v from embeddings),
   matrix as (select component, label_idx, avg(v) as weight from long group by all)"""
-_oracle("matrix_label_weights", [MATRIX, LABELS], f"""select cast(component as bigint) as component,
+_oracle("matrix_label_weights", [MATRIX, _values(list(enumerate(ANALYSIS_LABELS)), "label_idx, label", "label_names")], f"""select cast(component as bigint) as component,
   row_number() over (partition by component order by weight, label_idx) as position, label, {_r('weight')} as weight
   from matrix join label_names using (label_idx)""")
 _oracle("matrix_product", [MATRIX], f"""select cast(a.component as bigint) as component, cast(b.label_idx as bigint) as label_idx,
@@ -371,3 +375,160 @@ _oracle("collection_profile", [MESSAGES, OWNERS, LOGS], """select (select count(
   (select count(*) from logs where author = 'user_3') as num_own_thread_posts""")
 _oracle("category_top_authors", [MESSAGES], """select author, count(*) as num_posts from messages where category = 'PracticeLogs'
   group by author order by num_posts desc, author limit 10""")
+
+# Batch interfaces
+
+_oracle("batch_encoder_vectors", [MESSAGES], "\nunion all\n".join(
+    f"select msg_id, cast({i} as bigint) as dim, {_r(f"length(msg) - length(replace(lower(msg), '{c}', ''))")} as value from messages where msg is not null"
+    for i, c in enumerate("aeiou")))
+_COUNTS = ", ".join(f"length(msg) - length(replace(lower(msg), '{c}', '')) as {c}" for c in "xyz")
+_oracle("batch_class_probabilities", [MESSAGES, f"counts as (select msg_id, {_COUNTS} from messages where msg is not null)",
+        "tops as (select *, greatest(x, y, z) as top from counts)"], "\nunion all\n".join(
+    f"select msg_id, cast({i} as bigint) as dim, {_r(f'cast(exp({c} - top) / (exp(x - top) + exp(y - top) + exp(z - top)) as float)')} as value from tops"
+    for i, c in enumerate("xyz")))
+_oracle("batch_pair_scores", [MESSAGES, "gaps as (select msg_id, (length(replace(msg, 'e', '')) - length(replace(msg, 'a', ''))) / 8.0 as gap from messages where msg is not null)"],
+        f"select msg_id, cast(d as bigint) as dim, {_r('cast(1 / (1 + exp(cast(gap as double))) as float)')} as value from gaps, range(3) as r(d)")
+
+# Memo
+
+LOG_SENTENCES = f"""sentences as (select msg_id, author, date, cast(generate_subscripts(s, 1) - 1 as bigint) as sentence_idx, unnest(s) as msg
+  from (select msg_id, author, date, {_split('msg')} as s from logs where msg is not null))"""
+_oracle("memoised_analyses", [MESSAGES, OWNERS, LOGS, LOG_SENTENCES], f"""select 'texts' as kind, count(distinct msg) as scored_first,
+  cast(0 as bigint) as scored_second from logs where msg is not null
+  union all
+  select 'pairs', {len(LEXICON_LABELS)} * count(distinct msg), 0 from sentences""")
+_oracle("label_scores_of_all_labels", [MESSAGES, _scored("messages", "msg_id", "msg", ANALYSIS_LABELS, ALL_LEXICON)], _LABEL_VECTORS)
+_oracle("score_rows_after_upserts", [MESSAGES, _scored("(select distinct msg from messages)", "msg", "msg", LEXICON_LABELS[:2])],
+        f"select md5(t) as text_md5, label, {_r('cast(score + 1 as float)')} as score from scored")
+
+# Full width
+
+_oracle("pca_restores_covariance", [VECTORS, LONG_VECTORS], f"""select a.series, a.dim as i, b.dim as j,
+  {_r('covar_samp(a.v, b.v)')} as covariance from entries a join entries b using (row_id) group by a.series, a.dim, b.dim""")
+_oracle("sfa_restores_difference_covariance", [VECTORS, LONG_VECTORS, DIFFS], f"""select a.series, a.dim as i, b.dim as j,
+  {_r('covar_samp(a.dv, b.dv)')} as covariance from diffs a join diffs b using (row_id)
+  where a.dv is not null group by a.series, a.dim, b.dim""")
+
+# Two dimensions of which one or both may be flat: a feature is left only along the axis that varies, the rest is zero
+SLOW_2D_FLAT = """tops as (select *, (a + c) / 2 + sqrt(((a - c) / 2) ** 2 + b * b) as top, (a + c) / 2 - sqrt(((a - c) / 2) ** 2 + b * b) as low from mom),
+  ranks as (select *, case when n < 2 or top <= 1e-15 then 0 when low <= 1e-12 * top then 1 else 2 end as rank,
+    case when abs(b) < 1e-14 then case when a >= c then 1.0 else 0.0 end else b / sqrt(b * b + (top - a) ** 2) end as ax,
+    case when abs(b) < 1e-14 then case when a >= c then 0.0 else 1.0 end else (top - a) / sqrt(b * b + (top - a) ** 2) end as ay from tops),
+  known as (select * exclude (da, db, dc), case when n > 2 then da else 0 end as da, case when n > 2 then db else 0 end as db,
+    case when n > 2 then dc else 0 end as dc from ranks),
+  traces as (select *, (c * da - 2 * b * db + a * dc) / nullif(a * c - b * b, 0) as tr,
+    (da * dc - db * db) / nullif(a * c - b * b, 0) as det from known),
+  raw_slow as (select *, k as component, case rank when 2 then greatest(tr / 2 + (2 * k - 1) * sqrt(greatest(tr * tr / 4 - det, 0)), 0)
+    when 1 then case when k = 0 then (ax * ax * da + 2 * ax * ay * db + ay * ay * dc) / top else 0 end else 0 end as delta
+    from traces, range(2) as r(k)),
+  directions as (select *, case when rank = 2 then db - delta * b when rank = 1 and component = 0 then ax else 0 end as ux,
+    case when rank = 2 then delta * a - da when rank = 1 and component = 0 then ay else 0 end as uy from raw_slow),
+  slow as (select * exclude (ux, uy),
+    coalesce(ux / nullif(sqrt(ux * ux * a + 2 * ux * uy * b + uy * uy * c), 0) * sign(case when abs(ux) >= abs(uy) then ux else uy end), 0) as wx,
+    coalesce(uy / nullif(sqrt(ux * ux * a + 2 * ux * uy * b + uy * uy * c), 0) * sign(case when abs(ux) >= abs(uy) then ux else uy end), 0) as wy
+    from directions)"""
+
+# Analyses with two places
+
+TWO_PLACES = _embedded("logs", "msg_id, author, date", "msg", 2)
+BY_AUTHOR = lambda order: [
+    x.replace("series", "author") for x in (_moments_with_differences("series", order), SPECTRUM_2D, SLOW_2D)]
+
+
+def _pooled(start: str, source: str = "embedded") -> str:
+    return f"""pairs as (select author, {start} as start, count(distinct msg_id) as n_rows,
+  cast(cast(avg(cast(value as double)) filter (where dim = 0) as float) as double) as x,
+  cast(cast(avg(cast(value as double)) filter (where dim = 1) as float) as double) as y from {source} group by author, {start})"""
+
+
+_oracle("author_slowness_of_two_places",
+        [MESSAGES, OWNERS, LOGS, TWO_PLACES, _pooled("date_trunc('week', date)"), *BY_AUTHOR("start")],
+        f"""select axes.author, axes.n, {_r('''case when axes.n <= 2 then null when variance / (axes.a + axes.c) > 0.99
+    then (ux * ux * axes.da + 2 * ux * uy * axes.db + uy * uy * axes.dc) / variance else delta end''')} as delta
+  from axes join slow using (author) where axes.component = 0 and slow.component = 0""")
+_oracle("slow_features_of_two_places",
+        [MESSAGES, OWNERS, LOGS, TWO_PLACES,
+         "opened as (select *, min(date_trunc('day', date)) over (partition by author) as first_day from embedded)",
+         "spread as (select *, date_trunc('day', date) - k * interval '1' day as day from opened, range(7) as r(k))",
+         "placed as (select * from spread where day >= first_day)", _pooled("day", "placed"), _moments_with_differences("author", "start"), SLOW_2D_FLAT],
+        f"""select pairs.author, strftime(start, '%Y-%m-%d %H:%M:%S') as window_start, n_rows as n,
+  {_r('max((x - mx) * wx + (y - my) * wy) filter (where component = 0)')} as "SFA_0",
+  {_r('max((x - mx) * wx + (y - my) * wy) filter (where component = 1)')} as "SFA_1"
+  from pairs join slow using (author) group by pairs.author, start, n_rows""")
+_oracle("time_scale_slowness_of_two_places",
+        [MESSAGES, OWNERS, LOGS, TWO_PLACES,
+         """scaled as (select author, days, epoch_us(date) // 86400000000 // days * days as bucket, dim, value from embedded, range(1, 31) as r(days)),
+  pairs as (select author, days, bucket, cast(cast(avg(cast(value as double)) filter (where dim = 0) as float) as double) as x,
+    cast(cast(avg(cast(value as double)) filter (where dim = 1) as float) as double) as y from scaled group by author, days, bucket)""",
+         _moments_with_differences("author, days", "bucket"), SPECTRUM_2D, SLOW_2D],
+        f"""select axes.author, cast(axes.days as bigint) as days, axes.n,
+  {_r('''case when axes.n <= 2 then null when variance / (axes.a + axes.c) > 0.99
+    then (ux * ux * axes.da + 2 * ux * uy * axes.db + uy * uy * axes.dc) / variance else delta end''')} as delta
+  from axes join slow using (author, days) where axes.component = 0 and slow.component = 0""")
+_oracle("label_gains_of_two_labels",
+        [MESSAGES, OWNERS, LOGS, LOG_SENTENCES, _scored("sentences", "msg_id, author, date", "msg", LEXICON_LABELS[:2]),
+         """pairs as (select author, date_trunc('day', date) as start,
+  cast(cast(avg(cast(score as double)) filter (where label_idx = 0) as float) as double) as x,
+  cast(cast(avg(cast(score as double)) filter (where label_idx = 1) as float) as double) as y from scored group by all)""",
+         *BY_AUTHOR("start")],
+        f"""select axes.author, {_r('''2 - case when axes.n < 2 or axes.a + axes.c = 0 then 2 when axes.n = 2 then 0 when variance / (axes.a + axes.c) > 0.99
+    then (ux * ux * axes.da + 2 * ux * uy * axes.db + uy * uy * axes.dc) / variance else delta end''')} as total_gain
+  from axes join slow using (author) where axes.component = 0 and slow.component = 0""")
+
+# Hash-based orders and vectors
+
+_oracle("mock_embeddings", [MESSAGES], f"""select msg_id, cast(i as bigint) as dim,
+  {_r("cast(('0x' || substr(md5('0:' || msg_id || ':' || i), 1, 13)) as bigint) / 4503599627370496.0")} as value from messages, range(10) as r(i)""")
+_oracle("label_permutations", [], f"""select doc_id as iteration, cast(i as bigint) as label_idx,
+  row_number() over (partition by doc_id order by md5('0:' || doc_id || ':' || i)) - 1 as position from documents, range({len(LEXICON_LABELS)}) as r(i)""")
+
+# Smoothing of one or two points: matrices of order two
+
+_oracle("smoothed_pairs", [EVENTS,
+        """daily as (select series, epoch_us(date_trunc('day', ts)) / 86400000000.0 as day, cast(cast(avg(v) as float) as float) / 100 as y
+  from ev group by series, date_trunc('day', ts))""",
+        """points as (select series, cast(floor(day / 2) as bigint) as block, day, cast(y as double) as y from daily)""",
+        """blocks as (select series, block, count(*) as n, min(day) as t, min_by(y, day) as y1, max_by(y, day) as y2,
+  case when count(*) = 2 then exp(-0.5 * ((max(day) - min(day)) / 10.0) ** 2) end as e from points group by series, block)""",
+        """fits as (select *, power(10.0, -3 + a / 10.0) as amp, power(10.0, -3 + a / 10.0) + 1 as d from blocks, range(61) as r(a)),
+  solved as (select *, case when n = 2 then d * d - amp * amp * e * e else d end as det from fits),
+  scored as (select *, -0.5 * (case when n = 2 then (d * y1 * y1 - 2 * amp * e * y1 * y2 + d * y2 * y2) / det else y1 * y1 / d end
+    + ln(det) + n * ln(2 * pi())) as fit from solved),
+  best as (select * from scored qualify row_number() over (partition by series, block order by fit desc, a) = 1)""",
+        """curve as (select series, block, day,
+    case when n = 1 then amp * y1 / d when day = t
+      then (amp * (d * y1 - amp * e * y2) + amp * e * (d * y2 - amp * e * y1)) / det
+      else (amp * e * (d * y1 - amp * e * y2) + amp * (d * y2 - amp * e * y1)) / det end as mean,
+    case when n = 1 then amp / d else amp - (amp * amp * d - 2 * amp * amp * e * amp * e + amp * amp * e * e * d) / det end as variance
+  from points join best using (series, block))"""],
+        f"""select series, block, {_r('day')} as day, cast(10.0 as double) as length_scale, {_r('mean')} as mean,
+  {_r('mean - 1.96 * sqrt(greatest(variance, 0))')} as lower, {_r('mean + 1.96 * sqrt(greatest(variance, 0))')} as upper from curve""")
+
+# The slowness analysis with two labels
+
+TWO_LABELS = [MESSAGES, OWNERS, LOGS, LOG_SENTENCES, _scored("sentences", "msg_id, sentence_idx, author, date", "msg", LEXICON_LABELS[:2]),
+    """pairs as (select author, msg_id, sentence_idx, any_value(date) as date, max(cast(score as double)) filter (where label_idx = 0) as x,
+  max(cast(score as double)) filter (where label_idx = 1) as y from scored group by author, msg_id, sentence_idx)""",
+    MOMENTS_2D.replace("series", "author"), SPECTRUM_2D.replace("series", "author")]
+_LABELLED = """labelled as (select author, component, variance / (a + c) as ratio, 0 as label_idx, ux as weight from axes
+    union all select author, component, variance / (a + c), 1, uy from axes)"""
+_oracle("two_label_explained_variance", TWO_LABELS,
+        f"select author, cast(component as bigint) as component, {_r('variance / (a + c)')} as ratio, true as retained from axes")
+_oracle("two_label_weights_of_pca", [*TWO_LABELS, _LABELLED], f"""select author, cast(component as bigint) as component,
+  row_number() over (partition by author, component order by weight, label_idx) as position, cast(label_idx as bigint) as label_idx,
+  label, {_r('weight')} as weight from labelled join label_names using (label_idx)""")
+_oracle("two_label_importance", [*TWO_LABELS, _LABELLED], f"""select author, cast(label_idx as bigint) as label_idx,
+  {_r('max(abs(sqrt(ratio) * weight))')} as importance, label from labelled join label_names using (label_idx) group by author, label_idx, label""")
+_oracle("two_label_deltas", [*[c.replace("pairs as (", "sentence_pairs as (").replace("from pairs", "from sentence_pairs") for c in TWO_LABELS[:-2]],
+        *[c.replace("mom as (", "sentence_mom as (").replace("from mom", "from sentence_mom").replace("from pairs", "from sentence_pairs")
+          .replace("halves", "sentence_halves").replace("raw_axes", "sentence_raw_axes").replace(" axes as (", " sentence_axes as (") for c in TWO_LABELS[-2:]],
+        """projected as (select p.author, p.date, min(date_trunc('day', p.date)) over (partition by p.author) as first_day,
+    (x - k.mx) * k.ux + (y - k.my) * k.uy as u, (x - l.mx) * l.ux + (y - l.my) * l.uy as v
+  from sentence_pairs p join sentence_axes k on p.author = k.author and k.component = 0
+    join sentence_axes l on p.author = l.author and l.component = 1),
+  placed as (select *, date_trunc('day', date) - k * interval '1' day as start from projected, range(7) as r(k)),
+  pairs as (select author, start, cast(cast(avg(u) as float) as double) as x, cast(cast(avg(v) as float) as double) as y
+    from placed where start >= first_day group by author, start
+    qualify row_number() over (partition by author order by start) <= 800)""",
+        _moments_with_differences("author", "start"), SLOW_2D_FLAT],
+        f"select author, cast(component as bigint) as component, {_r('delta')} as delta from slow")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slowtide.functions import text as X
-from slowtide.functions.scorers import LexicalEncoder, LexicalPairScorer, mock_vector
+from slowtide.functions.scorers import BatchClassifier, BatchEncoder, BatchPairScorer, LexicalEncoder, LexicalPairScorer, mock_vector
 from slowtide.functions.vectors import affine, map_vector
 from slowtide.operators import labels as L
 from slowtide.operators import ordered, scoring, threads, windows
@@ -20,11 +20,12 @@ from slowtide.operators.extremes import extreme_rows
 from slowtide.operators.models import apply_model, fit_pca, fit_sfa, series_moments
 from slowtide.operators.moments import covariance_entries, moments
 from slowtide.operators.sentences import explode_sentences
-from slowtide.operators.slowness import label_gains, label_orders, mean_label_gains, slowness, slowness_by_time_scale
+from slowtide.operators.slowness import label_gains, mean_label_gains, slowness, slowness_by_time_scale, with_label_order
 from slowtide.operators.smoothing import smooth
 from slowtide.operators.spectrum import amplitude_spectrum
 from slowtide.plans import analyses
-from slowtide.plans.vocabulary import ANALYSIS_LABELS, LEXICON, LEXICON_LABELS, label_table
+from slowtide.operators.scoring import Memo
+from slowtide.plans.vocabulary import ALL_LEXICON, ANALYSIS_LABELS, LEXICON, LEXICON_LABELS, label_table
 from slowtide.session import fresh_path, write_once
 from slowtide.sources import messages as S
 from slowtide.sources import testbed
@@ -39,8 +40,8 @@ def letter_key(word: Column) -> Column:
     return F.ascii(word) + F.ascii(F.substring(word, -1, 1)) * 7 + F.length(word) * 31
 
 
-ENCODER = LexicalEncoder(16, letter_key)
-SCORER = LexicalPairScorer(LEXICON)
+ENCODER, ENCODER_2D = LexicalEncoder(16, letter_key), LexicalEncoder(2, letter_key)
+SCORER, SCORER_69 = LexicalPairScorer(LEXICON), LexicalPairScorer(ALL_LEXICON)
 SENTENCE = ["msg_id", "sentence_idx"]
 
 
@@ -80,9 +81,12 @@ def user_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pairs_of_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two dimensions of the vector series; their spectra have closed forms."""
+    """The vector series with the sums of each half of a vector as its two dimensions, whose spectra have closed forms."""
     rows = testbed.vector_series(spark, sf_dir)
-    return rows.withColumn("embedding", F.slice("embedding", 1, 2))
+    half = lambda first: F.aggregate(
+        F.slice(F.col("embedding").cast("array<double>"), first, 32), F.lit(0.0), lambda total, x: total + x
+    )
+    return rows.withColumn("embedding", F.array(half(1), half(33)))
 
 
 def vector_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -163,7 +167,7 @@ def messages_with_text(spark, sf_dir):
 def append_columns(spark, sf_dir):
     """Vector entries appended to their own row as scalar columns."""
     rows = testbed.vector_series(spark, sf_dir)
-    return map_vector(rows, "embedding", lambda v: v, target="V", split=3).select("row_id", "series", "V_0", "V_1", "V_2")
+    return map_vector(rows, "embedding", lambda v: v, target="V", split=64).drop("date", "embedding")
 
 
 @query
@@ -198,8 +202,9 @@ def _cache(pairs):
 @query
 def text_label_pairs(spark, sf_dir):
     """Every message with every analysis label and its hypothesis."""
-    rows = scoring.pair_with_labels(testbed.messages(spark, sf_dir).select("msg_id"), ANALYSIS_LABELS)
-    return rows.select("msg_id", "label_idx", X.hypothesis(F.col("label")).alias("hypothesis"))
+    rows = scoring.pair_with_labels(testbed.messages(spark, sf_dir).select("msg_id", "msg"), ANALYSIS_LABELS)
+    pair = F.md5(F.concat(F.col("msg"), X.hypothesis(F.col("label")))).alias("pair")
+    return rows.select("msg_id", "label_idx", X.hypothesis(F.col("label")).alias("hypothesis"), pair)
 
 
 @query
@@ -221,8 +226,9 @@ def score_reattach(spark, sf_dir):
     """Hits and freshly scored misses together give every input row its score."""
     pairs = _pairs(spark, sf_dir)
     hits = _cache(pairs)
-    scores = pairs.groupBy("text_key", "label").agg(F.max("score").alias("score"))
-    fresh = scores.join(scoring.cache_misses(pairs, hits), ["text_key", "label"], "left_semi")
+    texts = scoring.distinct_texts(testbed.documents(spark, sf_dir), "text")
+    missing = scoring.cache_misses(pairs, hits).join(texts, "text_key")
+    fresh = write_once(missing.select("text_key", "label", SCORER.score(F.col("text"), F.col("label")).alias("score")), "fresh")
     found = scoring.attach_scores(pairs.drop("score"), hits, fresh, ["doc_id"])
     return found.select("doc_id", "label_idx", "score")
 
@@ -491,8 +497,13 @@ def amplitude_spectra(spark, sf_dir):
     """Hourly mean values per event type."""
     hour = windows.Span("1h").start_of(F.col("date")).alias("window_start")
     hourly = testbed.events(spark, sf_dir).groupBy("series", hour).agg(F.avg("value").alias("value"))
-    found = amplitude_spectrum(hourly, "value")
-    return found.withColumn("period", F.when(F.col("k") > 0, F.col("period")))
+    return _finite_period(amplitude_spectrum(hourly, "value"))
+
+
+def _finite_period(found: DataFrame) -> DataFrame:
+    """The period, with an infinite one as a flag of its own, which compares in any engine."""
+    endless = F.col("period") == float("inf")
+    return found.withColumns({"endless": endless, "period": F.when(~endless, F.col("period"))})
 
 
 # Label analyses on given matrices: each series' mean vectors per label serve as matrix rows
@@ -500,13 +511,13 @@ def amplitude_spectra(spark, sf_dir):
 
 def _given_matrix(spark, sf_dir, name="label"):
     rows = testbed.table(spark, sf_dir, "embeddings")
-    vectors = rows.select(F.lit(0).alias("series"), F.col("label").alias("component"), F.posexplode(F.slice("embedding", 1, 10)).alias("label_idx", "v"))
+    vectors = rows.select(F.lit(0).alias("series"), F.col("label").alias("component"), F.posexplode("embedding").alias("label_idx", "v"))
     return vectors.groupBy("series", "component", "label_idx").agg(F.avg("v").alias("weight"))
 
 
 @query
 def matrix_label_weights(spark, sf_dir):
-    found = L.ordered_weights(_given_matrix(spark, sf_dir), label_table(spark, LEXICON_LABELS))
+    found = L.ordered_weights(_given_matrix(spark, sf_dir), label_table(spark, ANALYSIS_LABELS))
     return found.select("component", "position", "label", "weight")
 
 
@@ -528,7 +539,7 @@ def matrix_temporal_importance(spark, sf_dir):
     matrix = _given_matrix(spark, sf_dir)
     deltas = matrix.groupBy("series", "component").agg((F.sum(F.abs("weight")) * 10).alias("delta"))
     variances = ordered.dimension_variance(
-        testbed.vector_series(spark, sf_dir).select(F.lit(0).alias("series"), F.slice("embedding", 1, 10).alias("embedding"))
+        testbed.vector_series(spark, sf_dir).select(F.lit(0).alias("series"), "embedding")
     )
     return L.temporal_importance(matrix, deltas, variances).select("label_idx", "importance", "variance")
 
@@ -582,12 +593,102 @@ def mock_embeddings(spark, sf_dir):
 
 @query
 def label_permutations(spark, sf_dir):
-    """A seeded order of the labels per document."""
-    n_docs = testbed.documents(spark, sf_dir).count()
-    orders = label_orders(spark, n_docs, len(LEXICON_LABELS))
+    """A seeded order of the labels for each document, by its doc_id."""
+    docs = testbed.documents(spark, sf_dir).select(F.col("doc_id").alias("iteration"))
+    orders = with_label_order(docs, len(LEXICON_LABELS))
     return orders.select("iteration", F.posexplode("label_order").alias("position", "label_idx"))
 
 
+# Models behind the batch interfaces: small arithmetic ones, whose results any SQL engine can compute
+
+
+def _letter_counts(letters: str):
+    def load():
+        import numpy as np
+
+        return lambda texts: np.array([[t.lower().count(c) for c in letters] for t in texts], np.float32)
+
+    return load
+
+
+def _pair_logits():
+    import numpy as np
+
+    def predict(texts, hypotheses):
+        pairs = zip(texts, hypotheses)
+        return np.array([[t.count("e") / 8, len(h) / 10, t.count("a") / 8] for t, h in pairs], np.float32)
+
+    return predict
+
+
+@query
+def batch_encoder_vectors(spark, sf_dir):
+    """M2: vectors of all messages from a model that is called on batches."""
+    encoder = BatchEncoder(_letter_counts("aeiou"), 100)
+    return long_vector(testbed.messages(spark, sf_dir), ["msg_id"], encoder.encode(F.col("msg")))
+
+
+@query
+def batch_class_probabilities(spark, sf_dir):
+    """M3: class probabilities of all messages; the model's logits are counts of letters."""
+    classifier = BatchClassifier(_letter_counts("xyz"), 100)
+    return long_vector(testbed.messages(spark, sf_dir), ["msg_id"], classifier.encode(F.col("msg")))
+
+
+@query
+def batch_pair_scores(spark, sf_dir):
+    """M4 through the batch interface, for three labels."""
+    scorer = BatchPairScorer(_pair_logits, 0, 2, 100)
+    return long_vector(testbed.messages(spark, sf_dir), ["msg_id"], scorer.scores(F.col("msg"), ANALYSIS_LABELS[:3]))
+
+
+@query
+def memoised_analyses(spark, sf_dir):
+    """Q4 and Q9 through one memo, twice each; the second time nothing is scored."""
+    rows, path = testbed.messages(spark, sf_dir), fresh_path(spark, "memo")
+    for run_id in ("first", "second"):
+        memo = Memo(spark, path, "lexical", run_id)
+        analyses.author_slowness(rows, ENCODER, memo=memo).count()
+        analyses.slowness_gain_per_label(rows, SCORER, LEXICON_LABELS, 5, memo=memo).count()
+    counts = [
+        F.count_if(F.col("run_id") == "first").alias("scored_first"),
+        F.count_if(F.col("run_id") == "second").alias("scored_second"),
+    ]
+    vectors = memo.vectors.entries("lexical").agg(*counts).withColumn("kind", F.lit("texts"))
+    scores = memo.scores.entries("lexical", LEXICON_LABELS).agg(*counts).withColumn("kind", F.lit("pairs"))
+    return vectors.unionByName(scores)
+
+
+# Full width: equations that models over all 64 dimensions must satisfy
+
+
+@query
+def pca_restores_covariance(spark, sf_dir):
+    """Sum of variance times the outer product of each component with itself."""
+    model = write_once(fit_pca(moments(testbed.vector_series(spark, sf_dir)), 64), "pca")
+    variances = L.component_values(model, "variances", "variance")
+    weights = L.weights(model).select("series", "component", F.col("label_idx").alias("i"), "weight")
+    others = weights.select("series", "component", F.col("i").alias("j"), F.col("weight").alias("other"))
+    terms = weights.join(others, ["series", "component"]).join(variances, ["series", "component"])
+    return terms.groupBy("series", "i", "j").agg(F.sum(F.col("variance") * F.col("weight") * F.col("other")).alias("covariance"))
+
+
+@query
+def sfa_restores_difference_covariance(spark, sf_dir):
+    """From all slow features W and the covariance C: C Wᵗ diag(delta) W C is the covariance of the differences."""
+    both = write_once(series_moments(testbed.vector_series(spark, sf_dir), ["date", "row_id"]), "moments")
+    model = write_once(fit_sfa(both, 64, None), "sfa")
+    entries = covariance_entries(both).where("kind = 'x'").select("series", "i", "j", "covariance")
+    weights = L.weights(model).select("series", "component", F.col("label_idx").alias("j"), "weight")
+    seen = write_once(
+        weights.join(entries, ["series", "j"]).groupBy("series", "component", "i").agg(F.sum(F.col("weight") * F.col("covariance")).alias("v")),
+        "seen",
+    )
+    terms = seen.join(seen.select("series", "component", F.col("i").alias("j"), F.col("v").alias("w")), ["series", "component"])
+    terms = terms.join(L.component_values(model, "deltas", "delta"), ["series", "component"])
+    return terms.groupBy("series", "i", "j").agg(F.sum(F.col("delta") * F.col("v") * F.col("w")).alias("covariance"))
+
+
 # End-to-end analyses
 
 
@@ -658,7 +759,7 @@ def _report(name: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = getattr(_analysis(spark, sf_dir), name)()
         if "period" in found.columns:
-            found = found.withColumn("period", F.when(F.col("k") > 0, F.col("period")))
+            found = _finite_period(found)
         return show(found)
 
     run.__doc__ = f"Q7: report {name} of the slowness analysis."
@@ -680,6 +781,92 @@ def slowness_gain_per_label(spark, sf_dir):
     return analyses.slowness_gain_per_label(testbed.messages(spark, sf_dir), SCORER, LEXICON_LABELS)
 
 
+# The same analyses with all words hashed to two places: closed forms again
+
+
+@query
+def author_slowness_of_two_places(spark, sf_dir):
+    """Q4 with a two-dimensional encoder."""
+    return analyses.author_slowness(testbed.messages(spark, sf_dir), ENCODER_2D)
+
+
+@query
+def slow_features_of_two_places(spark, sf_dir):
+    """Q5 with a two-dimensional encoder, weekly windows at daily steps."""
+    found = analyses.slow_features(testbed.messages(spark, sf_dir), ENCODER_2D, keep=None, n_components=2)
+    return found.select("author", "window_start", "n", "SFA_0", "SFA_1")
+
+
+@query
+def time_scale_slowness_of_two_places(spark, sf_dir):
+    """Q8 with a two-dimensional encoder."""
+    return analyses.slowness_over_time_scales(testbed.messages(spark, sf_dir), ENCODER_2D)
+
+
+@query
+def label_gains_of_two_labels(spark, sf_dir):
+    """Q9 with two labels: mean gains add up to 2 minus the slowness of both."""
+    gains = analyses.slowness_gain_per_label(testbed.messages(spark, sf_dir), SCORER, LEXICON_LABELS[:2], 50)
+    return gains.groupBy("author").agg(F.sum("mean_delta_diff").alias("total_gain"))
+
+
+def _two_label_analysis(spark, sf_dir):
+    return analyses.SlownessAnalysis(
+        testbed.messages(spark, sf_dir), SCORER, LEXICON_LABELS[:2], cutoff=0.0, n_pca=2, n_sfa=2
+    )
+
+
+@query
+def two_label_explained_variance(spark, sf_dir):
+    """Q7 with two labels: variance shares."""
+    return _two_label_analysis(spark, sf_dir).explained_variance()
+
+
+@query
+def two_label_weights_of_pca(spark, sf_dir):
+    """Q7 with two labels: ordered label weights of the principal components."""
+    return _two_label_analysis(spark, sf_dir).label_weights_of_pca()
+
+
+@query
+def two_label_importance(spark, sf_dir):
+    """Q7 with two labels: label importance."""
+    return _two_label_analysis(spark, sf_dir).label_importance()
+
+
+@query
+def two_label_deltas(spark, sf_dir):
+    """Q7 with two labels: slowness of the slow features of the training windows."""
+    return _two_label_analysis(spark, sf_dir).deltas()
+
+
+@query
+def slowness_gain_of_all_labels(spark, sf_dir):
+    """Q9 with all 69 labels and ten orders."""
+    return analyses.slowness_gain_per_label(testbed.messages(spark, sf_dir), SCORER_69, ANALYSIS_LABELS, 10)
+
+
+@query
+def label_scores_of_all_labels(spark, sf_dir):
+    """Q11 with all 69 labels."""
+    rows = testbed.messages(spark, sf_dir)
+    table = ScoreTable(spark, fresh_path(spark, "scores"))
+    found = scoring.memoised_label_vectors(rows, SCORER_69, ANALYSIS_LABELS, table, "lexical", "run-1", ["msg_id"])
+    return long_vector(found, ["msg_id"])
+
+
+@query
+def score_rows_after_upserts(spark, sf_dir):
+    """Every score stored in twelve runs of falling value; readers get the last one's."""
+    table = ScoreTable(spark, fresh_path(spark, "scores"))
+    keyed = scoring.distinct_texts(testbed.messages(spark, sf_dir))
+    scored = write_once(scoring.score_pairs(keyed, SCORER, LEXICON_LABELS[:2], "text").select("text_key", "label", "score"), "scored")
+    for run in range(1, 13):
+        table.append(scored.withColumn("score", F.col("score") + 13 - run), "lexical", f"run-{run}")
+    rows = table.latest("lexical", LEXICON_LABELS[:2]).join(keyed, "text_key")
+    return rows.select(F.md5("text").alias("text_md5"), "label", "score")
+
+
 @query
 def collection_profile(spark, sf_dir):
     """Q10."""
@@ -706,3 +893,12 @@ def smoothed_events(spark, sf_dir):
     """Daily mean event values, smoothed."""
     pooled = windows.pool_windows(vector_events(spark, sf_dir), "1d")
     return smooth(pooled.withColumn("value", F.get("embedding", F.lit(0)) / 100), "value")
+
+
+@query
+def smoothed_pairs(spark, sf_dir):
+    """Daily mean event values, each two days a series of their own, smoothed at a fixed length scale."""
+    pooled = windows.pool_windows(vector_events(spark, sf_dir), "1d")
+    block = F.expr("datediff(cast(window_start as date), date '1970-01-01') div 2")
+    rows = pooled.withColumns({"value": F.get("embedding", F.lit(0)) / 100, "block": block.cast("long")})
+    return smooth(rows, "value", series=["series", "block"], length_scales=(10.0,))

@@ -39,6 +39,16 @@ LEXICON = {
 LEXICON_LABELS = list(LEXICON)
 
 
+def _all_lists() -> dict[str, list[str]]:
+    """Three words of the lists above for each of the 69 labels, by its position."""
+    pool = list(dict.fromkeys(w for listed in LEXICON.values() for w in listed))
+    pick = lambda i: [pool[(i * step + at) % len(pool)] for at, step in ((0, 1), (7, 3), (19, 5))]
+    return {label: sorted(set(pick(i))) for i, label in enumerate(ANALYSIS_LABELS)}
+
+
+ALL_LEXICON = _all_lists()
+
+
 def label_table(spark: SparkSession, labels: list[str]) -> DataFrame:
     """``label_idx, label``; a short parameter list, so it is broadcast in joins."""
     return spark.createDataFrame(list(enumerate(labels)), "label_idx int, label string")
