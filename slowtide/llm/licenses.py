@@ -81,7 +81,7 @@ RULES = [
 ]
 # Fixed values. A sentence ends at a mark before white space, or at an empty line; other line
 # ends, with what starts a comment, stand for a space.
-END_MARK = r"([.!?:;])[ \t\r\n]+"
+END_MARK = r"([.!?;])[ \t\r\n]+"
 EMPTY_LINE = r"\n[ \t\r]*\n"
 LINE_END = r"\n[ \t\r*#/%;-]*"
 BREAK = "\x01"
