@@ -28,8 +28,8 @@ SAMPLE = 16_384
 PER_CENTROID = 16
 #: Lists that a row may enter, and how much farther than the nearest centroid theirs may be.
 COPIES, BORDER = 4, 1.2
-#: Lists that a query may scan, and how much farther than the nearest centroid theirs may be.
-LISTS, RATIO = 128, 1.6
+#: Lists that a query scans at least and at most, and how much farther than the nearest centroid's the others may be.
+LEAST_LISTS, LISTS, RATIO = 16, 128, 1.6
 #: Graph: links per centroid, entries, and the least length of the list of candidates.
 LINKS, ENTRIES, BEAM = 24, 32, 24
 #: Rows of a list that a task holds at once.
@@ -103,9 +103,10 @@ class CentroidGraph:
         return row, ids[row, j]
 
     def lists_of_query(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``(row, list)`` pairs to scan: centroids within ``RATIO`` of the nearest one's distance."""
+        """``(row, list)`` pairs to scan: the nearest centroids, and others within ``RATIO`` of the nearest one's distance."""
         ids, apart = self.search(rows, LISTS)
-        row, j = np.nonzero(np.isfinite(apart) & (apart <= RATIO * apart[:, :1]))
+        chosen = (apart <= RATIO * apart[:, :1]) | (np.arange(apart.shape[1]) < LEAST_LISTS)
+        row, j = np.nonzero(np.isfinite(apart) & chosen)
         return row, ids[row, j]
 
 
