@@ -7,7 +7,9 @@ sets by the tokens at two sampled coordinates, so a set enters two buckets. Larg
 buckets are split again at two coordinates of their own; small ones are compared
 pair by pair. At the threshold a pair stays together in some bucket with a
 probability of at least (2t - 1) / t**2 at any depth, and runs are repeated until
-the target recall is reached.
+the target recall is reached. A large bucket that holds at least half of the one it
+was split from is not split again: its sets are similar through and through, and
+become one candidate group.
 
 Sketches only propose. Proposed pairs form candidate groups, and within a group
 all pairs are checked exactly on all shingles, in blocks of bounded size. Only
@@ -34,7 +36,7 @@ SIMILARITY = 0.8
 RECALL = 0.9999
 #: Min-hashes per sketch.
 COORDINATES = 64
-#: A bucket of at most so many sets is compared; one still larger after DEPTH splits is one candidate group.
+#: A bucket of at most so many sets is compared pair by pair; DEPTH bounds the splits of larger ones.
 SMALL = 64
 DEPTH = 5
 #: Standard deviations by which a sketch may understate a similarity at the threshold.
@@ -42,7 +44,7 @@ SLACK = 4.7
 #: Sets per block of the exact check.
 BLOCK_SETS = 512
 #: A table of at most so many rows of three numbers is broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 200_000
 
 _SEEDS = mix(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _ODD = _SEEDS[:COORDINATES], _SEEDS[COORDINATES:] | np.uint64(1)
@@ -116,19 +118,23 @@ def _children(nodes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 def split(rows: DataFrame, roots: list[int] | None = None) -> DataFrame:
-    """``(node, set_id)`` one level down from ``(node, set_id, sketch)``, or from all ``roots`` for ``(set_id, sketch)``."""
+    """``(node, set_id, parent)`` one level down, ``parent`` being the size of the bucket that was split.
+
+    From ``(node, set_id, n, sketch)``, or for ``(set_id, sketch)`` from all ``roots``, whose size counts as 0.
+    """
 
     def down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids, sketch = batch.column("set_id").to_numpy(), _matrix(batch.column("sketch"))
+            ids, sketch = batch.column("set_id"), _matrix(batch.column("sketch"))
             own = batch.column("node").to_numpy().view(np.uint64) if roots is None else None
+            parent = batch.column("n") if roots is None else pa.array(np.zeros(len(ids), np.int64))
             for root in [None] if roots is None else roots:
                 for found in _children(own if root is None else np.full(len(ids), root, np.uint64), sketch):
-                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(ids)], names=["node", "set_id"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), ids, parent], names=["node", "set_id", "parent"])
 
-    return rows.mapInArrow(down, "node long, set_id long")
+    return rows.mapInArrow(down, "node long, set_id long, parent long")
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -179,22 +185,18 @@ def candidate_edges(sets: DataFrame, similarity: float, recall: float) -> DataFr
     least_equal = max(1, math.floor(COORDINATES * similarity - spread))
     roots = mix(np.arange(1, runs_needed(similarity, recall) + 1, dtype=np.uint64)).tolist()
     level = write_once(split(sets, roots), "buckets-1")
-    edges = None
+    edges, n = None, F.col("n")
     for depth in range(1, DEPTH + 1):
-        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-        level = write_once(level.join(sizes, "node"), f"buckets-{depth}-shared")
-        small = level.where(F.col("n") <= SMALL).drop("n")
-        found = compare_small(small.join(sets, "set_id"), least_equal)
-        large = level.where(F.col("n") > SMALL).drop("n")
-        last = depth == DEPTH
-        if last:  # similar through and through: one candidate group, to be checked exactly
-            found = found.unionByName(
-                large.join(large.groupBy("node").agg(F.min("set_id").alias("b")), "node").select(F.col("set_id").alias("a"), "b")
-            )
+        sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"), F.min("set_id").alias("low"))
+        shared = write_once(level.drop("parent").join(sizes.where(n > 1), "node"), f"buckets-{depth}-shared")
+        found = compare_small(shared.where(n <= SMALL).select("node", "set_id").join(sets, "set_id"), least_equal)
+        tight = F.lit(True) if depth == DEPTH else (F.col("parent") > 0) & (2 * n >= F.col("parent"))
+        found = found.unionByName(shared.where((n > SMALL) & tight).select(F.col("set_id").alias("a"), F.col("low").alias("b")))
         edges = found if edges is None else edges.unionByName(found)
-        if last or large.isEmpty():
-            return edges
-        level = write_once(split(large.join(sets, "set_id")), f"buckets-{depth + 1}")
+        loose = shared.where((n > SMALL) & ~tight).select("node", "set_id", "n")
+        if depth == DEPTH or loose.isEmpty():
+            break
+        level = write_once(split(loose.join(sets, "set_id")), f"buckets-{depth + 1}")
     return edges
 
 
