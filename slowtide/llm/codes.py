@@ -7,13 +7,16 @@ whatever its length, so whole blocks are hashed without a loop over texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
-#: About how many code points are worked on at once; a longer text comes alone.
-BLOCK = 1 << 20
+#: About how many bytes of text are worked on at once; a longer text comes alone.
+BLOCK = 1 << 19
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -79,16 +82,42 @@ def offsets(lengths: Iterable[int]) -> np.ndarray:
 
 
 def blocks(batch: pa.RecordBatch, column: str, limit: int = BLOCK) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch with their texts (null: empty), about ``limit`` code points each."""
-    texts = [t or "" for t in batch.column(column).to_pylist()]
+    """Slices of a batch with their texts (null: empty), about ``limit`` bytes each; a longer text comes alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     first = total = 0
-    for i, text in enumerate(texts):
-        if total and total + len(text) > limit:
-            yield batch.slice(first, i - first), texts[first:i]
+    for i, size in enumerate([*sizes.tolist(), limit + 1]):
+        if i > first and total + size > limit:
+            part = batch.slice(first, i - first)
+            yield part, [t or "" for t in part.column(column).to_pylist()]
             first, total = i, 0
-        total += len(text)
-    if first < len(texts):
-        yield batch.slice(first), texts[first:]
+        total += size
+
+
+def map_texts(
+    df: DataFrame,
+    text: str,
+    targets: dict[str, T.DataType],
+    start: Callable[[], Callable[[list[str]], Sequence[pa.Array]]],
+    keep: list[str] | None = None,
+) -> DataFrame:
+    """Add columns computed from blocks of texts, in tasks that hold one batch and one block at a time.
+
+    ``start`` runs once per task and returns what makes the arrays of all ``targets``
+    from a block's texts (null: empty). Columns named like a target are replaced;
+    only the columns ``keep`` go on (default: all).
+    """
+    stay = [c for c in (df.columns if keep is None else keep) if c not in targets]
+    rows = df.select(*[f"`{c}`" for c in stay], *([] if text in stay else [f"`{text}`"]))
+    fields = [df.schema[c] for c in stay] + [T.StructField(c, kind) for c, kind in targets.items()]
+    names = [f.name for f in fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = start()
+        for batch in batches:
+            for part, texts in blocks(batch, text):
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in stay] + list(work(texts)), names=names)
+
+    return rows.mapInArrow(run, T.StructType(fields))
 
 
 def groups(batches: Iterable[pa.RecordBatch], keys: list[str], limit: int = 1 << 16) -> Iterator[pa.Table]:

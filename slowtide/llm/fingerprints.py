@@ -20,11 +20,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from slowtide.llm.codes import BLOCK, Sums, code_points, offsets, spans
+from slowtide.llm.codes import BLOCK, Sums, code_points, map_texts, offsets, spans
 
 SECTION_ONE_IN = 8
-RUN_ONE_IN = 8
+RUN_ONE_IN = 4
 
 
 def _digest(data: bytes, size: int = 8) -> str:
@@ -142,29 +143,7 @@ def edited_paragraphs(a: str, b: str) -> list[tuple[str, int]]:
 
 def with_fingerprint(df: DataFrame, text: str = "text", target: str = "fingerprint") -> DataFrame:
     """Add each text's fingerprint; null counts as empty. Extra columns stay, ``target`` is replaced."""
-    rows = df.withColumn(target, F.lit("")).withColumn("__text", F.col(f"`{text}`"))
-    schema, at = rows.drop("__text").schema, rows.columns.index(target)
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, found = [t or "" for t in batch.column("__text").to_pylist()], []
-            for part in _blocks(texts):
-                found += fingerprints(part)[0]
-            columns = batch.columns[:-1]
-            columns[at] = pa.array(found, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names[:-1])
-
-    return rows.mapInArrow(add, schema)
-
-
-def _blocks(texts: list[str]) -> Iterator[list[str]]:
-    first = total = 0
-    for i, text in enumerate(texts):
-        if total and total + len(text) > BLOCK:
-            yield texts[first:i]
-            first, total = i, 0
-        total += len(text)
-    yield texts[first:]
+    return map_texts(df, text, {target: T.StringType()}, lambda: lambda texts: [pa.array(fingerprints(texts)[0], pa.string())])
 
 
 def in_order(docs: DataFrame, parts: int) -> DataFrame:

@@ -37,7 +37,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op1_sentencepiece(spark, sf_dir):
     """All documents encoded, and decoded again."""
-    encoded = sentencepiece_viterbi.encode_documents(documents(spark, sf_dir), PIECE_MODEL).select("doc_id", "ids")
+    encoded = sentencepiece_viterbi.encode_documents(documents(spark, sf_dir), PIECE_MODEL, keep=["doc_id"])
     rows = sentencepiece_viterbi.decode_documents(encoded, PIECE_MODEL)
     digest = F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256")
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", digest)
@@ -58,7 +58,7 @@ def op3_ngram_join(spark, sf_dir):
 @query
 def op4_toxicity(spark, sf_dir):
     """All documents with the probabilities of both categories and the decision."""
-    rows = toxicity.document_toxicity(documents(spark, sf_dir), labels(spark, sf_dir), CATEGORIES)
+    rows = toxicity.document_toxicity(documents(spark, sf_dir), labels(spark, sf_dir), CATEGORIES, ["doc_id"])
     return rows.select("doc_id", "p_junk", "p_toxic", "is_toxic")
 
 
@@ -71,7 +71,7 @@ def op5_fingerprints(spark, sf_dir):
 @query
 def op6_token_counts(spark, sf_dir):
     """All documents' numbers of tokens and scores."""
-    return token_counts.count_tokens(documents(spark, sf_dir), PIECE_MODEL).select("doc_id", "n_tokens", "score")
+    return token_counts.count_tokens(documents(spark, sf_dir), PIECE_MODEL, keep=["doc_id"])
 
 
 @query

@@ -17,14 +17,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from slowtide.llm.codes import BASES, Memory, Sums, blocks, code_points, ragged
+from slowtide.llm.codes import BASES, Memory, Sums, code_points, map_texts, ragged
 from slowtide.llm.unigram import Cutter, Vocabulary, load_vocabulary
 
 #: Substrings looked up at once while words advance.
-LOOKUPS = 1 << 20
+LOOKUPS = 1 << 18
 #: Words whose ids a worker remembers (about 50 bytes each); the memory starts anew beyond it.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 
 class ViterbiEncoder:
@@ -147,28 +148,26 @@ class ViterbiEncoder:
         return wide, np.bincount(owner, weights=size, minlength=len(counts)).astype(np.int64)
 
 
-def encode_documents(df: DataFrame, model: str, text: str = "text", target: str = "ids") -> DataFrame:
+def encode_documents(df: DataFrame, model: str, text: str = "text", target: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """Add each text's ids (array of int).
 
     Null and empty texts have none. Spaces and U+2581 are the same to the model.
-    Extra columns stay; one named like ``target`` is replaced. Rows are
-    independent: no shuffle, and memory is bounded by blocks of code points.
+    Extra columns (or those in ``keep``) stay; one named like ``target`` is
+    replaced. Rows are independent: no shuffle, and memory is bounded by blocks of
+    code points.
     """
     vocabulary = load_vocabulary(model)
-    rows = df.withColumn(target, F.array().cast("array<int>")).withColumn("__text", F.col(f"`{text}`"))
-    schema = rows.drop("__text").schema
-    at = rows.columns.index(target)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         own = ViterbiEncoder(vocabulary)
-        for batch in batches:
-            for part, texts in blocks(batch, "__text"):
-                ids, bounds = own.encode(texts)
-                columns = part.columns[:-1]
-                columns[at] = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
 
-    return rows.mapInArrow(encode, schema)
+        def encode(texts: list[str]) -> list[pa.Array]:
+            ids, bounds = own.encode(texts)
+            return [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids, pa.int32()))]
+
+        return encode
+
+    return map_texts(df, text, {target: T.ArrayType(T.IntegerType())}, start, keep)
 
 
 def decode_documents(df: DataFrame, model: str, ids: str = "ids", target: str = "decoded") -> DataFrame:

@@ -9,19 +9,17 @@ first: the tokenizer's own rule. An unknown character counts as its UTF-8 bytes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from slowtide.llm.codes import Memory, Sums, blocks
+from slowtide.llm.codes import Memory, Sums, map_texts
 from slowtide.llm.unigram import Cutter, Vocabulary, load_vocabulary
 
 #: Words whose count a worker remembers (about 50 bytes each); the memory starts anew beyond it.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_000_000
 
 
 class TokenCounter:
@@ -74,25 +72,19 @@ class TokenCounter:
                     scores[end], counts[end] = reached, counts[end - 1] + len(char.encode("utf-8", "replace"))
 
 
-def count_tokens(df: DataFrame, model: str, text: str = "text", target: str = "n_tokens", score: str = "score") -> DataFrame:
+def count_tokens(
+    df: DataFrame, model: str, text: str = "text", target: str = "n_tokens", score: str = "score", keep: list[str] | None = None
+) -> DataFrame:
     """Add each text's number of tokens and the score of its segmentation (longs).
 
-    Null and empty texts have none and score 0. Extra columns stay; columns named
-    like the two added ones are replaced. No shuffle; a worker holds one
-    batch and a bounded memory of words.
+    Null and empty texts have none and score 0. Extra columns (or those in ``keep``)
+    stay; columns named like the two added ones are replaced. No shuffle; a
+    worker holds one batch and a bounded memory of words.
     """
     vocabulary = load_vocabulary(model)
-    zero = F.lit(0).cast("long")
-    rows = df.withColumns({target: zero, score: zero}).withColumn("__text", F.col(f"`{text}`"))
-    schema, at, at_score = rows.drop("__text").schema, rows.columns.index(target), rows.columns.index(score)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         own = TokenCounter(vocabulary)
-        for batch in batches:
-            for part, texts in blocks(batch, "__text"):
-                found, scores = own.count(texts)
-                columns = part.columns[:-1]
-                columns[at], columns[at_score] = pa.array(found, pa.int64()), pa.array(scores, pa.int64())
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
+        return lambda texts: [pa.array(c, pa.int64()) for c in own.count(texts)]
 
-    return rows.mapInArrow(count, schema)
+    return map_texts(df, text, {target: T.LongType(), score: T.LongType()}, start, keep)

@@ -11,7 +11,7 @@ survives inflection), in lower case, plus the kinds of marks between words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,8 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from slowtide.llm.codes import Sums, blocks, code_points, mix, offsets, spans
+from slowtide.llm.codes import Sums, code_points, map_texts, mix, offsets, spans
 from slowtide.session import write_once
 
 #: Labelled rows that a chain is fitted on at most, the first by hash of doc_id.
@@ -30,8 +31,8 @@ SAMPLE_CHARS = 25_000_000
 FOLDS = 3
 #: Features kept per category, and the least chi-square and number of texts to keep one.
 FEATURES = 4000
-LEAST_CHI2 = 60.0
-LEAST_TEXTS = 8
+LEAST_CHI2 = 30.0
+LEAST_TEXTS = 5
 #: Lengths of word beginnings used as features.
 BEGINNINGS = (4, 5, 6)
 RIDGE = 1.0
@@ -148,22 +149,27 @@ def _fit_linear(columns: np.ndarray, rows: np.ndarray, extra: np.ndarray, y: np.
     return x
 
 
-def _marked(hashes: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Features that are clearly more or less frequent in texts of the category, by chi-square."""
-    if not hashes or y.min() == y.max():
+def _marked(hashes: np.ndarray, owner: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Features that are clearly more or less frequent in texts of the category, by chi-square.
+
+    Counted in 16 ranges of the hash, one after the other, to save memory.
+    """
+    n, n1 = len(y), y.sum()
+    if not 0 < n1 < n:
         return np.zeros(0, np.uint64)
-    every, n_all = np.unique(np.concatenate(hashes), return_counts=True)
-    every, n_all = every[n_all >= LEAST_TEXTS], n_all[n_all >= LEAST_TEXTS]
-    inside, n_inside = np.unique(np.concatenate([h for h, own in zip(hashes, y) if own]), return_counts=True)
-    a = np.zeros(len(every))
-    if len(inside) and len(every):
-        at = np.minimum(np.searchsorted(inside, every), len(inside) - 1)
-        a = np.where(inside[at] == every, n_inside[at], 0).astype(float)
-    b, n, n1 = n_all - a, len(y), y.sum()
-    c, d = n1 - a, n - n1 - b
-    chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * (n - n1), 1)
-    best = np.argsort(-chi2, kind="stable")[:FEATURES]
-    return every[best[chi2[best] >= LEAST_CHI2]]
+    features, scores = [], []
+    for part in range(16):
+        at = np.flatnonzero(hashes >> np.uint64(60) == part)
+        values, inverse, n_all = np.unique(hashes[at], return_inverse=True, return_counts=True)
+        a = np.bincount(inverse, weights=y[owner[at]], minlength=len(values))
+        b = n_all - a
+        c, d = n1 - a, n - n1 - b
+        chi2 = n * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n1 * (n - n1), 1)
+        keep = (n_all >= LEAST_TEXTS) & (chi2 >= LEAST_CHI2)
+        features.append(values[keep])
+        scores.append(chi2[keep])
+    best = np.argsort(-np.concatenate(scores), kind="stable")[:FEATURES]
+    return np.concatenate(features)[best]
 
 
 def _threshold(p: np.ndarray, y: np.ndarray) -> float:
@@ -186,27 +192,30 @@ def fit_chain(texts: Sequence[str], labels: np.ndarray, categories: Sequence[str
     Copies count once: texts whose labels and two smallest hashes agree. A
     category without both kinds of rows gets a constant.
     """
-    hashes: list[np.ndarray] = []
-    for first in range(0, len(texts), 200):
-        found, bounds = text_features(list(texts[first : first + 200]))
-        hashes += [found[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
-    seen: dict[tuple, int] = {}
-    for i, own in enumerate(hashes):
-        low = (int(own[0]), int(mix(own).min())) if len(own) else (0, 0)
-        seen.setdefault((*labels[i].tolist(), *low), i)
-    kept = sorted(seen.values())
-    hashes, y = [hashes[i] for i in kept], labels[kept].astype(float)
+    parts, sizes, seen, kept, fold = [], [], set(), [], []
+    for first in range(0, len(texts), 100):
+        found, bounds = text_features(list(texts[first : first + 100]))
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]), first):
+            own = found[a:b]
+            low = (int(own[0]), int(mix(own).min())) if len(own) else (0, 0)
+            if (*labels[i].tolist(), *low) not in seen:
+                seen.add((*labels[i].tolist(), *low))
+                kept.append(i)
+                parts.append(own.copy())
+                sizes.append(len(own))
+                fold.append(int(mix(own[:1])[0] % np.uint64(FOLDS)) if len(own) else 0)
     n, k = len(kept), len(categories)
-    marked = [_marked(hashes, y[:, c]) for c in range(k)] if n else []
-    features = np.unique(np.concatenate(marked)) if marked else np.zeros(0, np.uint64)
-    weights, links, bias, thresholds = np.zeros((k, len(features))), np.zeros((k, k)), np.full(k, -20.0), np.full(k, 0.5)
+    weights, links, bias, thresholds = np.zeros((k, 0)), np.zeros((k, k)), np.full(k, -20.0), np.full(k, 0.5)
     if not n:
-        return Chain(tuple(categories), features, weights, links, bias, thresholds)
-    joined, owner = np.concatenate(hashes), np.repeat(np.arange(n), [len(h) for h in hashes])
+        return Chain(tuple(categories), np.zeros(0, np.uint64), weights, links, bias, thresholds)
+    joined, owner, y, fold = np.concatenate(parts), np.repeat(np.arange(n, dtype=np.int32), sizes), labels[kept].astype(float), np.array(fold)
+    del parts
+    features = np.unique(np.concatenate([_marked(joined, owner, y[:, c]) for c in range(k)]))
+    weights = np.zeros((k, len(features)))
     at = np.minimum(np.searchsorted(features, joined), max(len(features) - 1, 0))
     held = features[at] == joined if len(features) else np.zeros(len(joined), bool)
     columns, rows = at[held], owner[held]
-    fold = np.array([int(mix(h[:1])[0] % np.uint64(FOLDS)) if len(h) else 0 for h in hashes])
+    del joined, owner, at, held
     earlier = np.zeros((0, n))
     for c in range(k):
         def fit(use: np.ndarray) -> np.ndarray:
@@ -283,29 +292,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str])
     )
 
 
-def score_toxicity(df: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_") -> DataFrame:
+def score_toxicity(df: DataFrame, chain: Chain, text: str = "text", prefix: str = "p_", keep: list[str] | None = None) -> DataFrame:
     """Add the probability of each category as ``p_<category>`` (double).
 
-    Every text is read whole; null counts as empty. Extra columns stay, columns
-    named like the added ones are replaced. The chain (at most a few thousand
-    weights per category) goes with the task: no join, no shuffle.
+    Every text is read whole; null counts as empty. Extra columns (or those in
+    ``keep``) stay, columns named like the added ones are replaced. The chain (at most
+    a few thousand weights per category) goes with the task: no join, no shuffle.
     """
-    names = [prefix + c for c in chain.categories]
-    rows = df.withColumns({n: F.lit(0.0) for n in names}).withColumn("__text", F.col(f"`{text}`"))
-    schema, at = rows.drop("__text").schema, [rows.columns.index(n) for n in names]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part, texts in blocks(batch, "__text"):
-                found, columns = chain.probabilities(texts), part.columns[:-1]
-                for i, own in zip(at, found):
-                    columns[i] = pa.array(own, pa.float64())
-                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:-1])
-
-    return rows.mapInArrow(score, schema)
+    targets = {prefix + c: T.DoubleType() for c in chain.categories}
+    return map_texts(df, text, targets, lambda: lambda texts: [pa.array(p) for p in chain.probabilities(texts)], keep)
 
 
-def document_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> DataFrame:
+def document_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str], keep: list[str] | None = None) -> DataFrame:
     """Score all documents with a chain fitted on the labelled ones.
 
     Adds ``p_<category>`` and ``is_toxic``: the last category's probability
@@ -313,5 +311,5 @@ def document_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[s
     labelled rows nothing is toxic.
     """
     chain = fit_toxicity(docs, labels, categories)
-    scored = score_toxicity(docs, chain)
+    scored = score_toxicity(docs, chain, keep=keep)
     return scored.withColumn("is_toxic", F.col(f"p_{categories[-1]}") >= float(chain.thresholds[-1]))

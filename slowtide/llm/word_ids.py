@@ -14,7 +14,7 @@ import tokenizers
 from slowtide.llm.codes import Memory, Sums, code_points, offsets, ragged
 
 #: Words whose ids a worker remembers (about 40 bytes each); the memory starts anew beyond it.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_500_000
 SPACE, LETTER, DIGIT, SYMBOL, ODD = range(5)
 #: Fixed value: what may follow an apostrophe as a word of its own.
 ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
