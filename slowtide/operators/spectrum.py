@@ -61,10 +61,10 @@ def _long(df: DataFrame, value: str, order: list[str], series: list[str]) -> Dat
     """
     indexed = row_index(df.select(*series, *order, F.col(value).cast("double").alias("v")), order, series).where("n >= 2")
     bits = F.ceil(F.log2(F.col("n").cast("double"))).cast("int") + 1
-    sized = indexed.select(
+    sized = indexed.withColumn("__bits", bits).select(
         *series, "n", "idx", "v",
-        F.shiftleft(F.lit(1).cast("long"), F.floor(bits / 2).cast("int")).alias("n1"),
-        F.shiftleft(F.lit(1).cast("long"), bits - F.floor(bits / 2).cast("int")).alias("n2"),
+        F.expr("shiftleft(cast(1 as bigint), __bits div 2)").alias("n1"),
+        F.expr("shiftleft(cast(1 as bigint), __bits - __bits div 2)").alias("n2"),
     )
     angle = F.lit(math.pi) * ((F.col("idx") * F.col("idx")) % (2 * F.col("n"))) / F.col("n")
     turned = sized.select(

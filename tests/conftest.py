@@ -5,13 +5,13 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from slowtide.session import build_session  # noqa: E402
+from slowtide.session import build_session, drop_intermediate  # noqa: E402
 
 SF = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "slowtide-tests",
         "local[4]",
@@ -20,10 +20,12 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    drop_intermediate(session)
     session.stop()
 
 

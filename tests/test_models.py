@@ -5,10 +5,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from slowtide.functions.spectra import retained_count, slow_directions, slowest
+from slowtide.functions.vectors import vector_mean
 from slowtide.operators import labels as L
 from slowtide.operators.extremes import extreme_rows
 from slowtide.operators.models import apply_model, fit_pca, fit_sfa, series_moments
-from slowtide.operators.moments import covariance_entries, merge, moments
+from slowtide.operators.moments import Partial, _moment_schema, _partial_moments, covariance_entries, moments, plain_arrow_schema
 from slowtide.operators.slowness import label_gains, label_orders, mean_label_gains, prefix_gains, slowness, slowness_by_time_scale
 from slowtide.operators.smoothing import AMPLITUDES, likelihoods, posterior_at, smooth
 from slowtide.operators.spectrum import amplitude_spectrum
@@ -77,8 +78,35 @@ def test_moments_reject_uneven_vectors(spark):
 
 
 def test_merge_is_exact_for_constant_data():
-    part = (10, np.full(2, 1e9), np.zeros((2, 2)))
-    assert (merge(part, part)[2] == 0).all()
+    partial = Partial()
+    for _ in range(2):
+        partial.add_moments(10, np.full(2, 1e9), np.zeros((2, 2)))
+    assert (partial.scatter == 0).all() and partial.n == 20
+
+
+def test_moments_reject_null_entries(spark):
+    rows = spark.createDataFrame([("s", [1.0, None]), ("s", [3.0, 4.0])], "series string, embedding array<double>")
+    for job in (lambda: moments(rows), lambda: rows.groupBy("series").agg(vector_mean(F.col("embedding")))):
+        with pytest.raises(Exception, match="null entry"):
+            job().collect()
+
+
+def test_many_series_of_few_rows_send_rows(spark):
+    """What is shuffled stays near the size of the vectors; every series spread over all tasks."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 8, 64))
+    data = [(s, [float(v) for v in row]) for s in range(60) for row in x[s]]
+    rows = spark.createDataFrame(data, "series int, embedding array<double>").repartition(12)
+    partials = rows.mapInArrow(_partial_moments(["series"], ["x"], plain_arrow_schema(_moment_schema(rows, ["series"]))), _moment_schema(rows, ["series"]))
+    assert partials.agg(F.sum(F.size("mean") + F.size("covariance"))).first()[0] == 60 * 8 * 64
+    found = matrices(moments(rows))
+    assert all(np.allclose(found[s], np.cov(x[s].T)) for s in range(60))
+
+
+def test_one_series_over_many_tasks(spark):
+    x = np.random.default_rng(10).normal(size=(900, 3)) + 1e6
+    rows = spark.createDataFrame([("s", [float(v) for v in row]) for row in x], "series string, embedding array<double>")
+    assert np.allclose(matrices(moments(rows.repartition(40)))["s"], np.cov(x.T))
 
 
 @pytest.mark.parametrize("keep, kept", [(2, 2), (None, 4), (0.5, 1), (0.9, 3), (0.8, 3), (9, 4)])

@@ -1,4 +1,6 @@
+import datetime as dt
 import sys
+import uuid
 
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 
 from slowtide.functions.scorers import BatchClassifier, BatchEncoder, BatchPairScorer, LexicalEncoder, LexicalPairScorer
 from slowtide.operators import scoring
+from slowtide.plans import analyses
 from slowtide.session import fresh_path
 from slowtide.sources.score_table import ScoreTable, VectorTable
 
@@ -122,3 +125,41 @@ def test_model_runs_once_per_row(spark, texts):
     dated = texts.select("id", "msg", F.lit("s").alias("series"), F.expr("timestamp_ntz '2024-01-01' + id * interval '1' hour").alias("date"))
     pool_windows(scoring.text_vectors(dated, BatchEncoder(load)), "1d").collect()
     assert calls.value == 11
+
+
+def _counted(folder):
+    def load():
+        def predict(texts):
+            with open(f"{folder}/{uuid.uuid4().hex}", "w") as file:
+                file.write("\n".join(texts))
+            return np.array([[len(t), t.count("a")] for t in texts], np.float32)
+
+        return predict
+
+    return load
+
+
+def test_analyses_call_a_model_once_per_text(spark, tmp_path):
+    """Repeated texts and repeated analyses: each distinct text reaches the model once."""
+    rows = [(i, i % 40, dt.datetime(2024, 1, 1 + i % 25), i < 40, "PracticeLogs", "me", "t", f"text {'a' * (i % 5)}") for i in range(120)]
+    schema = "msg_id long, thread_id long, date timestamp_ntz, is_first_in_thread boolean, category string, author string, title string, msg string"
+    messages = spark.createDataFrame(rows, schema)
+    memo = scoring.Memo(spark, str(tmp_path / "memo"), "m", "1")
+    encoder = BatchEncoder(_counted(str(tmp_path)), 10)
+    for _ in range(2):
+        analyses.author_slowness(messages, encoder, memo=memo).collect()
+        analyses.slowness_over_time_scales(messages, encoder, 3, memo=memo).collect()
+    called = [t for name in tmp_path.iterdir() if name.is_file() for t in name.read_text().split("\n")]
+    assert sorted(called) == sorted({r[-1] for r in rows})
+    # without a memo a model still sees each text once per run
+    analyses.author_slowness(messages, encoder).collect()
+    called = [t for name in tmp_path.iterdir() if name.is_file() for t in name.read_text().split("\n")]
+    assert len(called) == 2 * len({r[-1] for r in rows})
+
+
+def test_later_runs_replace_earlier_ones(spark):
+    table = ScoreTable(spark, fresh_path(spark, "scores"))
+    for run in range(1, 12):
+        fresh = spark.createDataFrame([(b"k", "x", float(20 - run))], "text_key binary, label string, score float")
+        table.append(fresh, "m", f"run-{run}")
+    assert [r["score"] for r in table.latest("m", ["x"]).collect()] == [9.0]

@@ -108,3 +108,9 @@ def test_sentences_keep_all_words(spark, texts):
         found.setdefault(r["msg_id"], []).append(r["msg"])
     for i, text in enumerate(texts):
         assert "".join(" ".join(found.get(i, [])).split()) == "".join(text.split())
+
+
+def test_control_characters_do_not_split(spark):
+    row = spark.createDataFrame([("a\u0001b etc.\u0002 c. D",)], "t string")
+    found = row.select(X.split_sentences(F.col("t"), ("etc.",)).alias("s")).first()["s"]
+    assert found == ["a b etc.  c.", "D"]

@@ -198,3 +198,11 @@ def test_first_rows(spark):
     found = first_rows(rows, 4, ["id"])
     assert table(found, "series", "id") == sorted((i % 3, i) for i in range(12))
     assert "WindowGroupLimit" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_vector_of_another_length_names_its_row(spark):
+    rows = spark.createDataFrame(
+        [("s", D(2024, 1, 1), [1.0, 2.0]), ("s", D(2024, 1, 2), [1.0])], "series string, date timestamp_ntz, embedding array<float>"
+    )
+    with pytest.raises(Exception, match="not 2 in row s 2024-01-02"):
+        pool_windows(rows, "1d", dims=2).collect()
