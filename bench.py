@@ -9,12 +9,13 @@ import json
 import os
 import statistics
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from slowtide.plans.registry import QUERIES  # noqa: E402
-from slowtide.session import build_session  # noqa: E402
+from slowtide.session import build_session, drop_intermediate  # noqa: E402
 
 HEADLINE = {
     "practice_log_counts": "messages per thread author",
@@ -28,6 +29,10 @@ HEADLINE = {
     "slow_features": "slow features per author",
     "slowness_over_time_scales": "slowness for 30 window lengths",
     "slowness_gain_per_label": "label gains, 1000 orders",
+    "window_texts": "texts of weekly windows",
+    "amplitude_spectra": "spectra of hourly means",
+    "typical_sentences": "extreme sentences per author",
+    "slowness_analysis_deltas": "slowness analysis, ten labels",
 }
 
 
@@ -42,6 +47,7 @@ def main() -> None:
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="slowtide-bench-"),
         },
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -64,6 +70,7 @@ def main() -> None:
             }
         )
     )
+    drop_intermediate(spark)
     spark.stop()
 
 

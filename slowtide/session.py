@@ -40,9 +40,19 @@ def shared_dir(spark: SparkSession) -> str:
     return named or spark.conf.get("spark.sql.warehouse.dir")
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return os.path.join(shared_dir(spark), "slowtide", spark.sparkContext.applicationId)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """An unused path below the shared folder."""
-    return os.path.join(shared_dir(spark), "slowtide", f"{name}-{uuid.uuid4().hex}")
+    """An unused path in this application's part of the shared folder."""
+    return os.path.join(_own_folder(spark), f"{name}-{uuid.uuid4().hex}")
+
+
+def drop_intermediate(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are stored elsewhere."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def write_once(df: DataFrame, name: str) -> DataFrame:
