@@ -26,7 +26,8 @@ def split_sentences(text: Column, abbreviations: tuple[str, ...] = ()) -> Column
     blanks.
     """
     # the two held characters must not occur in the text itself
-    text = F.translate(text, _BREAK + _HELD_DOT, "  ")
+    held = F.contains(text, F.lit(_BREAK)) | F.contains(text, F.lit(_HELD_DOT))
+    text = F.when(held, F.translate(text, _BREAK + _HELD_DOT, "  ")).otherwise(text)
     if abbreviations:
         # longest first, so that "e.g." wins over "g."
         listed = "|".join(re.escape(a[:-1]) for a in sorted(abbreviations, key=len, reverse=True))
