@@ -11,7 +11,7 @@ survives inflection), in lower case, plus the kinds of marks between words.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,10 +24,8 @@ from pyspark.sql import types as T
 from slowtide.llm.codes import Sums, code_points, map_texts, mix, offsets, spans
 from slowtide.session import write_once
 
-#: Labelled rows that a chain is fitted on at most, the first by hash of doc_id.
+#: Labelled rows that a chain is fitted on at most, the first by hash of doc_id; their texts count whole.
 SAMPLE = 10_000
-#: Code points of them at most, likewise in the order of the hash.
-SAMPLE_CHARS = 25_000_000
 FOLDS = 3
 #: Features kept per category, and the least chi-square and number of texts to keep one.
 FEATURES = 4000
@@ -197,25 +195,45 @@ def fit_chain(texts: Sequence[str], labels: np.ndarray, categories: Sequence[str
         found, bounds = text_features(list(texts[first : first + 100]))
         for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:]), first):
             own = found[a:b]
-            low = (int(own[0]), int(mix(own).min())) if len(own) else (0, 0)
-            if (*labels[i].tolist(), *low) not in seen:
-                seen.add((*labels[i].tolist(), *low))
+            key = (*labels[i].tolist(), *_two_lowest(own))
+            if key not in seen:
+                seen.add(key)
                 kept.append(i)
                 parts.append(own.copy())
                 sizes.append(len(own))
-                fold.append(int(mix(own[:1])[0] % np.uint64(FOLDS)) if len(own) else 0)
+                fold.append(_fold(own))
     n, k = len(kept), len(categories)
-    weights, links, bias, thresholds = np.zeros((k, 0)), np.zeros((k, k)), np.full(k, -20.0), np.full(k, 0.5)
     if not n:
-        return Chain(tuple(categories), np.zeros(0, np.uint64), weights, links, bias, thresholds)
-    joined, owner, y, fold = np.concatenate(parts), np.repeat(np.arange(n, dtype=np.int32), sizes), labels[kept].astype(float), np.array(fold)
+        return Chain(tuple(categories), np.zeros(0, np.uint64), np.zeros((k, 0)), np.zeros((k, k)), np.full(k, -20.0), np.full(k, 0.5))
+    joined, owner, y = np.concatenate(parts), np.repeat(np.arange(n, dtype=np.int32), sizes), labels[kept].astype(float)
     del parts
     features = np.unique(np.concatenate([_marked(joined, owner, y[:, c]) for c in range(k)]))
-    weights = np.zeros((k, len(features)))
-    at = np.minimum(np.searchsorted(features, joined), max(len(features) - 1, 0))
-    held = features[at] == joined if len(features) else np.zeros(len(joined), bool)
-    columns, rows = at[held], owner[held]
-    del joined, owner, at, held
+    held, columns = _places(features, joined)
+    return _fit_categories(columns, owner[held], y, np.array(fold), features, categories)
+
+
+def _two_lowest(own: np.ndarray) -> tuple[int, int]:
+    """The least of a text's sorted hashes in two orders."""
+    return (int(own[0]), int(mix(own).min())) if len(own) else (0, 0)
+
+
+def _fold(own: np.ndarray) -> int:
+    return int(mix(own[:1])[0] % np.uint64(FOLDS)) if len(own) else 0
+
+
+def _places(features: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which hashes are among the sorted features, and the positions of those there."""
+    at = np.minimum(np.searchsorted(features, hashes), max(len(features) - 1, 0))
+    held = features[at] == hashes if len(features) else np.zeros(len(hashes), bool)
+    return held, at[held]
+
+
+def _fit_categories(
+    columns: np.ndarray, rows: np.ndarray, y: np.ndarray, fold: np.ndarray, features: np.ndarray, categories: Sequence[str]
+) -> Chain:
+    """Fit each category on the features that every row holds (``columns`` of ``rows``) and on the earlier categories."""
+    n, k = y.shape
+    weights, links, bias, thresholds = np.zeros((k, len(features))), np.zeros((k, k)), np.full(k, -20.0), np.full(k, 0.5)
     earlier = np.zeros((0, n))
     for c in range(k):
         def fit(use: np.ndarray) -> np.ndarray:
@@ -239,38 +257,85 @@ def fit_chain(texts: Sequence[str], labels: np.ndarray, categories: Sequence[str
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> DataFrame:
-    """At most ``SAMPLE`` labelled texts with at most ``SAMPLE_CHARS`` code points, the first by hash of doc_id.
+    """Labels and distinct features of at most ``SAMPLE`` labelled documents that have a text, the first by hash of doc_id.
 
     Of several label rows of a doc_id the largest counts; rows that lack a
-    category's label are left out. The ids are bounded by ``SAMPLE``, hence broadcast.
+    category's label are left out. Features come from the whole text, however long,
+    in Spark tasks. Copies count once, see ``fit_chain``. The ids are bounded by
+    ``SAMPLE``, hence broadcast.
     """
     one = labels.groupBy("doc_id").agg(*[F.max(c).alias(c) for c in categories]).dropna()
-    first = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    found = docs.select("doc_id", "text").join(F.broadcast(first), "doc_id").where(F.col("text").isNotNull())
-    found = write_once(found.dropDuplicates(["doc_id"]), "labelled-sample")
-    sizes = found.select("doc_id", F.length("text").alias("n"))
-    every = [(row.doc_id, row.n) for row in sizes.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]  # at most SAMPLE
-    total, kept = 0, []
-    for doc_id, n in every:
-        total += n
-        if total > SAMPLE_CHARS:
-            break
-        kept.append((doc_id,))
-    return found.join(F.broadcast(docs.sparkSession.createDataFrame(kept, "doc_id long")), "doc_id")
+    texts = docs.select("doc_id", "text").where(F.col("text").isNotNull())
+    first = one.join(texts.select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    found = texts.join(F.broadcast(first), "doc_id").dropDuplicates(["doc_id"])
+
+    def work(block: list[str]) -> list[pa.Array]:
+        hashes, bounds = text_features(block)
+        own = [hashes[a:b] for a, b in zip(bounds[:-1], bounds[1:])]
+        low = np.array([_two_lowest(o) for o in own], np.uint64).view(np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
+        return [lists, pa.array(low[:, 0]), pa.array(low[:, 1]), pa.array([_fold(o) for o in own], pa.int32())]
+
+    kinds = {"__features": T.ArrayType(T.LongType()), "__low": T.LongType(), "__mixed": T.LongType(), "__fold": T.IntegerType()}
+    stored = write_once(map_texts(found, "text", kinds, lambda: work, ["doc_id", *categories]), "labelled-sample")
+    fresh = stored.groupBy(*categories, "__low", "__mixed").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return stored.join(F.broadcast(fresh), "doc_id", "left_semi")
+
+
+def marked_features(sample: DataFrame, categories: Sequence[str]) -> np.ndarray:
+    """The sorted features that ``_marked`` would find, counted in Spark; at most ``FEATURES`` per category are collected."""
+    sums = [F.sum(F.col(c).cast("double")).alias(c) for c in categories]
+    total = sample.agg(F.count("*").alias("__n"), *sums).first()
+    each = sample.select(*categories, F.explode("__features").alias("__feature"))
+    each = each.groupBy("__feature").agg(F.count("*").cast("double").alias("__n"), *sums)
+    each = write_once(each.where(F.col("__n") >= LEAST_TEXTS), "feature-counts")
+    n, found = float(total["__n"]), []
+    for category in categories:
+        n1 = total[category]
+        if not n or not 0 < n1 < n:
+            continue
+        a, b = F.col(category), F.col("__n") - F.col(category)
+        c, d = F.lit(n1) - a, F.lit(n - n1) - b
+        odd, even = a * d - b * c, (a + b) * (c + d) * F.lit(n1) * F.lit(n - n1)
+        chi2 = F.lit(n) * (odd * odd) / F.greatest(even, F.lit(1.0))
+        unsigned = F.col("__feature").bitwiseXOR(F.lit(-(1 << 63)))
+        rows = each.select("__feature", chi2.alias("__chi2")).where(F.col("__chi2") >= LEAST_CHI2)
+        found += [row[0] for row in rows.orderBy(F.desc("__chi2"), unsigned).limit(FEATURES).collect()]
+    return np.unique(np.array(found, np.int64).view(np.uint64))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str]) -> Chain:
-    """Fit a chain in one task on the bounded labelled sample; the driver gets the weights only."""
+    """Fit a chain on the labelled sample, as ``fit_chain`` would; the driver gets features and weights only.
+
+    Texts are read and features counted in Spark tasks. The one task that fits the
+    models holds the positions of the kept features in each row: at most ``SAMPLE``
+    rows with ``FEATURES`` per category, whatever the texts' lengths.
+    """
     names = list(categories)
     sample = labelled_sample(docs, labels, names)
+    features = marked_features(sample, names)
+    kept = ["doc_id", *names, "__fold"]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 100):
+                part = batch.slice(first, 100)
+                lists = part.column("__features")
+                hashes = lists.flatten().to_numpy().view(np.uint64)
+                held, columns = _places(features, hashes)
+                bounds = lists.offsets.to_numpy()
+                bounds = np.concatenate([[0], np.cumsum(held)])[bounds - bounds[0]]
+                own = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(columns.astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([part.column(c) for c in kept] + [own], names=[*kept, "__columns"])
 
     def fit(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("doc_id")
-        chain = fit_chain(rows["text"].tolist(), rows[names].to_numpy(), names)
+        owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(c) for c in rows["__columns"]])
+        y, fold = rows[names].to_numpy().astype(float), rows["__fold"].to_numpy()
+        chain = _fit_categories(np.concatenate(rows["__columns"].tolist()), owner, y, fold, features, names)
         return pd.DataFrame(
             {
                 "category": np.arange(len(names)),
-                "features": [chain.features.view(np.int64)] * len(names),
                 "weights": list(chain.weights),
                 "links": list(chain.links),
                 "bias": chain.bias,
@@ -278,13 +343,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, categories: Sequence[str])
             }
         )
 
-    schema = "category int, features array<long>, weights array<double>, links array<double>, bias double, threshold double"
-    found = sorted(sample.groupBy().applyInPandas(fit, schema).collect(), key=lambda r: r.category)
+    placed = T.StructType([sample.schema[c] for c in kept] + [T.StructField("__columns", T.ArrayType(T.IntegerType()))])
+    schema = "category int, weights array<double>, links array<double>, bias double, threshold double"
+    fitted = sample.select(*kept, "__features").mapInArrow(place, placed).groupBy().applyInPandas(fit, schema)
+    found = sorted(fitted.collect(), key=lambda r: r.category)
     if not found:
         return fit_chain([], np.zeros((0, len(names))), names)
     return Chain(
         tuple(names),
-        np.array(found[0].features, np.int64).view(np.uint64),
+        features,
         np.array([r.weights for r in found]).reshape(len(names), -1),
         np.array([r.links for r in found]),
         np.array([r.bias for r in found]),

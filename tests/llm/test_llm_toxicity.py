@@ -4,8 +4,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from slowtide.llm.toxicity import document_toxicity, fit_chain, text_features
+from slowtide.llm import toxicity
+from slowtide.llm.toxicity import document_toxicity, fit_chain, fit_toxicity, text_features
 
 CATEGORIES = ("junk", "toxic")
 
@@ -59,3 +61,51 @@ def test_edges(spark, edge_docs, no_docs, labels):
     if not any(t for _, _, t in labels):
         assert not any(r.is_toxic for r in rows)
     assert document_toxicity(no_docs, table, CATEGORIES).count() == 0
+
+
+def marked_texts(n):
+    """Texts of which each third is junk, and half of those toxic, by words of their own."""
+    rng, rows = random.Random(7), []
+    for i in range(n):
+        junk, toxic = int(i % 3 == 0), int(i % 6 == 0)
+        rows.append((i, words(rng, 12) + (" junkword" if junk else "") + (" vileword" if toxic else ""), junk, toxic))
+    return rows
+
+
+def tables(spark, rows):
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(r[0], *r[2:]) for r in rows], "doc_id long, junk int, toxic int")
+
+
+def same(a, b):
+    assert np.array_equal(a.features, b.features) and len(a.features)
+    for x, y in ((a.weights, b.weights), (a.links, b.links), (a.bias, b.bias), (a.thresholds, b.thresholds)):
+        assert np.allclose(x, y, rtol=1e-9, atol=1e-12)
+
+
+def test_fit_in_spark_equals_the_local_one(spark):
+    rows = marked_texts(600)
+    rows += [(1000 + i, *rows[i][1:]) for i in range(0, 100, 7)] + [(2000, "", 0, 0), (2001, " ", 1, 0)]
+    docs, labels = tables(spark, rows)
+    same(fit_toxicity(docs, labels, CATEGORIES), fit_chain([r[1] for r in rows], np.array([r[2:] for r in rows]), CATEGORIES))
+
+
+def test_one_very_long_labelled_text_costs_no_other_row(spark):
+    rows = marked_texts(300)
+    docs, labels = tables(spark, rows)
+    ids = spark.createDataFrame([(r[0],) for r in rows], "doc_id long")
+    first = ids.orderBy(F.xxhash64("doc_id"), "doc_id").first().doc_id
+    text = "plain words " * 2_100_000  # more than 25 million code points
+    long = F.when(F.col("doc_id") == first, F.repeat(F.lit("plain words "), 2_100_000)).otherwise(F.col("text"))
+    chain = fit_toxicity(docs.withColumn("text", long), labels, CATEGORIES)
+    same(chain, fit_chain([text if r[0] == first else r[1] for r in rows], np.array([r[2:] for r in rows]), CATEGORIES))
+    assert (chain.probabilities(["some vileword junkword", "some words"])[1] >= chain.thresholds[1]).tolist() == [True, False]
+
+
+def test_labels_without_a_text_do_not_fill_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE", 300)
+    rows = marked_texts(300)
+    docs, labels = tables(spark, rows)
+    docs = docs.unionByName(spark.createDataFrame([(i, None) for i in range(1000, 1300)], docs.schema))
+    more = spark.createDataFrame([(i, 1, 1) for i in range(1000, 1600)], labels.schema)
+    same(fit_toxicity(docs, labels.unionByName(more), CATEGORIES), fit_chain([r[1] for r in rows], np.array([r[2:] for r in rows]), CATEGORIES))
