@@ -26,13 +26,13 @@ HEADLINE = {
     "pooled_vectors": "mean vectors in overlapping windows",
     "vector_covariance": "covariance matrices, 64 dimensions",
     "memoised_scores": "label scores through the score table, three runs",
-    "slow_features": "slow features per author",
-    "slowness_over_time_scales": "slowness for 30 window lengths",
-    "slowness_gain_per_label": "label gains, 1000 orders",
+    "slow_features": "slow features per author, 384 dimensions",
+    "slowness_over_time_scales": "slowness for 30 window lengths, 384 dimensions",
+    "slowness_gain_of_all_labels": "label gains, 69 labels, 1000 orders",
     "window_texts": "texts of weekly windows",
     "amplitude_spectra": "spectra of hourly means",
     "typical_sentences": "extreme sentences per author",
-    "slowness_analysis_deltas": "slowness analysis, ten labels",
+    "slowness_analysis_deltas": "slowness analysis, 69 labels",
 }
 
 

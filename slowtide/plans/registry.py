@@ -41,6 +41,8 @@ def letter_key(word: Column) -> Column:
 
 
 ENCODER, ENCODER_2D = LexicalEncoder(16, letter_key), LexicalEncoder(2, letter_key)
+#: As wide as the sentence encoder of the analyses.
+ENCODER_384 = LexicalEncoder(384, letter_key)
 SCORER, SCORER_69 = LexicalPairScorer(LEXICON), LexicalPairScorer(ALL_LEXICON)
 SENTENCE = ["msg_id", "sentence_idx"]
 
@@ -732,8 +734,8 @@ def author_slowness(spark, sf_dir):
 
 @query
 def slow_features(spark, sf_dir):
-    """Q5."""
-    found = analyses.slow_features(testbed.messages(spark, sf_dir), ENCODER)
+    """Q5 with a 384-dimensional encoder."""
+    found = analyses.slow_features(testbed.messages(spark, sf_dir), ENCODER_384)
     return found.select("author", "window_start", "n", "SFA_0", "SFA_1", "SFA_2")
 
 
@@ -745,7 +747,7 @@ def typical_sentences(spark, sf_dir):
 
 def _analysis(spark, sf_dir):
     # lexical scores vary less than a model's: the cutoff is a share of the variance
-    return analyses.SlownessAnalysis(testbed.messages(spark, sf_dir), SCORER, LEXICON_LABELS, cutoff_mode="ratio")
+    return analyses.SlownessAnalysis(testbed.messages(spark, sf_dir), SCORER_69, ANALYSIS_LABELS, cutoff_mode="ratio")
 
 
 REPORTS = [
@@ -762,7 +764,7 @@ def _report(name: str) -> Query:
             found = _finite_period(found)
         return show(found)
 
-    run.__doc__ = f"Q7: report {name} of the slowness analysis."
+    run.__doc__ = f"Q7: report {name} of the slowness analysis, all 69 labels."
     return run
 
 
@@ -771,13 +773,13 @@ QUERIES.update({f"slowness_analysis_{name}": _report(name) for name in REPORTS})
 
 @query
 def slowness_over_time_scales(spark, sf_dir):
-    """Q8."""
-    return analyses.slowness_over_time_scales(testbed.messages(spark, sf_dir), ENCODER)
+    """Q8 with a 384-dimensional encoder."""
+    return analyses.slowness_over_time_scales(testbed.messages(spark, sf_dir), ENCODER_384)
 
 
 @query
 def slowness_gain_per_label(spark, sf_dir):
-    """Q9 with 1000 orders of the labels."""
+    """Q9 with 1000 orders of ten labels."""
     return analyses.slowness_gain_per_label(testbed.messages(spark, sf_dir), SCORER, LEXICON_LABELS)
 
 
@@ -842,8 +844,8 @@ def two_label_deltas(spark, sf_dir):
 
 @query
 def slowness_gain_of_all_labels(spark, sf_dir):
-    """Q9 with all 69 labels and ten orders."""
-    return analyses.slowness_gain_per_label(testbed.messages(spark, sf_dir), SCORER_69, ANALYSIS_LABELS, 10)
+    """Q9 with all 69 labels and 1000 orders."""
+    return analyses.slowness_gain_per_label(testbed.messages(spark, sf_dir), SCORER_69, ANALYSIS_LABELS)
 
 
 @query

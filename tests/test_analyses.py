@@ -1,6 +1,7 @@
 """The end-to-end analyses against plain numpy on collected data."""
 
 import datetime as dt
+import inspect
 from collections import defaultdict
 
 import numpy as np
@@ -12,8 +13,8 @@ from slowtide.operators.scoring import add_embeddings, add_label_vectors
 from slowtide.operators.sentences import explode_sentences
 from slowtide.operators.slowness import label_orders
 from slowtide.operators.threads import practice_logs
-from slowtide.plans import analyses
-from slowtide.plans.vocabulary import LEXICON, LEXICON_LABELS
+from slowtide.plans import analyses, registry
+from slowtide.plans.vocabulary import ANALYSIS_LABELS, LEXICON, LEXICON_LABELS
 from slowtide.sources import testbed
 
 ENCODER, SCORER = LexicalEncoder(6), LexicalPairScorer(LEXICON)
@@ -204,3 +205,22 @@ def test_texts_come_with_vectors(messages):
     found = analyses.time_aggregated_logs(messages, ENCODER, "1w", with_text=True)
     assert found.columns == ["author", "window_start", "n", "embedding", "part", "msg"]
     assert found.where("msg is null or part <> 0").count() == 0
+
+
+def test_registered_analyses_run_at_full_width(spark, sf, monkeypatch):
+    calls = {}
+    for name in ("slowness_gain_per_label", "slow_features", "slowness_over_time_scales"):
+        def spy(*args, f=getattr(analyses, name), name=name):
+            calls[name] = inspect.signature(f).bind(*args)
+            calls[name].apply_defaults()
+            return f(*args)
+
+        monkeypatch.setattr(analyses, name, spy)
+    registry.QUERIES["slowness_gain_of_all_labels"](spark, sf)
+    gains = calls["slowness_gain_per_label"].arguments
+    assert gains["labels"] == ANALYSIS_LABELS and gains["n_iterations"] == 1000
+    for name in ("slow_features", "slowness_over_time_scales"):
+        registry.QUERIES[name](spark, sf)
+        assert calls[name].arguments["encoder"].dims == 384
+    weights = registry.QUERIES["slowness_analysis_label_weights_of_pca"](spark, sf)
+    assert {r.label_idx for r in weights.select("label_idx").distinct().collect()} == set(range(69))
