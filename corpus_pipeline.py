@@ -38,18 +38,20 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of the least doc_id stays.
+    """Of each class of near duplicates the row of the least doc_id stays.
 
-    Of rows that share a doc_id the one with the least text stays; rows without
-    doc_id all stay.
+    Every distinct pair of doc_id and text is compared under an id of its own, a
+    64-bit hash of both, so different texts of one doc_id and rows without doc_id
+    are judged by their own text. Of a class, rows with a doc_id come first; repeated
+    rows count once.
     """
-    classes = ngram_join.near_duplicates(docs)
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select(F.col("doc_id").alias("__gone"))
-    named = docs.where(F.col("doc_id").isNotNull())
-    kept = named.join(gone.hint("shuffle_hash"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    own = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"))
-    kept = kept.withColumn("__nth", F.row_number().over(own)).where(F.col("__nth") == 1)
-    return kept.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    named = docs.withColumn("__id", F.xxhash64("doc_id", "text"))
+    classes = ngram_join.near_duplicates(named, key="__id").select(F.col("doc_id").alias("__id"), "class_id")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__id")).alias("first")
+    stay = classes.join(named.select("__id", "doc_id"), "__id").groupBy("class_id").agg(first).select("first.__id")
+    kept = named.join(stay.hint("shuffle_hash"), "__id", "left_semi")
+    own = Window.partitionBy("__id").orderBy("doc_id")
+    return kept.withColumn("__nth", F.row_number().over(own)).where(F.col("__nth") == 1).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,3 +64,13 @@ def test_stages_match_the_named_operators():
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "packing"]
     assert len(QUERIES) == 10 and WORD_TOKENIZER
     assert make_docs is not None
+
+
+def test_texts_that_share_an_id_are_judged_on_their_own(spark, sf):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    stage = dict(pipeline.STAGES)["ngram_join"]
+    for one, two in ((x, y), (y, x)):  # either order of texts and digests
+        kept = stage(spark, make_docs(spark, [(1, one), (1, two), (2, one), (3, two + " more"), (3, z)]), sf)
+        assert sorted(rows_of(kept)) == sorted([(1, one), (1, two), (3, z)])
+    kept = stage(spark, make_docs(spark, [(None, x), (None, x + " more"), (None, y), (4, x), (None, None)]), sf)
+    assert {r for r in rows_of(kept)} == {(4, x), (None, y), (None, None)} and kept.count() == 3
