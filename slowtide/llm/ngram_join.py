@@ -8,8 +8,8 @@ buckets are split again at two coordinates of their own; small ones are compared
 pair by pair. At the threshold a pair stays together in some bucket with a
 probability of at least (2t - 1) / t**2 at any depth, and runs are repeated until
 the target recall is reached. A large bucket that holds at least half of the one it
-was split from is not split again: its sets are similar through and through, and
-become one candidate group.
+was split from is not split again, and its sets become one candidate group. Candidate
+groups of more than one block are divided into sets whose sketches agree.
 
 Sketches only propose. Proposed pairs form candidate groups, and within a group
 all pairs are checked exactly on all shingles, in blocks of bounded size. Only
@@ -179,10 +179,49 @@ def compare_small(rows: DataFrame, least_equal: int) -> DataFrame:
     return rows.repartition("node").sortWithinPartitions("node").mapInArrow(edges, "a long, b long")
 
 
+def agreement(similarity: float) -> int:
+    """Coordinates at which the sketches of a pair at the threshold agree at least."""
+    spread = SLACK * math.sqrt(COORDINATES * similarity * (1 - similarity))
+    return max(1, math.floor(COORDINATES * similarity - spread))
+
+
+def split_by_sketch(found: DataFrame, sets: DataFrame, least_equal: int) -> DataFrame:
+    """``(node, component)`` with components of more than one block divided into sets whose sketches agree.
+
+    Large buckets make candidates of all their sets. Their sketches are compared here
+    pair by pair, in the blocks of the exact check, so that it only gets texts that are
+    linked by sketches.
+    """
+    sizes = found.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") > BLOCK_SETS)
+    sizes = write_once(sizes.select("component", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("parts")), "large-groups")
+    if sizes.isEmpty():
+        return found
+    nodes = found.unionByName(sizes.select(F.col("component").alias("node"), "component")).join(sizes, "component")
+    part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+    rows = nodes.select("component", F.col("node").alias("set_id"), "parts", part.alias("part")).join(sets, "set_id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    keys = ["component", "low", "high"]
+    rows = rows.select("component", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "set_id", "sketch")
+
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in groups(batches, keys, 1 << 12):
+            ids, sketch = run.column("set_id").to_numpy(), _matrix(run.column("sketch").combine_chunks())
+            at = starts_of(run, keys)
+            for first, last in zip(at[:-1].tolist(), at[1:].tolist()):
+                agree = np.zeros((last - first, last - first), np.uint8)
+                for own in sketch[first:last].T:
+                    agree += own[:, None] == own[None]
+                top = _forest(agree >= least_equal)
+                rest = np.flatnonzero(top != np.arange(last - first))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[first + rest]), pa.array(ids[first + top[rest]])], names=["a", "b"])
+
+    linked = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(edges, "a long, b long")
+    return found.join(sizes, "component", "left_anti").select("node", "component").unionByName(connected_components(linked))
+
+
 def candidate_edges(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
     """Edges that join every pair of similar sets into one component, from ``(set_id, sketch)``."""
-    spread = SLACK * math.sqrt(COORDINATES * similarity * (1 - similarity))
-    least_equal = max(1, math.floor(COORDINATES * similarity - spread))
+    least_equal = agreement(similarity)
     roots = mix(np.arange(1, runs_needed(similarity, recall) + 1, dtype=np.uint64)).tolist()
     level = write_once(split(sets, roots), "buckets-1")
     edges, n = None, F.col("n")
@@ -292,7 +331,7 @@ def near_duplicates(
         sets.agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("n_docs"), F.max("sketch").alias("sketch")), "sets"
     )
     edges = candidate_edges(sets.select("set_id", "sketch"), similarity, recall)
-    found = connected_components(edges)
+    found = split_by_sketch(connected_components(edges), sets.select("set_id", "sketch"), agreement(similarity))
     tops = found.select(F.col("component").alias("node"), "component").distinct()
     members = found.unionByName(tops).join(sets.select(F.col("set_id").alias("node"), "n_docs", "a"), "node")
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts"))

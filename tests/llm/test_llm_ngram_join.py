@@ -91,3 +91,23 @@ def test_components(spark):
     found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     expected = components({x for e in edges for x in e}, edges)
     assert {r.node: r.component for r in found} == {n: c for n, c in expected.items() if n != c}
+
+
+def test_large_groups_are_divided_where_sketches_differ(spark, monkeypatch):
+    for name, value in (("SMALL", 3), ("BLOCK_SETS", 8)):
+        monkeypatch.setattr(ngram_join, name, value)
+    rng, rows = random.Random(3), []
+    template = ["t%d" % i for i in range(60)]
+    for family in range(8):  # one template in each text; only texts of one family are near
+        own = ["f%d" % rng.randrange(10**6) for _ in range(40)]
+        rows += [" ".join([*template, *own, "v%d" % rng.randrange(10**6)]) for _ in range(6)]
+    sent, check = [], ngram_join.check_groups
+
+    def spy(dealt, *args):
+        sent.append(dealt.select("comp", "set_id").distinct().groupBy("comp").count().agg({"count": "max"}).first()[0])
+        return check(dealt, *args)
+
+    monkeypatch.setattr(ngram_join, "check_groups", spy)
+    rows = list(enumerate(rows))
+    assert sorted(map(tuple, near_duplicates(make_docs(spark, rows)).collect())) == brute(rows)
+    assert sent == [6]
