@@ -8,7 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slowtide.llm import fingerprints, licenses, line_dedup, neighbours, ngram_join, packing, sentencepiece_viterbi, sharding, token_counts, toxicity
+from slowtide.llm import (
+    fingerprints, licenses, line_dedup, neighbours, ngram_join, packing, periodic_runs, quality, sentencepiece_viterbi, sharding,
+    token_alignment, token_counts, toxicity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -104,3 +107,36 @@ def op10_licenses(spark, sf_dir):
         F.concat_ws(",", "sentence_ids").alias("sentence_ids"),
         F.concat_ws(",", "licences").alias("licences"),
     )
+
+
+@query
+def op11_periodic_runs(spark, sf_dir):
+    """All documents' runs of words, a tenth of them with words repeated first: the strongest run and digests."""
+    hashed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    number = F.when(F.pmod(hashed, F.lit(10)) == 0, F.floor(hashed / 10))
+    docs = documents(spark, sf_dir).select("doc_id", periodic_runs.repeat_words(F.col("text"), number, F.pmod(number, F.lit(8))).alias("text"))
+    rows = periodic_runs.collapse_runs(docs, keep=["doc_id"]).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return rows.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.floor(F.expr("1000 * best.length div best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query
+def op12_quality(spark, sf_dir):
+    """All documents' quality by a discriminant learnt from the labelled rows that are not held out."""
+    rows = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.document_quality(documents(spark, sf_dir), rows)
+
+
+@query
+def op13_token_alignment(spark, sf_dir):
+    """All documents' tokens by a byte-level and a piece vocabulary, aligned."""
+    rows = token_alignment.align_tokens(documents(spark, sf_dir), *token_alignment.tokenizer_paths(), keep=["doc_id"], digest=True)
+    return rows.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
