@@ -9,7 +9,7 @@ pair by pair. At the threshold a pair stays together in some bucket with a
 probability of at least (2t - 1) / t**2 at any depth, and runs are repeated until
 the target recall is reached. A large bucket that holds at least half of the one it
 was split from is not split again, and its sets become one candidate group. Candidate
-groups of more than one block are divided into sets whose sketches agree.
+groups of any size are divided into sets whose sketches agree.
 
 Sketches only propose. Proposed pairs form candidate groups, and within a group
 all pairs are checked exactly on all shingles, in blocks of bounded size. Only
@@ -186,16 +186,14 @@ def agreement(similarity: float) -> int:
 
 
 def split_by_sketch(found: DataFrame, sets: DataFrame, least_equal: int) -> DataFrame:
-    """``(node, component)`` with components of more than one block divided into sets whose sketches agree.
+    """``(node, component)`` with components divided into sets whose sketches agree, whatever their size.
 
     Large buckets make candidates of all their sets. Their sketches are compared here
     pair by pair, in the blocks of the exact check, so that it only gets texts that are
     linked by sketches.
     """
-    sizes = found.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("n")).where(F.col("n") > BLOCK_SETS)
-    sizes = write_once(sizes.select("component", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("parts")), "large-groups")
-    if sizes.isEmpty():
-        return found
+    sizes = found.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("n"))
+    sizes = write_once(sizes.select("component", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("parts")), "group-sizes")
     nodes = found.unionByName(sizes.select(F.col("component").alias("node"), "component")).join(sizes, "component")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     rows = nodes.select("component", F.col("node").alias("set_id"), "parts", part.alias("part")).join(sets, "set_id")
@@ -216,7 +214,7 @@ def split_by_sketch(found: DataFrame, sets: DataFrame, least_equal: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first + rest]), pa.array(ids[first + top[rest]])], names=["a", "b"])
 
     linked = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(edges, "a long, b long")
-    return found.join(sizes, "component", "left_anti").select("node", "component").unionByName(connected_components(linked))
+    return connected_components(linked)
 
 
 def candidate_edges(sets: DataFrame, similarity: float, recall: float) -> DataFrame:

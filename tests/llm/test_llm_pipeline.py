@@ -62,7 +62,7 @@ def test_edges(spark, sf, edge_docs, no_docs, number):
 
 def test_stages_match_the_named_operators():
     assert [name for name, _ in pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "packing"]
-    assert len(QUERIES) == 10 and WORD_TOKENIZER
+    assert len(QUERIES) == 13 and WORD_TOKENIZER
     assert make_docs is not None
 
 
