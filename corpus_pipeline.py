@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from slowtide.llm import line_dedup, ngram_join, packing, toxicity
 from slowtide.llm.queries import CATEGORIES, WORD_TOKENIZER, labels
@@ -40,18 +39,16 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the row of the least doc_id stays.
 
-    Every distinct pair of doc_id and text is compared under an id of its own, a
-    64-bit hash of both, so different texts of one doc_id and rows without doc_id
-    are judged by their own text. Of a class, rows with a doc_id come first; repeated
-    rows count once.
+    Every row is compared under a number of its own, so different texts of one doc_id and
+    rows without doc_id are judged by their own text and no two rows are taken for each
+    other. Of a class, rows with a doc_id come first, and one of equal rows stays. Rows
+    without words stay, all of them. The numbers are stored with the rows before use.
     """
-    named = docs.withColumn("__id", F.xxhash64("doc_id", "text"))
+    named = write_once(docs.withColumn("__id", F.monotonically_increasing_id()), "pipeline-numbered")
     classes = ngram_join.near_duplicates(named, key="__id").select(F.col("doc_id").alias("__id"), "class_id")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__id")).alias("first")
     stay = classes.join(named.select("__id", "doc_id"), "__id").groupBy("class_id").agg(first).select("first.__id")
-    kept = named.join(stay.hint("shuffle_hash"), "__id", "left_semi")
-    own = Window.partitionBy("__id").orderBy("doc_id")
-    return kept.withColumn("__nth", F.row_number().over(own)).where(F.col("__nth") == 1).select(*docs.columns)
+    return named.join(stay.hint("shuffle_hash"), "__id", "left_semi").select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
