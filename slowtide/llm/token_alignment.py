@@ -38,10 +38,10 @@ from slowtide.operators.moments import plain_arrow_schema
 from slowtide.session import write_once
 
 #: Bytes of text that are aligned together, tokens after which a document takes another place in the state.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 SECTION = 512
 #: Characters of stretches whose ids a worker remembers; the memory starts anew beyond it.
-REMEMBERED = 6_000_000
+REMEMBERED = 3_000_000
 #: A pair of ids is a · B_IDS + b.
 B_IDS = 1 << 15
 SPACE = "▁"
