@@ -132,12 +132,23 @@ class LexicalEncoder:
 
     def encode(self, text: Column) -> Column:
         places = F.transform(words(text), lambda w: F.pmod(self._key(w), F.lit(self.dims)))
-        at = lambda p, i: F.size(F.filter(p, lambda q: q == i)).cast("double")
-        counts = bind(places, lambda p: F.array(*[at(p, i) for i in range(self.dims)]))
+        counts = bind(F.array_sort(places), lambda s: bind(F.array_distinct(s), lambda u: self._counts(s, u)))
         # a text without words keeps the zero vector
         unit = bind(counts, lambda c: bind(F.greatest(norm(c), F.lit(1.0)), lambda n: scale(c, 1 / n)))
         return F.when(text.isNotNull(), unit.cast("array<float>"))
 
+    def _counts(self, placed: Column, used: Column) -> Column:
+        """How often each of the ``dims`` places occurs, from all sorted places and the distinct ones.
+
+        Each used place gives the zeros before it and its run length: work for the
+        words and the result, none per place and word.
+        """
+        zeros = lambda n: F.array_repeat(F.lit(0.0), n.cast("int"))
+        start = lambda at: F.coalesce(F.array_position(placed, F.get(used, at)), F.size(placed) + 1)
+        before = lambda at: F.coalesce(F.get(used, at - 1), F.lit(-1))
+        part = lambda p, at: F.concat(zeros(p - before(at) - 1), F.array((start(at + 1) - start(at)).cast("double")))
+        return F.concat(F.flatten(F.transform(used, part)), zeros(self.dims - 1 - before(F.size(used))))
+
 
 def mock_vector(row_key: Column, dims: int = 10, seed: int = 0) -> Column:
     """Uniform [0, 1) entries, a function of (seed, row key, position) alone: 52 bits of an MD5 digest."""

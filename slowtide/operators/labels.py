@@ -10,8 +10,14 @@ WHITE_NOISE = 2.0
 
 
 def weights(models: DataFrame, series: list[str] = ("series",), matrix: str = "components") -> DataFrame:
-    """Matrix entries: ``series.., component, label_idx, weight``."""
-    rows = models.select(*series, F.posexplode(matrix).alias("component", "__row"))
+    """Matrix entries: ``series.., component, label_idx, weight``.
+
+    Principal components beyond the retained ones are zeros and have no entries here, so
+    a series without variance has none.
+    """
+    rows = models.select("*", F.posexplode(matrix).alias("component", "__row"))
+    if "n_retained" in models.columns and matrix == "components":
+        rows = rows.where(F.col("component") < F.col("n_retained"))
     return rows.select(*series, "component", F.posexplode("__row").alias("label_idx", "weight"))
 
 
@@ -47,7 +53,7 @@ def whitening_axes(sfa: DataFrame, series: list[str] = ("series",)) -> DataFrame
 def importance(long: DataFrame, ratios: DataFrame, series: list[str] = ("series",)) -> DataFrame:
     """Largest |sqrt(variance ratio) · weight| of each label over the components.
 
-    ``ratios``: ``series.., component, ratio``.
+    ``ratios``: ``series.., component, ratio``. A series without weights has no rows.
     """
     weighted = F.abs(F.sqrt("ratio") * F.col("weight"))
     return (
@@ -84,7 +90,10 @@ def component_values(models: DataFrame, array: str, name: str, series: list[str]
 
 
 def explained_variance(pca: DataFrame, series: list[str] = ("series",)) -> DataFrame:
-    """Variance share of each principal component and whether it was kept."""
+    """Variance share of each principal component and whether it was kept.
+
+    A series without variance has shares 0, none kept.
+    """
     long = pca.select(*series, "n_retained", F.posexplode("ratios").alias("component", "ratio"))
     return long.select(*series, "component", "ratio", (F.col("component") < F.col("n_retained")).alias("retained"))
 

@@ -1,19 +1,22 @@
 """Principal components and slow features: fitting from moments, applying to tables."""
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from slowtide.functions.spectra import eigen_descending, fix_signs, retained_count, slow_directions
+from slowtide.functions.spectra import Factors, fix_signs, retained_count
 from slowtide.functions.vectors import affine, map_vector
-from slowtide.operators.moments import DIFFERENCES, VALUES, matrix_of, moments, plain_arrow_schema
+from slowtide.operators.moments import BLOCK_ROWS, DIFFERENCES, VALUES, Partial, matrix_of, moments, plain_arrow_schema
 from slowtide.operators.ordered import consecutive_differences
 from slowtide.operators.skew import lookup_join, spread_work
 
 VECTOR = T.ArrayType(T.DoubleType())
 MATRIX = T.ArrayType(VECTOR)
+Fit = Callable[[Factors], dict]
 
 
 def _matrices(table: pa.Table) -> dict[str, np.ndarray]:
@@ -28,7 +31,7 @@ def _matrices(table: pa.Table) -> dict[str, np.ndarray]:
     return found
 
 
-def _per_series(moment_rows: DataFrame, series: list[str], fit, fields: list[T.StructField]) -> DataFrame:
+def _per_series(moment_rows: DataFrame, series: list[str], fit: Fit, fields: list[T.StructField]) -> DataFrame:
     """Run ``fit`` once per series on its matrix rows (2·d of them at most)."""
     schema = T.StructType([moment_rows.schema[c] for c in series] + fields)
     arrow = plain_arrow_schema(schema)
@@ -38,30 +41,82 @@ def _per_series(moment_rows: DataFrame, series: list[str], fit, fields: list[T.S
         found = _matrices(table)
         n, mean = table["n"][first].as_py(), np.array(table["mean"][first].as_py())
         values = [table[c][0].as_py() for c in series]
-        row = values + list(fit(n, mean, found[VALUES], found[DIFFERENCES]).values())
+        row = values + list(fit(Factors.of_matrices(n, mean, found[VALUES], found[DIFFERENCES])).values())
         return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
 
     return spread_work(moment_rows, series).groupBy(*series).applyInArrow(run, schema)
 
 
+def _factors_of(batches: Iterator[pa.RecordBatch], series: list[str]) -> tuple[list, Factors]:
+    """A series' values and factors from its rows ``series.., x, dx``, one batch at a time.
+
+    What is held is fewer than d rows, or two d × d matrices once there are more.
+    """
+    head, partials = None, {}
+    for batch in batches:
+        head = head or [batch.column(i)[0].as_py() for i in range(len(series))]
+        for kind in (VALUES, DIFFERENCES):
+            column = batch.column(kind).drop_null()
+            if not len(column):
+                continue
+            if column.flatten().null_count:
+                raise ValueError(f"a vector with a null entry in series {head}")
+            rows = matrix_of(column)
+            partials.setdefault(kind, Partial(limit=max(rows.shape[1], BLOCK_ROWS))).add_rows(rows)
+    x = partials[VALUES]
+    dx = partials.get(DIFFERENCES)
+    if x.mean is None and x.waiting < x.width:
+        return head, Factors.of_rows(np.concatenate(x.rows), np.concatenate(dx.rows) if dx else np.zeros((0, x.width)))
+    c = x.covariance()
+    d = dx.covariance() if dx else np.zeros_like(c)
+    return head, Factors.of_matrices(x.n, x.mean, (c + c.T) / 2, (d + d.T) / 2)
+
+
+def _per_windowed_series(
+    df: DataFrame, order: list[str], series: list[str], vector: str, fit: Fit, fields: list[T.StructField]
+) -> DataFrame:
+    """Run ``fit`` once per series on its ordered rows, which the calendar limits.
+
+    One shuffle by series serves the differences and the fit. No matrix is shuffled,
+    and a series of fewer rows than dimensions forms none.
+    """
+    schema = T.StructType([df.schema[c] for c in series] + fields)
+    arrow = plain_arrow_schema(schema)
+    rows = df.where(F.col(vector).isNotNull()).select(*dict.fromkeys([*series, *order]), F.col(vector).cast(VECTOR).alias(VALUES))
+    spread = consecutive_differences(spread_work(rows, series), order, series, VALUES, DIFFERENCES, bounded=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, factors = _factors_of(batches, series)
+        row = values + list(fit(factors).values())
+        yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, arrow)], schema=arrow)
+
+    return spread.select(*series, VALUES, DIFFERENCES).groupBy(*series).applyInArrow(run, schema)
+
+
 def fit_pca(moment_rows: DataFrame, keep: float | int | None = None, series: list[str] = ("series",)) -> DataFrame:
     """Principal components per series, the full spectrum and the reduced basis from one fit.
 
     ``series.., n, mean, variances, ratios, n_retained, components``; the first
-    two arrays have d entries, ``components`` has ``n_retained`` rows.
+    two arrays have d entries. Nothing is retained beyond the rank of the series, so a
+    series without variance (one row, or equal rows) has ratios 0 and retains nothing.
+    ``components`` has ``n_retained`` rows, or if ``keep`` is a count, that many (d at
+    most), zeros after the retained ones.
     """
 
-    def fit(n, mean, c, d):
-        variances, axes = eigen_descending(c)
-        kept = retained_count(variances, keep, n)
+    def fit(own: Factors) -> dict:
+        variances = own.spectrum
+        kept = retained_count(variances, keep, own.n)
         total = variances.sum()
+        rows = kept if keep is None or isinstance(keep, float) else min(int(keep), len(variances))
+        components = np.zeros((rows, len(variances)))
+        components[:kept] = fix_signs(own.axes[:kept])
         return {
-            "n": n,
-            "mean": mean.tolist(),
+            "n": own.n,
+            "mean": own.mean.tolist(),
             "variances": variances.tolist(),
             "ratios": (variances / total if total > 0 else variances).tolist(),
             "n_retained": kept,
-            "components": fix_signs(axes[:kept]).tolist(),
+            "components": components.tolist(),
         }
 
     fields = [
@@ -75,6 +130,33 @@ def fit_pca(moment_rows: DataFrame, keep: float | int | None = None, series: lis
     return _per_series(moment_rows, list(series), fit, fields)
 
 
+def _slow_fit(n_components: int, keep: float | int | None, cutoff: float, cutoff_mode: str) -> tuple[Fit, list[T.StructField]]:
+    def fit(own: Factors) -> dict:
+        deltas, weights, whitening = own.slow_directions(keep, cutoff, cutoff_mode)
+        found = min(n_components, len(deltas))
+        filled = np.zeros((n_components, len(own.mean)))
+        filled[:found] = weights[:found]
+        return {
+            "n": own.n,
+            "mean": own.mean.tolist(),
+            "deltas": np.r_[deltas[:found], np.zeros(n_components - found)].tolist(),
+            "components": filled.tolist(),
+            "n_nontrivial": len(deltas),
+            "whitening": whitening.tolist(),
+            "variances": own.spectrum.tolist(),
+        }
+
+    return fit, [
+        T.StructField("n", T.LongType()),
+        T.StructField("mean", VECTOR),
+        T.StructField("deltas", VECTOR),
+        T.StructField("components", MATRIX),
+        T.StructField("n_nontrivial", T.IntegerType()),
+        T.StructField("whitening", MATRIX),
+        T.StructField("variances", VECTOR),
+    ]
+
+
 def fit_sfa(
     moment_rows: DataFrame,
     n_components: int,
@@ -92,32 +174,25 @@ def fit_sfa(
 
     ``series.., n, mean, deltas, components, n_nontrivial, whitening, variances``.
     """
+    return _per_series(moment_rows, list(series), *_slow_fit(n_components, keep, cutoff, cutoff_mode))
 
-    def fit(n, mean, c, d):
-        deltas, weights, whitening, variances = slow_directions(c, d, n, keep, cutoff, cutoff_mode)
-        found = min(n_components, len(deltas))
-        filled = np.zeros((n_components, len(mean)))
-        filled[:found] = weights[:found]
-        return {
-            "n": n,
-            "mean": mean.tolist(),
-            "deltas": np.r_[deltas[:found], np.zeros(n_components - found)].tolist(),
-            "components": filled.tolist(),
-            "n_nontrivial": len(deltas),
-            "whitening": whitening.tolist(),
-            "variances": variances.tolist(),
-        }
 
-    fields = [
-        T.StructField("n", T.LongType()),
-        T.StructField("mean", VECTOR),
-        T.StructField("deltas", VECTOR),
-        T.StructField("components", MATRIX),
-        T.StructField("n_nontrivial", T.IntegerType()),
-        T.StructField("whitening", MATRIX),
-        T.StructField("variances", VECTOR),
-    ]
-    return _per_series(moment_rows, list(series), fit, fields)
+def fit_windowed_sfa(
+    df: DataFrame,
+    n_components: int,
+    keep: float | int | None = None,
+    cutoff: float = 1e-15,
+    cutoff_mode: str = "absolute",
+    order: list[str] = ("window_start",),
+    series: list[str] = ("series",),
+    vector: str = "embedding",
+) -> DataFrame:
+    """``fit_sfa`` straight from the ordered rows of windowed series.
+
+    Each series is one task's, so it must be bounded, as windows are by the calendar. A
+    series of n rows in d > n dimensions is fitted in the n directions it spans.
+    """
+    return _per_windowed_series(df, list(order), list(series), vector, *_slow_fit(n_components, keep, cutoff, cutoff_mode))
 
 
 def series_moments(

@@ -33,11 +33,11 @@ class Partial:
 
     ``start`` and ``size`` name the rows of the scatter matrix that are kept. A
     matrix takes as much room as its dimension in rows, so a partial of fewer
-    than ``BLOCK_ROWS`` rows stays rows wherever it is held or sent.
+    than ``limit`` rows stays rows wherever it is held or sent.
     """
 
-    def __init__(self, start: int = 0, size: int | None = None):
-        self.start, self.size = start, size
+    def __init__(self, start: int = 0, size: int | None = None, limit: int = BLOCK_ROWS):
+        self.start, self.size, self.limit = start, size, limit
         self.rows: list[np.ndarray] = []
         self.waiting = 0
         self.n, self.mean, self.scatter = 0, None, None
@@ -51,7 +51,7 @@ class Partial:
             raise ValueError(f"vectors of different length in one series: {self.width}, {x.shape[1]}")
         self.rows.append(x)
         self.waiting += len(x)
-        if self.waiting >= BLOCK_ROWS:
+        if self.waiting >= self.limit:
             self.fold()
 
     def fold(self) -> None:
@@ -78,6 +78,11 @@ class Partial:
         self.mean += shift * (n / total)
         self.n = total
 
+    def covariance(self) -> np.ndarray:
+        """Sample covariance; a single row has none."""
+        self.fold()
+        return self.scatter / (self.n - 1) if self.n > 1 else np.zeros_like(self.scatter)
+
     @property
     def width(self) -> int:
         return self.rows[0].shape[1] if self.rows else len(self.mean)
@@ -177,11 +182,8 @@ def _merge(batches: Iterator[pa.RecordBatch], key_count: int, schema: pa.Schema,
     if not final:
         yield _batch_of([(*head[:-1], at, n, mean, part) for at, n, mean, part in partial.blocks()], schema)
         return
-    partial.fold()
-    # sample covariance; a single row has none
-    n, scatter = partial.n, partial.scatter
-    covariance = scatter / (n - 1) if n > 1 else np.zeros_like(scatter)
-    yield _batch_of([(*head[:-1], head[-1] + i, n, partial.mean, row) for i, row in enumerate(covariance)], schema)
+    covariance = partial.covariance()
+    yield _batch_of([(*head[:-1], head[-1] + i, partial.n, partial.mean, row) for i, row in enumerate(covariance)], schema)
 
 
 def plain_arrow_schema(schema: T.StructType) -> pa.Schema:

@@ -105,14 +105,13 @@ def fill_scores(
     the set of its known labels, not once per label. The texts left to score
     are stored, so that a lost executor repeats their scoring only.
     """
-    distinct = distinct_texts(texts, text)
+    distinct = write_once(distinct_texts(texts, text), "texts")
     names = list(dict.fromkeys(labels))
     # only the labels of the texts at hand
-    stored = table.entries(model, names).join(distinct.select("text_key"), "text_key", "left_semi")
+    stored = table.entries(model, names, distinct)
     known = stored.groupBy("text_key").agg(F.collect_set("label").alias("known"))
     incomplete = F.col("known").isNull() | (F.size("known") < len(names))
-    # balanced and stored before the model sees it
-    todo = write_once(distinct.join(known, "text_key", "left").where(incomplete).hint("rebalance"), "todo")
+    todo = to_score(distinct.join(known, "text_key", "left").where(incomplete))
     if todo.isEmpty():
         return 0
     # new texts take all labels at once; texts with some labels stored, the others one by one
@@ -129,13 +128,22 @@ def fill_scores(
     return table.append(fresh, model, run_id)
 
 
-def label_vectors(table: ScoreTable, model: str, labels: list[str]) -> DataFrame:
-    """Stored scores as one vector per text: ``text_key, embedding``, ordered by label position.
+def to_score(texts: DataFrame) -> DataFrame:
+    """Texts stored before the model sees them, balanced over tasks by ranges of their digests.
+
+    Digests are uniform, and so are the ranges; each task then stores results of a narrow one.
+    """
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return write_once(texts.repartitionByRange(parts, "text_key").sortWithinPartitions("text_key"), "todo")
+
+
+def label_vectors(table: ScoreTable, model: str, labels: list[str], texts: DataFrame | None = None) -> DataFrame:
+    """Stored scores as one vector per text (all, or the given ones): ``text_key, embedding``, ordered by label position.
 
     A label listed twice takes its score in both places.
     """
     by_label = (
-        table.latest(model, list(dict.fromkeys(labels)))
+        table.latest(model, list(dict.fromkeys(labels)), texts)
         .groupBy("text_key")
         .agg(F.map_from_entries(F.collect_list(F.struct("label", "score"))).alias("scores"))
     )
@@ -173,9 +181,8 @@ def memoised_embeddings(
     text: str = "msg",
 ) -> DataFrame:
     """Add embeddings through the vector table: each text is encoded once, ever."""
-    new = distinct_texts(df, text).join(table.entries(model).select("text_key"), "text_key", "left_anti")
-    # balanced and stored before the model sees it
-    todo = write_once(new.hint("rebalance"), "todo")
+    distinct = write_once(distinct_texts(df, text), "texts")
+    todo = to_score(distinct.join(table.entries(model, distinct).select("text_key"), "text_key", "left_anti"))
     if not todo.isEmpty():
         table.append(todo.select("text_key", encoder.encode(F.col("text")).alias("embedding")), model, run_id)
     keyed = df.withColumn("text_key", text_key(F.col(text)))

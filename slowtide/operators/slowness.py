@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from slowtide.functions.spectra import slowest
-from slowtide.operators.models import fit_sfa, series_moments
+from slowtide.operators.models import fit_sfa, fit_windowed_sfa, series_moments
 from slowtide.operators.moments import DIFFERENCES, VALUES
 from slowtide.operators.skew import spread_work
 from slowtide.operators.windows import time_scale_means
@@ -30,7 +30,10 @@ def slowness(
 
     A series with too few rows, or that never changes, has none: null.
     """
-    models = fit_sfa(series_moments(df, order, series, vector, bounded), dims, keep, series=series)
+    if bounded:
+        models = fit_windowed_sfa(df, dims, keep, order=order, series=series, vector=vector)
+    else:
+        models = fit_sfa(series_moments(df, order, series, vector), dims, keep, series=series)
     total = F.aggregate(F.slice("deltas", 1, dims), F.lit(0.0), lambda acc, x: acc + x)
     defined = (F.col("n_nontrivial") > 0) & (F.col("n") > 2)
     return models.select(*series, "n", F.when(defined, total).alias("delta"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from slowtide.functions.scorers import Encoder, PairScorer
 from slowtide.operators import labels as L
 from slowtide.operators.extremes import extreme_rows
-from slowtide.operators.models import apply_model, fit_pca, fit_sfa, series_moments
+from slowtide.operators.models import apply_model, fit_pca, fit_windowed_sfa
 from slowtide.operators.moments import moments
 from slowtide.operators.ordered import dimension_variance, first_rows
 from slowtide.operators.scoring import Memo, label_vectors_of, vectors_of
@@ -72,7 +72,7 @@ def slow_features(
     """Windowed logs with the slowest features ``SFA_0 ..`` of each author."""
     windows = write_once(time_aggregated_logs(messages, encoder, every, period, memo=memo), "windows")
     share = keep if keep is not None and 0 < keep < 1 else None
-    models = write_once(fit_sfa(series_moments(windows, series=AUTHOR, bounded=True), n_components, share, series=AUTHOR), "sfa")
+    models = write_once(fit_windowed_sfa(windows, n_components, share, series=AUTHOR), "sfa")
     return apply_model(windows, models, ["window_start"], AUTHOR, target="SFA", split=n_components)
 
 
@@ -168,8 +168,8 @@ class SlownessAnalysis:
 
     @cached_property
     def sfa(self) -> DataFrame:
-        rows = series_moments(self.train, series=AUTHOR, bounded=True)
-        return write_once(fit_sfa(rows, self.n_sfa, cutoff=self.cutoff, cutoff_mode=self.cutoff_mode, series=AUTHOR), "sfa")
+        found = fit_windowed_sfa(self.train, self.n_sfa, cutoff=self.cutoff, cutoff_mode=self.cutoff_mode, series=AUTHOR)
+        return write_once(found, "sfa")
 
     def with_slow_features(self, df: DataFrame, spread_by: list[str], split: bool = True) -> DataFrame:
         """``SFA_0 ..`` columns (or one array) from the trained model on any table of projected vectors."""

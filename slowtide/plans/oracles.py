@@ -510,14 +510,17 @@ TWO_LABELS = [MESSAGES, OWNERS, LOGS, LOG_SENTENCES, _scored("sentences", "msg_i
     """pairs as (select author, msg_id, sentence_idx, any_value(date) as date, max(cast(score as double)) filter (where label_idx = 0) as x,
   max(cast(score as double)) filter (where label_idx = 1) as y from scored group by author, msg_id, sentence_idx)""",
     MOMENTS_2D.replace("series", "author"), SPECTRUM_2D.replace("series", "author")]
-_LABELLED = """labelled as (select author, component, variance / (a + c) as ratio, 0 as label_idx, ux as weight from axes
-    union all select author, component, variance / (a + c), 1, uy from axes)"""
-_oracle("two_label_explained_variance", TWO_LABELS,
-        f"select author, cast(component as bigint) as component, {_r('variance / (a + c)')} as ratio, true as retained from axes")
-_oracle("two_label_weights_of_pca", [*TWO_LABELS, _LABELLED], f"""select author, cast(component as bigint) as component,
+# a series without variance has shares 0 and nothing retained, and so no weights; beyond the rank likewise
+_SHARES = """shares as (select *, case when a + c > 0 then variance / (a + c) else 0 end as ratio,
+    a + c > 0 and variance > 1e-12 * max(variance) over (partition by author) as retained from axes)"""
+_LABELLED = """labelled as (select author, component, ratio, 0 as label_idx, ux as weight from shares where retained
+    union all select author, component, ratio, 1, uy from shares where retained)"""
+_oracle("two_label_explained_variance", [*TWO_LABELS, _SHARES],
+        f"select author, cast(component as bigint) as component, {_r('ratio')} as ratio, retained from shares")
+_oracle("two_label_weights_of_pca", [*TWO_LABELS, _SHARES, _LABELLED], f"""select author, cast(component as bigint) as component,
   row_number() over (partition by author, component order by weight, label_idx) as position, cast(label_idx as bigint) as label_idx,
   label, {_r('weight')} as weight from labelled join label_names using (label_idx)""")
-_oracle("two_label_importance", [*TWO_LABELS, _LABELLED], f"""select author, cast(label_idx as bigint) as label_idx,
+_oracle("two_label_importance", [*TWO_LABELS, _SHARES, _LABELLED], f"""select author, cast(label_idx as bigint) as label_idx,
   {_r('max(abs(sqrt(ratio) * weight))')} as importance, label from labelled join label_names using (label_idx) group by author, label_idx, label""")
 _oracle("two_label_deltas", [*[c.replace("pairs as (", "sentence_pairs as (").replace("from pairs", "from sentence_pairs") for c in TWO_LABELS[:-2]],
         *[c.replace("mom as (", "sentence_mom as (").replace("from mom", "from sentence_mom").replace("from pairs", "from sentence_pairs")

@@ -897,10 +897,17 @@ def smoothed_events(spark, sf_dir):
     return smooth(pooled.withColumn("value", F.get("embedding", F.lit(0)) / 100), "value")
 
 
+@query
+def smoothed_hours(spark, sf_dir):
+    """Hourly mean event values, smoothed: more rows than waves."""
+    pooled = windows.pool_windows(vector_events(spark, sf_dir), "1h")
+    return smooth(pooled.withColumn("value", F.get("embedding", F.lit(0)) / 100), "value")
+
+
 @query
 def smoothed_pairs(spark, sf_dir):
     """Daily mean event values, each two days a series of their own, smoothed at a fixed length scale."""
     pooled = windows.pool_windows(vector_events(spark, sf_dir), "1d")
     block = F.expr("datediff(cast(window_start as date), date '1970-01-01') div 2")
     rows = pooled.withColumns({"value": F.get("embedding", F.lit(0)) / 100, "block": block.cast("long")})
-    return smooth(rows, "value", series=["series", "block"], length_scales=(10.0,))
+    return smooth(rows, "value", series=["series", "block"], bounds=(10.0, 10.0))

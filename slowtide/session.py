@@ -2,6 +2,7 @@
 
 import os
 import uuid
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,11 +34,22 @@ def build_session(app: str = "slowtide", master: str | None = None, **overrides)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as the session names it.
 
-    ``spark.checkpoint.dir``, or else the session's warehouse, which is storage that
-    all of them read and write too.
+    ``spark.checkpoint.dir``, or else the session's warehouse if all of them can read and
+    write it: one in a store, or any if the executors are this machine's own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return named or spark.conf.get("spark.sql.warehouse.dir")
+    if named:
+        return named
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    return checked_shared(warehouse, spark.sparkContext.master)
+
+
+def checked_shared(folder: str, master: str) -> str:
+    """The folder; an error if it lies on one machine's disk and executors run on others."""
+    local = urlsplit(folder).scheme in ("", "file")
+    if local and not (master == "local" or master.startswith("local[")):
+        raise ValueError(f"{folder} is a folder of the driver's machine: set spark.checkpoint.dir to one that all executors share")
+    return folder
 
 
 def _own_folder(spark: SparkSession) -> str:

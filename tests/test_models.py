@@ -8,10 +8,11 @@ from slowtide.functions.spectra import retained_count, slow_directions, slowest
 from slowtide.functions.vectors import vector_mean
 from slowtide.operators import labels as L
 from slowtide.operators.extremes import extreme_rows
-from slowtide.operators.models import apply_model, fit_pca, fit_sfa, series_moments
+from slowtide.operators.models import apply_model, fit_pca, fit_sfa, fit_windowed_sfa, series_moments
 from slowtide.operators.moments import Partial, _moment_schema, _partial_moments, covariance_entries, moments, plain_arrow_schema
 from slowtide.operators.slowness import label_gains, label_orders, mean_label_gains, prefix_gains, slowness, slowness_by_time_scale
-from slowtide.operators.smoothing import AMPLITUDES, likelihoods, posterior_at, smooth
+from slowtide.operators import smoothing
+from slowtide.operators.smoothing import AMPLITUDES, Sums, Waves, best_fit, likelihoods, posterior_at, smooth
 from slowtide.operators.spectrum import amplitude_spectrum
 from slowtide.session import write_once
 
@@ -183,6 +184,54 @@ def test_constant_series(spark):
     assert slowness(rows).first()["delta"] is None
 
 
+def test_series_without_variance_retain_nothing(spark):
+    rng = np.random.default_rng(4)
+    line = rng.normal(size=(30, 1)) @ np.ones((1, 3))
+    rows = series_frame(spark, one=np.ones((1, 3)), flat=np.full((5, 3), 0.3), line=line, two=rng.normal(size=(2, 3)))
+    for keep in (2, 0.99, None):
+        models = write_once(fit_pca(moments(rows), keep), "pca")
+        found = {r["series"]: r for r in models.collect()}
+        assert {s: r["n_retained"] for s, r in found.items()} == {"one": 0, "flat": 0, "line": 1, "two": 1}
+        assert found["one"]["ratios"] == found["flat"]["ratios"] == [0.0, 0.0, 0.0]
+        assert {len(r["components"]) for r in found.values()} == ({2} if keep == 2 else {0, 1})
+        shares = L.explained_variance(models).collect()
+        assert len(shares) == 12 and all(r["ratio"] == 0 and not r["retained"] for r in shares if r["series"] in ("one", "flat"))
+        kept = {(r["series"], r["component"]) for r in L.weights(models).collect()}
+        assert kept == {("line", 0), ("two", 0)}
+        ratios = L.component_values(models, "ratios", "ratio")
+        assert {r["series"] for r in L.importance(L.weights(models), ratios).collect()} == {"line", "two"}
+    applied = apply_model(rows, write_once(fit_pca(moments(rows), 2), "pca"), ["window_start"], target="P").collect()
+    assert all(len(r["P"]) == 2 and (r["series"] in ("line", "two") or not any(r["P"])) for r in applied)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 30, 63, 64, 65, 99, 100, 101, 150])
+def test_fits_from_rows_equal_fits_from_matrices(spark, n):
+    """Windowed series with fewer rows than dimensions, as many, and more."""
+    rng = np.random.default_rng(n)
+    x = np.cumsum(rng.normal(size=(n, 100)), axis=0) @ rng.normal(size=(100, 100))
+    rows = series_frame(spark, s=x, flat=np.ones((n, 100)), empty=np.zeros((0, 100)))
+    for keep in (0.9, None):
+        whole = {r["series"]: r for r in fit_sfa(series_moments(rows), 3, keep, 1e-9, "ratio").collect()}
+        found = {r["series"]: r for r in fit_windowed_sfa(rows.repartition(3), 3, keep, 1e-9, "ratio").collect()}
+        assert found.keys() == whole.keys() == {"s", "flat"}
+        for s, own in found.items():
+            want = whole[s]
+            assert (own["n"], own["n_nontrivial"]) == (want["n"], want["n_nontrivial"])
+            assert np.allclose(own["deltas"], want["deltas"], atol=1e-6)
+            assert np.allclose(own["variances"], want["variances"], rtol=1e-8, atol=1e-8 * max(want["variances"][0], 1e-30))
+            assert np.allclose(own["mean"], want["mean"])
+            if keep:
+                y = (x - x.mean(0)) @ np.array(own["components"]).T if s == "s" else x[:, :3] * 0
+                z = (x - x.mean(0)) @ np.array(want["components"]).T if s == "s" else y
+                assert np.allclose(y, z, atol=1e-4)
+
+
+def test_windowed_fits_reject_uneven_vectors(spark):
+    rows = spark.createDataFrame([("s", 1, [1.0]), ("s", 2, [1.0, 2.0])], "series string, window_start int, embedding array<double>")
+    with pytest.raises(Exception, match="different length|null entry"):
+        fit_windowed_sfa(rows, 1).collect()
+
+
 def test_cutoff_modes():
     c, d = np.diag([100.0, 1.0, 0.01]), np.diag([100.0, 1.0, 0.01])
     assert len(slow_directions(c, d, 99, cutoff=0.02)[0]) == 2
@@ -317,20 +366,53 @@ def test_smoothing(spark):
     assert {r["mean"] for r in found.where("series = 'zero'").collect()} == {0.0}
 
 
-def test_smoothing_in_blocks(spark):
-    """Long series in blocks: near the exact curve, one row per window, null series kept."""
+def test_sums_equal_the_kernel_of_the_rows():
+    rng = np.random.default_rng(1)
+    for n, days in ((1, 1), (7, 30), (900, 60), (500, 700)):
+        t = np.sort(rng.uniform(0, days, n)) + 19_000
+        y = 3 * np.sin(t / 15) + rng.normal(size=n)
+        waves = Waves(t[0], t[-1], (10.0, 100.0))
+        sums = Sums.of_rows(waves, t[: n // 2], y[: n // 2]) + Sums.of_rows(waves, t[n // 2 :], y[n // 2 :])
+        for scale in (10.0, 31.4, 100.0):
+            exact = likelihoods(t, y, scale, 1.0)
+            assert np.allclose(sums.likelihoods(waves, scale, 1.0), exact, rtol=1e-8, atol=1e-7)
+            for amplitude in (AMPLITUDES[0], 1.0, AMPLITUDES[-1]):
+                mean, root = sums.curve(waves, scale, amplitude, 1.0)
+                values = waves.at(t, len(mean))
+                want, deviation = posterior_at(t, y, scale, amplitude, 1.0)
+                assert np.allclose(values @ mean, want, atol=1e-8)
+                assert np.allclose(np.sqrt(((values @ root) ** 2).sum(1)), deviation, atol=1e-7)
+
+
+def test_length_scale_is_continuous():
+    peak = lambda s: -((np.log(s / 37.3)) ** 2) - np.abs(np.log10(AMPLITUDES))
+    scale, amplitude = best_fit(peak, (10.0, 100.0))
+    assert scale == pytest.approx(37.3, rel=1e-3) and amplitude == pytest.approx(1)
+    assert best_fit(lambda s: peak(s / 100), (10.0, 100.0))[0] == 100.0
+    assert best_fit(peak, (10.0, 10.0))[0] == 10.0
+
+
+def test_long_series_equal_the_dense_fit(spark, monkeypatch):
+    """Hourly rows on both sides of the number of waves, in one part and in several; null series kept."""
     start, rng = dt.datetime(2024, 1, 1), np.random.default_rng(1)
-    data = []
-    for name, n in (("long", 300), (None, 150), ("short", 40)):
-        y = 3 * np.sin(np.arange(n) / 9) + rng.normal(size=n) / 2
-        data += [(name, start + dt.timedelta(days=i), float(v)) for i, v in enumerate(y)]
-    rows = spark.createDataFrame(data, "series string, window_start timestamp_ntz, v double")
-    scales = (10.0, 15.0)
-    whole = {(r["series"], r["day"]): r["mean"] for r in smooth(rows, "v", length_scales=scales).collect()}
-    parts = {(r["series"], r["day"]): r["mean"] for r in smooth(rows, "v", length_scales=scales, block_rows=60, margin_rows=50).collect()}
-    assert whole.keys() == parts.keys() and len(whole) == 490
-    assert max(abs(whole[k] - parts[k]) for k in whole if k[0] == "short") < 1e-9
-    assert max(abs(whole[k] - parts[k]) for k in whole) < 0.2
+    data, count = [], Waves(0.0, 899 / 24, (10.0, 100.0)).count
+    for name, n in (("long", 900), (None, 700), ("short", 40), ("border", count), ("over", count + 40)):
+        y = 3 * np.sin(np.arange(n) / 150) + rng.normal(size=n)
+        data += [(name, start + dt.timedelta(hours=i), float(v)) for i, v in enumerate(y)]
+    rows = spark.createDataFrame(data, "series string, window_start timestamp_ntz, v double").repartition(5)
+    for limit in (100_000, 200):
+        monkeypatch.setattr(smoothing, "PART_ROWS", limit)
+        found = {}
+        for r in smooth(rows, "v").collect():
+            found.setdefault(r["series"], []).append((r["day"], r["length_scale"], r["mean"], r["upper"]))
+        assert {k: len(v) for k, v in found.items()} == {"long": 900, None: 700, "short": 40, "border": count, "over": count + 40}
+        for name, own in found.items():
+            own = np.array(sorted(own))
+            y = np.array([v for s, _, v in data if s == name])
+            scale, amplitude = best_fit(lambda s: likelihoods(own[:, 0], y, s, 1.0), (10.0, 100.0))
+            assert np.allclose(own[:, 1], scale, rtol=1e-3)
+            mean, deviation = posterior_at(own[:, 0], y, own[0, 1], amplitude, 1.0)
+            assert np.allclose(own[:, 2], mean, atol=1e-6) and np.allclose(own[:, 3], mean + 1.96 * deviation, atol=1e-6)
 
 
 def test_posterior_equals_textbook():

@@ -1,14 +1,15 @@
 import datetime as dt
 import json
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from slowtide.functions.text import parse_timestamp
-from slowtide.session import fresh_path, shared_dir, write_once
+from slowtide.session import checked_shared, fresh_path, shared_dir, write_once
 from slowtide.sources import messages as S
-from slowtide.sources import testbed
-from slowtide.sources.score_table import ScoreTable, VectorTable
+from slowtide.sources import score_table, testbed
+from slowtide.sources.score_table import CommitLog, ScoreTable, VectorTable
 
 ROW = {
     "msg_id": 1, "thread_id": 7, "date": "2024-02-03T04:05:06.789", "is_first_in_thread": True,
@@ -104,12 +105,116 @@ def test_score_table(spark):
     assert table.latest("m", ["a"]).count() == 1
 
 
-def test_score_table_reads_only_needed_partitions(spark):
+def scanned(df) -> int:
+    """Rows that the scans of an executed query passed on, after pages were skipped."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.executeCollect()
+    leaves = (plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan).collectLeaves()
+    return sum(leaves.apply(i).metrics().get("numOutputRows").get().value() for i in range(leaves.size()))
+
+
+def test_score_table_opens_one_models_files(spark):
     table = ScoreTable(spark, fresh_path(spark, "scores"))
     rows = spark.createDataFrame([(b"k1", "a", 0.25), (b"k2", "b", 0.5)], "text_key binary, label string, score float")
     table.append(rows, "m", "1")
-    plan = table.latest("m", ["a"])._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(model" in plan and "label" in plan.split("PartitionFilters")[1].split("]")[0]
+    table.append(rows, "other", "1")
+    assert len(table.read().inputFiles()) == len(table.read("m").inputFiles()) + len(table.read("other").inputFiles())
+    assert table.read("none").count() == 0 and table.latest("m", ["a"]).count() == 1
+
+
+def test_few_texts_are_probed_in_few_pages(spark, monkeypatch):
+    """A probe of a large table passes on some pages; of many texts it becomes a join with the same rows."""
+    table = ScoreTable(spark, fresh_path(spark, "scores"))
+    texts = spark.range(60_000).select(F.unhex(F.sha2(F.col("id").cast("string"), 256)).alias("text_key"), "id")
+    stored = texts.repartitionByRange(16, "text_key").select(
+        "text_key", F.explode(F.array(F.lit("a"), F.lit("b"))).alias("label"), F.lit(0.5).cast("float").alias("score")
+    )
+    assert table.append(stored, "m", "1") == 120_000
+    few = texts.where("id in (5, 77, 41234)").select("text_key").unionByName(spark.createDataFrame([(b"unknown",)], "text_key binary"))
+    found = table.entries("m", ["a"], few)
+    assert found.count() == 3 and scanned(found) < 120_000 / 5
+    monkeypatch.setattr(score_table, "PROBE_TEXTS", 2)
+    joined = table.entries("m", ["a"], few)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, found.collect()))
+    assert table.entries("m", ["a"], few.limit(0)).count() == 0
+
+
+def one_score(spark, key, score):
+    return spark.createDataFrame([(key, "a", float(score))], "text_key binary, label string, score float")
+
+
+def test_an_append_reads_no_stored_rows(spark):
+    table = ScoreTable(spark, fresh_path(spark, "scores"))
+    table.append(one_score(spark, b"k", 1), "m", "1")
+    table.log.drop("../data")
+    assert table.append(one_score(spark, b"k2", 2), "m", "2") == 1
+
+
+def test_writers_at_the_same_time_lose_nothing(spark):
+    path = fresh_path(spark, "scores")
+
+    def write(writer: int) -> None:
+        table = ScoreTable(spark, path)
+        for i in range(6):
+            table.append(one_score(spark, f"{writer}-{i}".encode(), writer).unionByName(one_score(spark, b"shared", writer)), f"m{writer % 2}", "r")
+
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(write, range(4)))
+    table = ScoreTable(spark, path)
+    numbers = [r["seq"] for r in table.read().select("seq").distinct().collect()]
+    for parity in (0, 1):
+        found = {bytes(r["text_key"]).decode(): r["score"] for r in table.latest(f"m{parity}", ["a"]).collect()}
+        assert found.keys() == {f"{w}-{i}" for w in (parity, parity + 2) for i in range(6)} | {"shared"}
+        assert all(found[k] == float(k.split("-")[0]) for k in found if k != "shared") and found["shared"] in (parity, parity + 2)
+    assert len(numbers) <= 24 and len(set(numbers)) == len(numbers)
+
+
+def test_numbers_are_claimed_once(spark):
+    logs = [CommitLog(spark, fresh_path(spark, "log"))] * 2
+    with ThreadPoolExecutor(8) as pool:
+        numbers = list(pool.map(lambda i: logs[i % 2].claim(), range(40)))
+    assert sorted(numbers) == list(range(1, 41))
+    assert logs[0].live() == {} and logs[0].lease(3) and not logs[1].lease(3)
+    logs[0].commit(2, {"folder": "x"})
+    with pytest.raises(FileExistsError):
+        logs[1].commit(2, {"folder": "y"})
+    assert CommitLog(spark, logs[0].path).live() == {2: {"folder": "x"}}
+
+
+def test_half_written_appends_are_not_seen(spark, monkeypatch):
+    table = ScoreTable(spark, fresh_path(spark, "scores"))
+    table.append(one_score(spark, b"k", 1), "m", "1")
+    monkeypatch.setattr(table.log, "commit", lambda *a: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        table.append(one_score(spark, b"k", 2), "m", "2")
+    other = ScoreTable(spark, table.path)
+    assert [r["score"] for r in other.latest("m", ["a"]).collect()] == [1.0]
+    other.append(one_score(spark, b"k", 3), "m", "3")
+    assert [r["score"] for r in other.latest("m", ["a"]).collect()] == [3.0]
+
+
+def test_appends_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(score_table, "MAX_APPENDS", 3)
+    table = ScoreTable(spark, fresh_path(spark, "scores"))
+    table.append(one_score(spark, b"x", 9), "other", "1")
+    for i in range(14):
+        table.append(one_score(spark, b"k", i).unionByName(one_score(spark, f"k{i}".encode(), i)), "m", str(i))
+        assert sum(e["model"] == "m" for e in table.log.live().values()) <= 3
+        found = {bytes(r["text_key"]): r["score"] for r in table.latest("m", ["a"]).collect()}
+        assert found == {b"k": i} | {f"k{j}".encode(): j for j in range(i + 1)}
+    files = len(table.read("m").inputFiles())
+    assert files <= 3 * 4
+    assert table.vacuum() > 0 and len(table.read("m").inputFiles()) == files
+    assert {bytes(r["text_key"]): r["score"] for r in table.latest("m", ["a"]).collect()} == found
+    assert table.latest("other", ["a"]).count() == 1
+
+
+def test_only_shared_folders_are_used():
+    for folder, master in (("s3a://x/w", "spark://m:7077"), ("file:/x", "local[4]"), ("/x", "local")):
+        assert checked_shared(folder, master) == folder
+    for folder, master in (("file:/x", "spark://m:7077"), ("/x", "local-cluster[2,1,1024]")):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            checked_shared(folder, master)
 
 
 def test_vector_table(spark):
