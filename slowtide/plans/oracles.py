@@ -511,12 +511,12 @@ TWO_LABELS = [MESSAGES, OWNERS, LOGS, LOG_SENTENCES, _scored("sentences", "msg_i
   max(cast(score as double)) filter (where label_idx = 1) as y from scored group by author, msg_id, sentence_idx)""",
     MOMENTS_2D.replace("series", "author"), SPECTRUM_2D.replace("series", "author")]
 # a series without variance has shares 0 and nothing retained, and so no weights; beyond the rank likewise
-_SHARES = """shares as (select *, case when a + c > 0 then variance / (a + c) else 0 end as ratio,
-    a + c > 0 and variance > 1e-12 * max(variance) over (partition by author) as retained from axes)"""
-_LABELLED = """labelled as (select author, component, ratio, 0 as label_idx, ux as weight from shares where retained
-    union all select author, component, ratio, 1, uy from shares where retained)"""
+_SHARES = """retention as (select *, case when a + c > 0 then variance / (a + c) else 0 end as ratio,
+    coalesce(a + c > 0 and variance > 1e-12 * max(variance) over (partition by author), false) as retained from axes)"""
+_LABELLED = """labelled as (select author, component, ratio, 0 as label_idx, ux as weight from retention where retained
+    union all select author, component, ratio, 1, uy from retention where retained)"""
 _oracle("two_label_explained_variance", [*TWO_LABELS, _SHARES],
-        f"select author, cast(component as bigint) as component, {_r('ratio')} as ratio, retained from shares")
+        f"select author, cast(component as bigint) as component, {_r('ratio')} as ratio, retained from retention")
 _oracle("two_label_weights_of_pca", [*TWO_LABELS, _SHARES, _LABELLED], f"""select author, cast(component as bigint) as component,
   row_number() over (partition by author, component order by weight, label_idx) as position, cast(label_idx as bigint) as label_idx,
   label, {_r('weight')} as weight from labelled join label_names using (label_idx)""")
