@@ -130,10 +130,15 @@ def slowest(c: np.ndarray, d: np.ndarray, n: int, keep: float, cutoff: float = 1
     shares = np.cumsum(variances / np.where(total > 0, total, 1.0), axis=1)
     retained = np.minimum((shares <= keep).sum(axis=1) + 1, min(size, n))
     floor = np.maximum(cutoff, variances[:, :1] * RANK)
+    # only the directions that some pair retains go on
     kept = (np.arange(size) < retained[:, None]) & (variances > floor)
-    whitening = axes * np.where(kept, 1 / np.sqrt(np.where(kept, variances, 1.0)), 0.0)[:, :, None]
+    most = int(kept.sum(axis=1).max(initial=0))
+    kept, axes = kept[:, :most], axes[:, :most]
+    whitening = axes * np.where(kept, 1 / np.sqrt(np.where(kept, variances[:, :most], 1.0)), 0.0)[:, :, None]
     spread = whitening @ d @ np.swapaxes(whitening, 1, 2)
     # dropped directions stand apart from the kept ones; move them behind all others
-    spread[:, np.arange(size), np.arange(size)] += np.where(kept, 0.0, 1e9)
+    spread[:, np.arange(most), np.arange(most)] += np.where(kept, 0.0, 1e9)
+    if not most:
+        return np.full(len(c), np.nan)
     found = np.clip(np.linalg.eigvalsh(spread)[:, 0], 0.0, None)
     return np.where(kept.any(axis=1), found, np.nan)

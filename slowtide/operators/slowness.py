@@ -79,19 +79,26 @@ def prefix_gains(c: np.ndarray, d: np.ndarray, n: int, orders: np.ndarray, keep:
     """Drop in slowness as each label joins; one row per order of the labels.
 
     Label sets need only parts of the two covariance matrices, and all orders
-    of one task take their next label together. A set of labels that never
-    change has no slowness of its own and keeps the previous one, which is
-    white noise's at first.
+    of one task take their next label together; a set that several orders have reached is
+    solved once. A label that never changes adds nothing; a set of such labels has
+    no slowness of its own and keeps the previous one, which is white noise's at first.
     """
-    gains = np.empty(orders.shape)
+    gains = np.zeros(orders.shape)
+    moving = np.diag(c)[orders] > 0
+    own = orders[moving].reshape(len(orders), -1)
+    found = np.empty(own.shape)
     before = np.full(len(orders), WHITE_NOISE)
-    for size in range(1, orders.shape[1] + 1):
-        chosen = orders[:, :size]
+    for size in range(1, own.shape[1] + 1):
+        chosen, which = own[:, :size], np.arange(len(own))
+        if size == 1 or size > own.shape[1] - 3:
+            # nearly all labels, or one: few sets
+            chosen, which = np.unique(np.sort(chosen, axis=1), axis=0, return_inverse=True)
         rows, columns = chosen[:, :, None], chosen[:, None, :]
-        delta = slowest(c[rows, columns], d[rows, columns], n, keep)
+        delta = slowest(c[rows, columns], d[rows, columns], n, keep)[which.reshape(-1)]
         delta = np.where(np.isnan(delta), before, delta)
-        gains[:, size - 1] = before - delta
+        found[:, size - 1] = before - delta
         before = delta
+    gains[moving] = found.ravel()
     return gains
 
 
@@ -103,7 +110,7 @@ def label_gains(
     order: list[str] = ("window_start",),
     series: list[str] = ("series",),
     vector: str = "embedding",
-    iterations_per_task: int = 50,
+    iterations_per_task: int = 125,
     bounded: bool = False,
 ) -> DataFrame:
     """Slowness gain of every label in every iteration.

@@ -147,6 +147,19 @@ _oracle("difference_covariance", [VECTORS, LONG_VECTORS, DIFFS], f"""select a.se
 
 _oracle("document_sentences", [], f"""select doc_id, cast(generate_subscripts(s, 1) - 1 as bigint) as sentence_idx, unnest(s) as text
   from (select doc_id, {_split('text')} as s from documents)""")
+_oracle("document_word_counts", [
+    r"""words as (select doc_id, generate_subscripts(w, 1) as place, unnest(w) as word
+  from (select doc_id, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') as w from documents))""",
+    r"""cores as (select *, regexp_replace(regexp_replace(word, '^["''(\[{]+', ''), '["'')\]},;:]+$', '') as core from words)""",
+    r"""marked as (select *, case when regexp_matches(core, '[!?]$|\.\.$') then '!' when core like '%.' then '.' else '' end as mark,
+  lower(regexp_replace(core, '[.!?]+$', '')) as bare, substr(core, 1, 1) as first from cores)""",
+    r"""placed as (select *, lag(mark) over (partition by doc_id order by place) as before from marked)""",
+    r"""typed as (select *, case when regexp_matches(bare, '^[-+]?[0-9][0-9.,]*$') then '##number##' else bare end as type from placed)"""],
+        r"""select type, cast(count(*) filter (where mark = '.') as bigint) as dotted, cast(count(*) filter (where mark <> '.') as bigint) as plain,
+  cast(count(*) filter (where first <> lower(first)) as bigint) as uppers,
+  cast(count(*) filter (where first = lower(first) and (first <> upper(first) or first = 'ß')) as bigint) as lowers,
+  cast(count(*) filter (where before = '.') as bigint) as after_period
+  from typed where regexp_matches(type, '[\p{L}\p{N}]') group by type""")
 _HOLD = r"'(^|[^\p{L}\p{N}])(la|de)\.(\s)', '\1\2' || chr(2) || '\3', 'g'"
 _oracle("message_sentences", [MESSAGES], f"""select msg_id, author, cast(generate_subscripts(s, 1) - 1 as bigint) as sentence_idx,
   replace(unnest(s), chr(2), '.') as msg

@@ -15,7 +15,7 @@ from slowtide.functions import text as X
 from slowtide.functions.scorers import BatchClassifier, BatchEncoder, BatchPairScorer, LexicalEncoder, LexicalPairScorer, mock_vector
 from slowtide.functions.vectors import affine, map_vector
 from slowtide.operators import labels as L
-from slowtide.operators import ordered, scoring, threads, windows
+from slowtide.operators import ordered, scoring, splitter, threads, windows
 from slowtide.operators.extremes import extreme_rows
 from slowtide.operators.models import apply_model, fit_pca, fit_sfa, series_moments
 from slowtide.operators.moments import covariance_entries, moments
@@ -282,6 +282,22 @@ def document_sentences(spark, sf_dir):
     return explode_sentences(docs, "text")
 
 
+@query
+def document_word_counts(spark, sf_dir):
+    """What the learnt splitter counts: each word with and without a period, by case, and after periods."""
+    counts = splitter.count_words(testbed.documents(spark, sf_dir))
+    sums = {"dotted": F.col("end") == ".", "plain": F.col("end") != ".", "uppers": F.col("upper"), "lowers": F.col("lower"),
+            "after_period": F.col("before_end") == "."}
+    return counts.groupBy("type").agg(*[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(name) for name, c in sums.items()])
+
+
+@query
+def document_sentences_learnt(spark, sf_dir):
+    """T1 with abbreviations, starters and collocations learnt from all documents."""
+    docs = testbed.documents(spark, sf_dir).select("doc_id", "text")
+    return splitter.split_learnt(docs, splitter.learn_splitter(docs), ["doc_id"], "text")
+
+
 @query
 def message_sentences(spark, sf_dir):
     return explode_sentences(testbed.messages(spark, sf_dir).select("msg_id", "author", "msg"), abbreviations=("la.", "de."))
