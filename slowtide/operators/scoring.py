@@ -129,12 +129,9 @@ def fill_scores(
 
 
 def to_score(texts: DataFrame) -> DataFrame:
-    """Texts stored before the model sees them, balanced over tasks by ranges of their digests.
-
-    Digests are uniform, and so are the ranges; each task then stores results of a narrow one.
-    """
+    """Texts stored before the model sees them, balanced over tasks by their digests, which are uniform."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return write_once(texts.repartitionByRange(parts, "text_key").sortWithinPartitions("text_key"), "todo")
+    return write_once(texts.repartition(parts, "text_key"), "todo")
 
 
 def label_vectors(table: ScoreTable, model: str, labels: list[str], texts: DataFrame | None = None) -> DataFrame:

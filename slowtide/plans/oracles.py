@@ -382,6 +382,8 @@ _oracle("time_aggregated_logs", WEEKLY_LOGS, f"""select author, strftime(start,
 _oracle("time_aggregated_texts", [MESSAGES, OWNERS, LOGS], """select author,
   strftime(date_trunc('week', date), '%Y-%m-%d %H:%M:%S') as window_start, count(*) as n, cast(0 as bigint) as part,
   string_agg(msg, ' ' order by date, msg_id) as msg from logs where msg is not null group by author, date_trunc('week', date)""")
+_oracle("weekly_authors_sketched", [MESSAGES], """select category, strftime(date_trunc('week', date), '%Y-%m-%d') as week,
+  count(distinct author) as num_authors from messages group by all""")
 _oracle("collection_profile", [MESSAGES, OWNERS, LOGS], """select (select count(*) from messages) as num_rows,
   (select count(*) from messages where category = 'PracticeLogs') as num_category_rows,
   (select count(distinct author) from messages where category = 'PracticeLogs') as num_category_authors,

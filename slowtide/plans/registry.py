@@ -897,6 +897,15 @@ def category_top_authors(spark, sf_dir):
     return threads.top_authors(threads.category_author_counts(testbed.messages(spark, sf_dir)))
 
 
+@query
+def weekly_authors_sketched(spark, sf_dir):
+    """A3, approximate: distinct authors per week and category, merged from stored daily sketches."""
+    rows = testbed.messages(spark, sf_dir).withColumn("day", F.col("date").cast("date"))
+    daily = write_once(threads.author_sketches(rows, ["category", "day"]), "author-sketches")
+    weekly = threads.distinct_authors(daily.withColumn("week", F.date_trunc("week", "day")), ["category", "week"])
+    return weekly.select("category", F.date_format("week", "yyyy-MM-dd").alias("week"), "num_authors")
+
+
 @query
 def memoised_label_scores(spark, sf_dir):
     """Q11: label scores of all messages through the score table."""

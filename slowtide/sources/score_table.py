@@ -13,9 +13,8 @@ half-written append is never seen, writers never wait for each other, and neithe
 needs to look at stored rows. Small appends are merged now and then into one; the
 merged commit names those it replaces.
 
-Rows lie sorted by (label, text) within files that each cover a narrow range of digests,
-with statistics and Bloom filters of the digests, so that probing a large table for
-few texts reads few of its pages.
+Rows lie sorted by (label, text) within files, with statistics of every page and Bloom
+filters of the digests, so that probing a large table for few texts reads few of its pages.
 """
 
 from __future__ import annotations

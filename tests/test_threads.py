@@ -103,3 +103,18 @@ def test_hot_thread_with_salting(rows):
     pick = lambda rows: [(r["msg_id"], r["thread_author"]) for r in sorted(rows, key=key)]
     assert pick(plain) == pick(salted)
     assert sorted(r["msg_id"] for r in threads.by_thread_author(rows, rows_per_salt=1).collect()) == [1, 3, 5, 6, 7]
+
+
+def test_sketches_of_distinct_authors_merge(spark):
+    rows = spark.range(120_000).select(
+        F.concat(F.lit("author "), F.col("id") % 30_000).alias("author"), (F.col("id") % 7).alias("day"), F.lit("c").alias("category")
+    )
+    rows = rows.unionByName(spark.createDataFrame([(None, 0, "c"), ("x", 1, "few"), ("y", 2, "few"), ("x", 2, "few"), (None, 1, "none")], rows.schema))
+    found = [
+        {r["category"]: r["num_authors"] for r in threads.distinct_authors(threads.author_sketches(rows.repartition(n), ["category", "day"]), ["category"]).collect()}
+        for n in (2, 9)
+    ]
+    assert found[0] == found[1]
+    # five standard errors
+    assert abs(found[0]["c"] / 30_000 - 1) < 5 * 1.04 / 2 ** (threads.SKETCH_SIZE / 2)
+    assert found[0]["few"] == 2 and found[0]["none"] == 0
