@@ -185,15 +185,21 @@ def agreement(similarity: float) -> int:
     return max(1, math.floor(COORDINATES * similarity - spread))
 
 
-def split_by_sketch(found: DataFrame, sets: DataFrame, least_equal: int) -> DataFrame:
+def split_by_sketch(found: DataFrame, tight: DataFrame, sets: DataFrame, least_equal: int) -> DataFrame:
     """``(node, component)`` with components divided into sets whose sketches agree, whatever their size.
 
+    Only components that an edge of a large bucket holds (``tight``) can fall apart; the
+    edges of all others are pairs whose sketches agree.
+
     Large buckets make candidates of all their sets. Their sketches are compared here
     pair by pair, in the blocks of the exact check, so that it only gets texts that are
     linked by sketches.
     """
-    sizes = found.groupBy("component").agg((F.count(F.lit(1)) + 1).alias("n"))
+    held = found.join(tight.select(F.col("a").alias("node")).distinct(), "node").select("component").distinct()
+    sizes = found.join(held, "component", "left_semi").groupBy("component").agg((F.count(F.lit(1)) + 1).alias("n"))
     sizes = write_once(sizes.select("component", F.ceil(F.col("n") / BLOCK_SETS).cast("int").alias("parts")), "group-sizes")
+    if sizes.isEmpty():
+        return found
     nodes = found.unionByName(sizes.select(F.col("component").alias("node"), "component")).join(sizes, "component")
     part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
     rows = nodes.select("component", F.col("node").alias("set_id"), "parts", part.alias("part")).join(sets, "set_id")
@@ -214,27 +220,31 @@ def split_by_sketch(found: DataFrame, sets: DataFrame, least_equal: int) -> Data
                 yield pa.RecordBatch.from_arrays([pa.array(ids[first + rest]), pa.array(ids[first + top[rest]])], names=["a", "b"])
 
     linked = rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(edges, "a long, b long")
-    return connected_components(linked)
+    return found.join(sizes, "component", "left_anti").select("node", "component").unionByName(connected_components(linked))
+
 
+def candidate_edges(sets: DataFrame, similarity: float, recall: float) -> tuple[DataFrame, DataFrame]:
+    """Edges that join every pair of similar sets into one component, from ``(set_id, sketch)``.
 
-def candidate_edges(sets: DataFrame, similarity: float, recall: float) -> DataFrame:
-    """Edges that join every pair of similar sets into one component, from ``(set_id, sketch)``."""
+    First pairs whose sketches agree, then the edges of buckets that were not compared.
+    """
     least_equal = agreement(similarity)
     roots = mix(np.arange(1, runs_needed(similarity, recall) + 1, dtype=np.uint64)).tolist()
     level = write_once(split(sets, roots), "buckets-1")
-    edges, n = None, F.col("n")
+    edges, uncompared, n = None, None, F.col("n")
     for depth in range(1, DEPTH + 1):
         sizes = level.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("parent").alias("parent"), F.min("set_id").alias("low"))
         shared = write_once(level.drop("parent").join(sizes.where(n > 1), "node"), f"buckets-{depth}-shared")
         found = compare_small(shared.where(n <= SMALL).select("node", "set_id").join(sets, "set_id"), least_equal)
         tight = F.lit(True) if depth == DEPTH else (F.col("parent") > 0) & (2 * n >= F.col("parent"))
-        found = found.unionByName(shared.where((n > SMALL) & tight).select(F.col("set_id").alias("a"), F.col("low").alias("b")))
+        whole = shared.where((n > SMALL) & tight).select(F.col("set_id").alias("a"), F.col("low").alias("b")).where("a <> b")
         edges = found if edges is None else edges.unionByName(found)
+        uncompared = whole if uncompared is None else uncompared.unionByName(whole)
         loose = shared.where((n > SMALL) & ~tight).select("node", "set_id", "n")
         if depth == DEPTH or loose.isEmpty():
             break
         level = write_once(split(loose.join(sets, "set_id")), f"buckets-{depth + 1}")
-    return edges
+    return edges, uncompared
 
 
 def check_groups(rows: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -328,8 +338,9 @@ def near_duplicates(
     sets = write_once(
         sets.agg(F.min("doc_id").alias("set_id"), F.count(F.lit(1)).alias("n_docs"), F.max("sketch").alias("sketch")), "sets"
     )
-    edges = candidate_edges(sets.select("set_id", "sketch"), similarity, recall)
-    found = split_by_sketch(connected_components(edges), sets.select("set_id", "sketch"), agreement(similarity))
+    agreed, tight = candidate_edges(sets.select("set_id", "sketch"), similarity, recall)
+    found = connected_components(agreed.unionByName(tight))
+    found = split_by_sketch(found, tight, sets.select("set_id", "sketch"), agreement(similarity))
     tops = found.select(F.col("component").alias("node"), "component").distinct()
     members = found.unionByName(tops).join(sets.select(F.col("set_id").alias("node"), "n_docs", "a"), "node")
     sizes = members.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK_SETS).cast("int").alias("parts"))
