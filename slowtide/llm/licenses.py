@@ -47,25 +47,44 @@ SENTENCES = {
     "cc-by-nc-long": "licensed under a creative commons attribution noncommercial 4 0 international license",
     "cc-by-mention": "licensed under cc by 4 0",
     "cc-by-sa-mention": "licensed under cc by sa 4 0",
-    "spdx-apache": "spdx license identifier apache 2 0",
-    "spdx-mit": "spdx license identifier mit",
-    "unlicense": "this is free and unencumbered software released into the public domain without license",
+    "lgpl21-version": "either version 2 1 of the license or at your option any later version",
+    "unlicense": "this is free and unencumbered software released into the public domain",
 }
+# Identifiers that stand for a licence in a line of their own kind, and its name.
+IDENTIFIERS = {
+    "apache-2.0": "Apache-2.0",
+    "mit": "MIT",
+    "isc": "ISC",
+    "bsd-2-clause": "BSD-2-Clause",
+    "bsd-3-clause": "BSD-3-Clause",
+    "gpl-2.0-only": "GPL-2.0",
+    "gpl-2.0-or-later": "GPL-2.0-or-later",
+    "gpl-3.0-only": "GPL-3.0",
+    "gpl-3.0-or-later": "GPL-3.0-or-later",
+    "lgpl-2.1-or-later": "LGPL-2.1-or-later",
+    "lgpl-3.0-or-later": "LGPL-3.0-or-later",
+    "mpl-2.0": "MPL-2.0",
+    "cc-by-4.0": "CC-BY-4.0",
+    "cc-by-nc-4.0": "CC-BY-NC-4.0",
+    "cc-by-sa-4.0": "CC-BY-SA-4.0",
+    "unlicense": "Unlicense",
+}
+# an identifier is a sentence with a last word of its own, so that a longer one does not hold it
+SENTENCES |= {f"spdx-{i}".replace(".", "-"): f"spdx license identifier {i.replace('-', ' ').replace('.', ' ')} end" for i in IDENTIFIERS}
 # Every known sentence holds one of these.
-TRIGGERS = ("licens", "permission", "redistribut", "warrant")
+TRIGGERS = ("licens", "permission", "redistribut", "warrant", "unencumbered")
 # A licence and the sentences that make it, in the order of matching.
 RULES = [
     ("Apache-2.0", ["apache-mention", "apache-compliance", "apache-copy", "apache-warranty"]),
     ("Apache-2.0", ["apache-mention"]),
-    ("Apache-2.0", ["spdx-apache"]),
     ("MIT", ["mit-grant", "mit-notice", "as-is"]),
     ("MIT", ["mit-mention"]),
     ("MIT", ["mit-mention-licensed"]),
-    ("MIT", ["spdx-mit"]),
     ("ISC", ["isc-grant", "isc-warranty"]),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-name"]),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"]),
     ("LGPL-3.0-or-later", ["lgpl-terms", "gpl3-version"]),
+    ("LGPL-2.1-or-later", ["lgpl-terms", "lgpl21-version"]),
     ("LGPL-2.0-or-later", ["lgpl-terms", "gpl2-version"]),
     ("GPL-3.0-or-later", ["gpl-terms", "gpl3-version"]),
     ("GPL-2.0-or-later", ["gpl-terms", "gpl2-version"]),
@@ -79,8 +98,12 @@ RULES = [
     ("Unlicense", ["unlicense"]),
     ("unknown warranty", ["as-is"]),
 ]
+RULES += [(name, [f"spdx-{i}".replace(".", "-")]) for i, name in IDENTIFIERS.items()]
 # Fixed values. A sentence ends at a mark before white space, or at an empty line; other line
-# ends, with what starts a comment, stand for a space.
+# ends, with what starts a comment, stand for a space. The mark of a shortened "version" before a number
+# ends nothing, and an identifier's line is a sentence up to the identifier's end.
+VERSION = r"(^|[^a-z0-9])(v|ver|vers)\.[ \t\r\n]*([0-9])"
+IDENTIFIER = r"spdx-license-identifier:[ \t(]*([a-z0-9](?:[a-z0-9.+-]*[a-z0-9+])?)"
 END_MARK = r"([.!?;])[ \t\r\n]+"
 EMPTY_LINE = r"\n[ \t\r]*\n"
 LINE_END = r"\n[ \t\r*#/%;-]*"
@@ -89,7 +112,9 @@ BREAK = "\x01"
 
 def sentences(text: Column) -> Column:
     """A text's normalised sentences (array of string), each with a space at both ends."""
-    divided = F.regexp_replace(F.translate(F.lower(text), BREAK, " "), END_MARK, f"$1{BREAK}")
+    plain = F.regexp_replace(F.translate(F.lower(text), BREAK, " "), VERSION, "$1$2 $3")
+    plain = F.regexp_replace(plain, IDENTIFIER, f"{BREAK}spdx license identifier $1 end{BREAK}")
+    divided = F.regexp_replace(plain, END_MARK, f"$1{BREAK}")
     divided = F.regexp_replace(F.regexp_replace(divided, EMPTY_LINE, BREAK), LINE_END, " ")
     return F.transform(
         F.split(divided, BREAK), lambda s: F.concat(F.lit(" "), F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")), F.lit(" "))

@@ -1,6 +1,6 @@
 """DuckDB texts of the queries that SQL can express on whole tables."""
 
-from slowtide.llm.licenses import BREAK, EMPTY_LINE, END_MARK, LINE_END, RULES, SENTENCES, rule_pattern
+from slowtide.llm.licenses import BREAK, EMPTY_LINE, END_MARK, IDENTIFIER, LINE_END, RULES, SENTENCES, VERSION, rule_pattern
 
 ORACLES: dict[str, str] = {}
 
@@ -41,8 +41,10 @@ with known(name, words, rank) as (values {known}),
 parts as (
   select doc_id, unnest(p) as part, generate_subscripts(p, 1) as nth
   from (
-    select doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(
+    select doc_id, string_split(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
       replace(lower(coalesce(text, '')), chr({ord(BREAK)}), ' '),
+      '{VERSION}', {chr(39)}{chr(92)}1{chr(92)}2 {chr(92)}3{chr(39)}, 'g'),
+      '{IDENTIFIER}', chr({ord(BREAK)}) || {chr(39)}spdx license identifier {chr(92)}1 end{chr(39)} || chr({ord(BREAK)}), 'g'),
       '{END_MARK}', {chr(39)}{chr(92)}1{chr(39)} || chr({ord(BREAK)}), 'g'),
       '{EMPTY_LINE}', chr({ord(BREAK)}), 'g'), '{LINE_END}', ' ', 'g'), chr({ord(BREAK)})) as p
     from documents)),

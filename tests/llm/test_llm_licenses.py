@@ -36,7 +36,49 @@ GPL = """This program is free software: you can redistribute it and/or modify
  * the Free Software Foundation, either version 3 of the License, or
  * (at your option) any later version."""
 
+MPL = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+APACHE = """   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES."""
+
 CASES = [
+    (MPL, ["MPL-2.0"]),
+    (UNLICENSE, ["Unlicense"]),
+    (LGPL, ["LGPL-2.1-or-later"]),
+    (APACHE, ["Apache-2.0"]),
+    (ISC, ["ISC"]),
+    ("// SPDX-License-Identifier: MIT-0", []),
+    ("// SPDX-License-Identifier: MIT", ["MIT"]),
+    ("# SPDX-License-Identifier: (GPL-2.0-or-later)\nimport os", ["GPL-2.0-or-later"]),
+    ("-- SPDX-License-Identifier: BSD-3-Clause-Clear\n", []),
+    ("SPDX-License-Identifier: Unlicense.", ["Unlicense"]),
+    ("Some v. 2.0. Released under the MIT License.", ["MIT"]),
     (MIT, ["MIT"]),
     (BSD, ["BSD-2-Clause"]),
     (BSD + NAME, ["BSD-3-Clause"]),
