@@ -2,13 +2,16 @@
 
 A scorer is anything with the methods of ``Encoder`` or ``PairScorer``. The
 lexical ones need no model and run inside the JVM; the ``Batch`` ones wrap a
-model that is loaded once per Python worker and called on batches.
+model that is loaded once per Python worker and called on batches of texts of
+similar length, since a model pads a batch to its longest text.
 """
 
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
-from pyspark.ml.functions import predict_batch_udf
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +22,62 @@ from slowtide.functions.vectors import norm, scale
 FLOATS = T.ArrayType(T.FloatType())
 
 
-def _model_udf(make_predict_fn: Callable, batch_size: int):
-    return predict_batch_udf(make_predict_fn, return_type=FLOATS, batch_size=batch_size).asNondeterministic()
+#: Characters of a padded batch (rows times the longest text); a longer text comes alone.
+BUDGET = 1 << 18
+#: Models that a worker keeps in memory.
+MODELS = 4
+_LOADED: dict[str, Callable] = {}
+
+
+def length_batches(lengths: np.ndarray, batch_size: int, budget: int) -> list[np.ndarray]:
+    """Row numbers of batches: rows by length, at most ``batch_size`` of them and ``budget`` padded characters each."""
+    order = np.argsort(lengths, kind="stable")
+    found, first = [], 0
+    for at in range(1, len(order) + 1):
+        # sorted: the row at hand would be the batch's longest
+        full = at < len(order) and (at - first >= batch_size or (at - first + 1) * lengths[order[at]] > budget)
+        if full or at == len(order):
+            found.append(order[first:at])
+            first = at
+    return found
+
+
+def padding_share(lengths: np.ndarray, batches: list[np.ndarray]) -> float:
+    """The share of padded positions that hold no text."""
+    padded = sum(len(b) * int(lengths[b].max()) for b in batches)
+    return 1 - float(lengths.sum()) / padded if padded else 0.0
+
+
+def loaded(key: str, make_predict_fn: Callable) -> Callable:
+    """The worker's model of that name; of several models the last few stay in memory."""
+    if key not in _LOADED:
+        while len(_LOADED) >= MODELS:
+            _LOADED.pop(next(iter(_LOADED)))
+        _LOADED[key] = make_predict_fn()
+    return _LOADED[key]
+
+
+def _model_udf(make_predict_fn: Callable, batch_size: int, budget: int):
+    """The model as a column function of one or more text columns.
+
+    Rows of one Arrow batch go to the model by length and come back in their own order. Of
+    several columns a batch is a tuple.
+    """
+    key = uuid.uuid4().hex
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        predict = loaded(key, make_predict_fn)
+        for columns in batches:
+            columns = [columns] if isinstance(columns, pd.Series) else columns
+            texts = [c.to_numpy() for c in columns]
+            lengths = sum(np.fromiter(map(len, t), np.int64, len(t)) for t in texts)
+            found = np.empty(len(lengths), object)
+            for rows in length_batches(lengths, batch_size, budget):
+                for row, result in zip(rows, predict(*[t[rows] for t in texts])):
+                    found[row] = np.asarray(result, np.float32)
+            yield pd.Series(found)
+
+    return F.pandas_udf(run, FLOATS).asNondeterministic()
 
 
 class Encoder(Protocol):
@@ -39,8 +96,8 @@ class PairScorer(Protocol):
 class BatchEncoder:
     """Sentence encoder: ``make_predict_fn`` returns a function from texts to an n × d array."""
 
-    def __init__(self, make_predict_fn: Callable, batch_size: int = 1000):
-        self._predict = _model_udf(make_predict_fn, batch_size)
+    def __init__(self, make_predict_fn: Callable, batch_size: int = 1000, budget: int = BUDGET):
+        self._predict = _model_udf(make_predict_fn, batch_size, budget)
 
     def encode(self, text: Column) -> Column:
         return F.when(text.isNotNull(), self._predict(F.coalesce(text, F.lit(""))))
@@ -49,8 +106,8 @@ class BatchEncoder:
 class BatchClassifier:
     """Class probabilities: the model gives logits, the softmax is native."""
 
-    def __init__(self, make_predict_fn: Callable, batch_size: int = 100):
-        self._logits = _model_udf(make_predict_fn, batch_size)
+    def __init__(self, make_predict_fn: Callable, batch_size: int = 100, budget: int = BUDGET):
+        self._logits = _model_udf(make_predict_fn, batch_size, budget)
 
     def encode(self, text: Column) -> Column:
         logits = self._logits(F.coalesce(text, F.lit(""))).cast("array<double>")
@@ -61,9 +118,14 @@ class BatchPairScorer:
     """Zero-shot model: logits of (text, hypothesis) pairs; positions of two classes are given."""
 
     def __init__(
-        self, make_predict_fn: Callable, entailment_index: int, contradiction_index: int, batch_size: int = 100
+        self,
+        make_predict_fn: Callable,
+        entailment_index: int,
+        contradiction_index: int,
+        batch_size: int = 100,
+        budget: int = BUDGET,
     ):
-        self._logits = _model_udf(make_predict_fn, batch_size)
+        self._logits = _model_udf(make_predict_fn, batch_size, budget)
         self._entailment, self._contradiction = entailment_index, contradiction_index
 
     def score(self, text: Column, label: Column) -> Column:

@@ -12,11 +12,13 @@ from slowtide.functions.spectra import Factors, fix_signs, retained_count
 from slowtide.functions.vectors import affine, map_vector
 from slowtide.operators.moments import BLOCK_ROWS, DIFFERENCES, VALUES, Partial, matrix_of, moments, plain_arrow_schema
 from slowtide.operators.ordered import consecutive_differences
-from slowtide.operators.skew import lookup_join, spread_work
+from slowtide.operators.skew import BROADCAST_BYTES, lookup_join, spread_work
 
 VECTOR = T.ArrayType(T.DoubleType())
 MATRIX = T.ArrayType(VECTOR)
 Fit = Callable[[Factors], dict]
+#: Numbers of a model from which batches are multiplied as matrices.
+WIDE = 4096
 
 
 def _matrices(table: pa.Table) -> dict[str, np.ndarray]:
@@ -221,15 +223,58 @@ def apply_model(
     """Map each vector by its series' model: matrix · (vector − mean).
 
     ``models`` should be a stored table: its size is measured first. It is
-    broadcast when small, else joined with hot series salted by ``spread_by``.
+    broadcast when small, else joined with hot series salted by ``spread_by``. Small tables
+    of wide models (``WIDE`` numbers and more) multiply whole batches of rows at
+    once instead of one row at a time; sums may differ in their last bits.
     ``matrix`` may be ``whitening`` to get the whitened axes instead of the slow
-    features.
+    features. Rows of series without a model are left out.
     """
+    series = list(series)
     slim = models.select(*series, F.col(matrix).alias("__matrix"), F.col("mean").alias("__mean"))
-    numbers = F.sum((F.size("__matrix") + 1) * F.size("__mean"))
-    size = 8 * (slim.agg(numbers).first()[0] or 0)
-    joined = lookup_join(df, slim, list(series), list(spread_by), dim_bytes=size)
+    numbers = (F.size("__matrix") + 1) * F.size("__mean")
+    total, widest = slim.agg(F.sum(numbers), F.max(numbers)).first()
+    if widest and widest >= WIDE and 8 * total <= BROADCAST_BYTES:
+        return map_vector(_multiplied(df, slim, series, vector), "__mapped", lambda v: v, target or vector, split).drop("__mapped")
+    joined = lookup_join(df, slim, series, list(spread_by), dim_bytes=8 * (total or 0))
     mapped = map_vector(
         joined, vector, lambda v: affine(v, F.col("__matrix"), F.col("__mean")), target=target, split=split
     )
     return mapped.drop("__matrix", "__mean")
+
+
+def _multiplied(df: DataFrame, slim: DataFrame, series: list[str], vector: str) -> DataFrame:
+    """Add ``__mapped``, one matrix product per batch and series; the models, few by measure, go with the tasks."""
+    found = {
+        tuple(row[c] for c in series): (np.array([list(r) for r in row["__matrix"]]), np.array(row["__mean"]))
+        for row in slim.collect()
+        if all(row[c] is not None for c in series)
+    }
+    schema = T.StructType([*df.schema.fields, T.StructField("__mapped", VECTOR)])
+    names = schema.names
+    at = df.columns.index(vector)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = list(zip(*[batch.column(df_names.index(c)).to_pylist() for c in series]))
+            number = {key: i for i, key in enumerate(dict.fromkeys(keys))}
+            group = np.fromiter((number[key] for key in keys), np.int64, len(keys))
+            present = batch.column(at).is_valid().to_numpy(zero_copy_only=False)
+            mapped = np.empty(len(keys), object)
+            for key, i in number.items():
+                if key not in found:
+                    continue
+                own, mean = found[key]
+                for row in np.flatnonzero((group == i) & ~present):
+                    mapped[row] = [None] * len(own)
+                rows = np.flatnonzero((group == i) & present)
+                if len(rows):
+                    x = matrix_of(batch.column(at).take(pa.array(rows)))
+                    product = (x - mean) @ own.reshape(-1, len(mean)).T
+                    for row, values in zip(rows.tolist(), product):
+                        mapped[row] = values
+            stay = pa.array(np.fromiter((key in found for key in keys), bool, len(keys)))
+            columns = [*batch.columns, pa.array(list(mapped), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=names).filter(stay)
+
+    df_names = df.columns
+    return df.mapInArrow(run, schema)

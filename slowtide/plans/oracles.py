@@ -1,6 +1,7 @@
 """DuckDB texts of the queries in ``registry``, written independently of the Spark plans."""
 
-from slowtide.plans.vocabulary import ALL_LEXICON, ANALYSIS_LABELS, LEXICON, LEXICON_LABELS
+from slowtide.plans.vocabulary import ANALYSIS_LABELS
+from slowtide.sources.testbed import LEXICON, LEXICON_LABELS, generated_lexicon
 
 ORACLES: dict[str, str] = {}
 
@@ -412,7 +413,7 @@ _oracle("memoised_analyses", [MESSAGES, OWNERS, LOGS, LOG_SENTENCES], f"""select
   cast(0 as bigint) as scored_second from logs where msg is not null
   union all
   select 'pairs', {len(LEXICON_LABELS)} * count(distinct msg), 0 from sentences""")
-_oracle("label_scores_of_all_labels", [MESSAGES, _scored("messages", "msg_id", "msg", ANALYSIS_LABELS, ALL_LEXICON)], _LABEL_VECTORS)
+_oracle("label_scores_of_all_labels", [MESSAGES, _scored("messages", "msg_id", "msg", ANALYSIS_LABELS, generated_lexicon(ANALYSIS_LABELS))], _LABEL_VECTORS)
 _oracle("score_rows_after_upserts", [MESSAGES, _scored("(select distinct msg from messages)", "msg", "msg", LEXICON_LABELS[:2])],
         f"select md5(t) as text_md5, label, {_r('cast(score + 1 as float)')} as score from scored")
 
@@ -470,6 +471,17 @@ _oracle("slow_features_of_two_places",
   {_r('max((x - mx) * wx + (y - my) * wy) filter (where component = 0)')} as "SFA_0",
   {_r('max((x - mx) * wx + (y - my) * wy) filter (where component = 1)')} as "SFA_1"
   from pairs join slow using (author) group by pairs.author, start, n_rows""")
+_oracle("typical_sentences_of_two_places",
+        [MESSAGES, OWNERS, LOGS, LOG_SENTENCES, _embedded("sentences", "msg_id, sentence_idx, author", "msg", 2),
+         """pairs as (select author, msg_id, sentence_idx, max(cast(value as double)) filter (where dim = 0) as x,
+    max(cast(value as double)) filter (where dim = 1) as y from embedded group by author, msg_id, sentence_idx)""",
+         MOMENTS_2D.replace("series", "author"), SPECTRUM_2D.replace("series", "author"),
+         """scores as (select p.author, p.msg_id, p.sentence_idx, case when a + c > 0 then (x - mx) * ux + (y - my) * uy else 0 end as score
+    from pairs p join axes on p.author = axes.author and component = 0)""",
+         """ends as (select *, 'high' as side, row_number() over (partition by author order by score desc, msg_id, sentence_idx) as rank from scores
+    union all select *, 'low', row_number() over (partition by author order by score, msg_id, sentence_idx) from scores)"""],
+        f"""select author, cast(0 as bigint) as component, side, rank, {_r('score')} as score, msg_id, sentence_idx, msg
+  from ends join sentences using (author, msg_id, sentence_idx) where rank <= 20""")
 _oracle("time_scale_slowness_of_two_places",
         [MESSAGES, OWNERS, LOGS, TWO_PLACES,
          """scaled as (select author, days, epoch_us(date) // 86400000000 // days * days as bucket, dim, value from embedded, range(1, 31) as r(days)),
@@ -537,7 +549,7 @@ _oracle("two_label_weights_of_pca", [*TWO_LABELS, _SHARES, _LABELLED], f"""selec
   label, {_r('weight')} as weight from labelled join label_names using (label_idx)""")
 _oracle("two_label_importance", [*TWO_LABELS, _SHARES, _LABELLED], f"""select author, cast(label_idx as bigint) as label_idx,
   {_r('max(abs(sqrt(ratio) * weight))')} as importance, label from labelled join label_names using (label_idx) group by author, label_idx, label""")
-_oracle("two_label_deltas", [*[c.replace("pairs as (", "sentence_pairs as (").replace("from pairs", "from sentence_pairs") for c in TWO_LABELS[:-2]],
+TWO_LABEL_SLOW = [*[c.replace("pairs as (", "sentence_pairs as (").replace("from pairs", "from sentence_pairs") for c in TWO_LABELS[:-2]],
         *[c.replace("mom as (", "sentence_mom as (").replace("from mom", "from sentence_mom").replace("from pairs", "from sentence_pairs")
           .replace("halves", "sentence_halves").replace("raw_axes", "sentence_raw_axes").replace(" axes as (", " sentence_axes as (") for c in TWO_LABELS[-2:]],
         """projected as (select p.author, p.date, min(date_trunc('day', p.date)) over (partition by p.author) as first_day,
@@ -548,5 +560,9 @@ _oracle("two_label_deltas", [*[c.replace("pairs as (", "sentence_pairs as (").re
   pairs as (select author, start, cast(cast(avg(u) as float) as double) as x, cast(cast(avg(v) as float) as double) as y
     from placed where start >= first_day group by author, start
     qualify row_number() over (partition by author order by start) <= 800)""",
-        _moments_with_differences("author", "start"), SLOW_2D_FLAT],
+        _moments_with_differences("author", "start"), SLOW_2D_FLAT]
+_oracle("two_label_deltas", TWO_LABEL_SLOW,
         f"select author, cast(component as bigint) as component, {_r('delta')} as delta from slow")
+_oracle("two_label_pca_weights_in_sfa", TWO_LABEL_SLOW, f"""select author, cast(component as bigint) as component,
+  cast(0 as bigint) as pca_component, {_r('wx')} as weight from slow
+  union all select author, cast(component as bigint), cast(1 as bigint), {_r('wy')} from slow""")

@@ -25,11 +25,12 @@ from slowtide.operators.smoothing import smooth
 from slowtide.operators.spectrum import amplitude_spectrum
 from slowtide.plans import analyses
 from slowtide.operators.scoring import Memo
-from slowtide.plans.vocabulary import ALL_LEXICON, ANALYSIS_LABELS, LEXICON, LEXICON_LABELS, label_table
+from slowtide.plans.vocabulary import ANALYSIS_LABELS, label_table
 from slowtide.session import fresh_path, write_once
 from slowtide.sources import messages as S
 from slowtide.sources import testbed
 from slowtide.sources.score_table import ScoreTable, VectorTable
+from slowtide.sources.testbed import LEXICON, LEXICON_LABELS, generated_lexicon
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -43,7 +44,7 @@ def letter_key(word: Column) -> Column:
 ENCODER, ENCODER_2D = LexicalEncoder(16, letter_key), LexicalEncoder(2, letter_key)
 #: As wide as the sentence encoder of the analyses.
 ENCODER_384 = LexicalEncoder(384, letter_key)
-SCORER, SCORER_69 = LexicalPairScorer(LEXICON), LexicalPairScorer(ALL_LEXICON)
+SCORER, SCORER_69 = LexicalPairScorer(LEXICON), LexicalPairScorer(generated_lexicon(ANALYSIS_LABELS))
 SENTENCE = ["msg_id", "sentence_idx"]
 
 
@@ -815,6 +816,12 @@ def slow_features_of_two_places(spark, sf_dir):
     return found.select("author", "window_start", "n", "SFA_0", "SFA_1")
 
 
+@query
+def typical_sentences_of_two_places(spark, sf_dir):
+    """Q6 with a two-dimensional encoder."""
+    return analyses.typical_sentences(testbed.messages(spark, sf_dir), ENCODER_2D)
+
+
 @query
 def time_scale_slowness_of_two_places(spark, sf_dir):
     """Q8 with a two-dimensional encoder."""
@@ -858,6 +865,12 @@ def two_label_deltas(spark, sf_dir):
     return _two_label_analysis(spark, sf_dir).deltas()
 
 
+@query
+def two_label_pca_weights_in_sfa(spark, sf_dir):
+    """Q7 with two labels: weights of the principal components in the slow features."""
+    return _two_label_analysis(spark, sf_dir).pca_weights_in_sfa()
+
+
 @query
 def slowness_gain_of_all_labels(spark, sf_dir):
     """Q9 with all 69 labels and 1000 orders."""

@@ -22,32 +22,6 @@ ANALYSIS_LABELS = [
     "equanimity", "equanimity wrt negative", "equanimity wrt opposites",
 ]
 
-# Word lists for the lexical scorer on the test texts, which are invented prose
-# around the function words of four languages.
-LEXICON = {
-    "article": ["the", "a", "an"],
-    "preposition": ["of", "to", "for", "on", "with", "by", "at", "from"],
-    "conjunction": ["and", "or", "than", "when"],
-    "being": ["is", "was", "are", "be", "were"],
-    "pointing": ["this", "that", "it", "he"],
-    "romance article": ["la", "le", "el", "les", "los", "las", "un", "une"],
-    "romance link": ["de", "des", "del", "que", "et", "y"],
-    "german article": ["der", "die", "das", "den"],
-    "german link": ["und", "von", "zu", "mit", "ist"],
-    "shared": ["in", "en", "es", "se"],
-}
-LEXICON_LABELS = list(LEXICON)
-
-
-def _all_lists() -> dict[str, list[str]]:
-    """Three words of the lists above for each of the 69 labels, by its position."""
-    pool = list(dict.fromkeys(w for listed in LEXICON.values() for w in listed))
-    pick = lambda i: [pool[(i * step + at) % len(pool)] for at, step in ((0, 1), (7, 3), (19, 5))]
-    return {label: sorted(set(pick(i))) for i, label in enumerate(ANALYSIS_LABELS)}
-
-
-ALL_LEXICON = _all_lists()
-
 
 def label_table(spark: SparkSession, labels: list[str]) -> DataFrame:
     """``label_idx, label``; a short parameter list, so it is broadcast in joins."""

@@ -1,8 +1,35 @@
-"""Message and vector tables derived from the bundled test tables."""
+"""Message and vector tables derived from the bundled test tables, and word lists for scoring their invented texts."""
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Word lists for the lexical scorer on the test texts, which are invented prose
+# around the function words of four languages.
+LEXICON = {
+    "article": ["the", "a", "an"],
+    "preposition": ["of", "to", "for", "on", "with", "by", "at", "from"],
+    "conjunction": ["and", "or", "than", "when"],
+    "being": ["is", "was", "are", "be", "were"],
+    "pointing": ["this", "that", "it", "he"],
+    "romance article": ["la", "le", "el", "les", "los", "las", "un", "une"],
+    "romance link": ["de", "des", "del", "que", "et", "y"],
+    "german article": ["der", "die", "das", "den"],
+    "german link": ["und", "von", "zu", "mit", "ist"],
+    "shared": ["in", "en", "es", "se"],
+}
+LEXICON_LABELS = list(LEXICON)
+
+
+def generated_lexicon(labels: list[str]) -> dict[str, list[str]]:
+    """A test lexicon: three words of the lists above for each label, by its position.
+
+    The texts are invented, so the lists say nothing about the labels; they only make
+    as many scores as the analysis has labels, which SQL can compute too.
+    """
+    pool = list(dict.fromkeys(w for listed in LEXICON.values() for w in listed))
+    pick = lambda i: [pool[(i * step + at) % len(pool)] for at, step in ((0, 1), (7, 3), (19, 5))]
+    return {label: sorted(set(pick(i))) for i, label in enumerate(labels)}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -163,6 +163,31 @@ def test_models_too_large_to_broadcast_are_joined(spark, rows, monkeypatch):
     assert pick(small) == pick(large) and len(pick(small)) == rows.count()
 
 
+def test_wide_models_multiply_batches(spark, monkeypatch):
+    from slowtide.operators import models as module
+
+    rng = np.random.default_rng(5)
+    x = {"a": rng.normal(size=(40, 90)), "b": rng.normal(size=(30, 70)), None: rng.normal(size=(3, 90))}
+    data = [(s, i, f"t{i}", [float(v) for v in row]) for s, rows in x.items() for i, row in enumerate(rows)] + [("a", 99, "none", None), ("c", 0, "", [1.0])]
+    rows = spark.createDataFrame(data, "series string, window_start int, msg string, embedding array<double>").repartition(4)
+    fitted = write_once(fit_pca(moments(rows.where("series in ('a', 'b') and embedding is not null")), 60), "pca")
+    pick = lambda df: {(r["series"], r["window_start"], r["msg"]): r for r in df.collect()}
+    found = {}
+    for wide in (1, 1 << 40):
+        monkeypatch.setattr(module, "WIDE", wide)
+        whole, split = apply_model(rows, fitted, ["window_start"]), apply_model(rows, fitted, ["window_start"], target="P", split=2)
+        assert whole.columns == rows.columns and split.columns == [*rows.columns, "P_0", "P_1"]
+        assert ("MapInArrow" in split._jdf.queryExecution().executedPlan().toString()) == (wide == 1)
+        found[wide] = pick(whole), pick(split)
+    for one, other in zip(found[1], found[1 << 40]):
+        assert one.keys() == other.keys() and len(one) == 71
+    for key, row in found[1][0].items():
+        want = found[1 << 40][0][key]["embedding"]
+        assert row["embedding"] == want if key[2] == "none" else np.allclose(row["embedding"], want, atol=1e-9)
+        a, b = found[1][1][key], found[1 << 40][1][key]
+        assert (a["P_0"] is None and b["P_0"] is None) or np.allclose([a["P_0"], a["P_1"]], [b["P_0"], b["P_1"]], atol=1e-9)
+
+
 def test_slowness_survives_linear_maps(spark, data):
     x = data["slow"]
     turned = x @ np.random.default_rng(9).normal(size=(5, 5))

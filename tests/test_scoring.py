@@ -7,7 +7,7 @@ import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from slowtide.functions.scorers import BatchClassifier, BatchEncoder, BatchPairScorer, LexicalEncoder, LexicalPairScorer
+from slowtide.functions.scorers import BatchClassifier, BatchEncoder, BatchPairScorer, LexicalEncoder, LexicalPairScorer, length_batches, padding_share
 from slowtide.operators import scoring
 from slowtide.plans import analyses
 from slowtide.session import fresh_path
@@ -109,6 +109,30 @@ def test_plugged_in_models(spark, texts):
     assert {r["id"]: r["embedding"] for r in memo} == {r["id"]: r["embedding"] for r in scored}
 
 
+def test_batches_hold_texts_of_similar_length():
+    lengths = np.random.default_rng(0).lognormal(5, 1.2, 3000).astype(int)
+    for size, budget in ((100, 1 << 18), (7, 4000), (1000, 1), (1, 1 << 18)):
+        found = length_batches(lengths, size, budget)
+        assert sorted(np.concatenate(found).tolist()) == list(range(3000))
+        assert all(len(b) == 1 or (len(b) <= size and len(b) * lengths[b].max() <= budget) for b in found)
+    arriving = [np.arange(a, a + 100) for a in range(0, 3000, 100)]
+    assert padding_share(lengths, arriving) > 0.8 > 0.2 > padding_share(lengths, length_batches(lengths, 100, 1 << 18))
+    assert length_batches(np.zeros(0, int), 5, 5) == [] and padding_share(np.zeros(3, int), [np.arange(3)]) == 0
+
+
+def test_batching_does_not_change_vectors(spark):
+    texts = spark.range(700).select("id", F.expr("if(id % 13 = 0, null, repeat(concat('ab', id), cast(1 + id % 57 as int)))").alias("msg"))
+
+    def load():
+        return lambda batch: np.array([[len(t), t.count("1"), len(set(map(len, batch))) > 0] for t in batch], np.float32)
+
+    plain = {r["id"]: r["msg"] for r in texts.collect()}
+    for size, budget in ((100, 1 << 18), (3, 50)):
+        for row in scoring.add_embeddings(texts.repartition(3), BatchEncoder(load, size, budget)).collect():
+            text = plain[row["id"]]
+            assert row["embedding"] == (None if text is None else [len(text), text.count("1"), 1])
+
+
 def test_model_runs_once_per_row(spark, texts):
     """Null checks after a model call must not repeat the call."""
     calls = spark.sparkContext.accumulator(0)
