@@ -564,5 +564,5 @@ TWO_LABEL_SLOW = [*[c.replace("pairs as (", "sentence_pairs as (").replace("from
 _oracle("two_label_deltas", TWO_LABEL_SLOW,
         f"select author, cast(component as bigint) as component, {_r('delta')} as delta from slow")
 _oracle("two_label_pca_weights_in_sfa", TWO_LABEL_SLOW, f"""select author, cast(component as bigint) as component,
-  cast(0 as bigint) as pca_component, {_r('wx')} as weight from slow
-  union all select author, cast(component as bigint), cast(1 as bigint), {_r('wy')} from slow""")
+  cast(0 as bigint) as pca_component, {_r('coalesce(wx / nullif(sqrt(wx * wx + wy * wy), 0), 0)')} as weight from slow
+  union all select author, cast(component as bigint), cast(1 as bigint), {_r('coalesce(wy / nullif(sqrt(wx * wx + wy * wy), 0), 0)')} from slow""")

@@ -10,6 +10,7 @@ from functools import wraps
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from slowtide.functions import text as X
 from slowtide.functions.scorers import BatchClassifier, BatchEncoder, BatchPairScorer, LexicalEncoder, LexicalPairScorer, mock_vector
@@ -867,8 +868,10 @@ def two_label_deltas(spark, sf_dir):
 
 @query
 def two_label_pca_weights_in_sfa(spark, sf_dir):
-    """Q7 with two labels: weights of the principal components in the slow features."""
-    return _two_label_analysis(spark, sf_dir).pca_weights_in_sfa()
+    """Q7 with two labels: weights of the principal components in the slow features, as directions of length 1."""
+    found = _two_label_analysis(spark, sf_dir).pca_weights_in_sfa()
+    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(W.partitionBy("author", "component")))
+    return found.withColumn("weight", F.coalesce(F.col("weight") / F.nullif(length, F.lit(0.0)), F.lit(0.0)))
 
 
 @query
