@@ -14,7 +14,8 @@ from slowtide.operators.sentences import explode_sentences
 from slowtide.operators.slowness import label_orders
 from slowtide.operators.threads import practice_logs
 from slowtide.plans import analyses, registry
-from slowtide.plans.vocabulary import ANALYSIS_LABELS, LEXICON, LEXICON_LABELS
+from slowtide.plans.vocabulary import ANALYSIS_LABELS
+from slowtide.sources.testbed import LEXICON, LEXICON_LABELS
 from slowtide.sources import testbed
 
 ENCODER, SCORER = LexicalEncoder(6), LexicalPairScorer(LEXICON)
