@@ -19,8 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from slowtide.functions.text import bind
-from slowtide.operators.skew import join_null_safe, lookup_join
+from slowtide.operators.skew import BROADCAST_BYTES, join_null_safe, lookup_join
 from slowtide.session import write_once
 
 #: Fixed values of the method: least scores of abbreviations, collocations and starters, and the share of an
@@ -33,47 +32,67 @@ _BREAK = "\u0001"
 _WHITE = " \t\n\u000b\f\r"
 
 
-def tokens(text: Column) -> Column:
-    """Words of a text: ``type`` (lower case, without its end mark), ``end`` (a period, another mark, or none), ``upper``, ``lower``."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
+def _begins(word: str, marks: str) -> Column:
+    """Whether a word may begin with one of the marks."""
+    return F.contains(F.lit(marks), F.substring(word, 1, 1))
 
-    def word(w: Column) -> Column:
-        core = F.regexp_replace(F.regexp_replace(w, _OPENING, ""), _CLOSING, "")
-        return bind(core, token)
 
-    def token(core: Column) -> Column:
-        end = F.when(core.rlike(r"[!?]$|\.\.$"), "!").when(core.endswith("."), ".").otherwise("")
-        bare = F.lower(F.regexp_replace(core, r"[.!?]+$", ""))
-        kind = F.when(bare.rlike(r"^[-+]?[0-9][0-9.,]*$"), NUMBER).otherwise(bare)
-        first = F.substring(core, 1, 1)
-        upper, lower = first != F.lower(first), first != F.upper(first)
-        return F.struct(kind.alias("type"), end.alias("end"), upper.alias("upper"), (lower & ~upper).alias("lower"))
+def _ends(word: str, marks: str) -> Column:
+    """Whether a word may end with one of the marks, for a pattern's ``$`` also before a line end that is no white space."""
+    return F.contains(F.lit(marks + "\u0085\u2028\u2029"), F.substring(word, -1, 1))
 
-    return F.transform(words, word)
+
+def with_token(rows: DataFrame, word: str, name: str) -> DataFrame:
+    """Add the token ``name`` of a column's words: ``type`` (lower case, without its end mark), ``end`` (a period, another mark,
+    or none), ``upper``, ``lower``.
+
+    Each step is a column of its own, so that it is computed once, and patterns meet only words whose ends they may match.
+    """
+    opened = F.when(_begins(word, "\"'([{"), F.regexp_replace(word, _OPENING, "")).otherwise(F.col(word))
+    closed = F.when(_ends("__open", "\"')]},;:"), F.regexp_replace("__open", _CLOSING, "")).otherwise(F.col("__open"))
+    core, marked = F.col("__core"), F.col("__marked")
+    bare = F.lower(F.when(marked, F.regexp_replace(core, r"[.!?]+$", "")).otherwise(core))
+    end = F.when(marked & core.rlike(r"[!?]$|\.\.$"), "!").when(core.endswith("."), ".").otherwise("")
+    number = _begins("__bare", "+-0123456789") & F.col("__bare").rlike(r"^[-+]?[0-9][0-9.,]*$")
+    kind = F.when(number, NUMBER).otherwise(F.col("__bare"))
+    first = F.substring(core, 1, 1)
+    upper, lower = first != F.lower(first), first != F.upper(first)
+    token = F.struct(kind.alias("type"), end.alias("end"), upper.alias("upper"), (lower & ~upper).alias("lower"))
+    steps = {"__open": opened, "__core": closed, "__marked": _ends("__core", ".!?"), "__bare": bare, name: token}
+    for column, value in steps.items():
+        rows = rows.withColumn(column, value)
+    return rows.drop("__open", "__core", "__marked", "__bare")
 
 
 def count_words(texts: DataFrame, text: str = "text") -> DataFrame:
     """``type, end, upper, lower, before_end, before, n``: how often words occur, by case, end and what ends before them.
 
     ``before_end`` is the end mark of the word before (none in a text's first word: ``!``);
-    ``before`` names that word if a period ends it. Words without letter or digit do not count. Counts
-    are formed in the tasks that read the texts; only sums are shuffled.
+    ``before`` names that word if a period ends it. Words without letter or digit do not count. Words as
+    written are counted first, in the tasks that read the texts, with the word before if it has a mark; only
+    distinct ones are taken apart, and only sums are shuffled.
     """
-    own = tokens(F.col(text))
-    paired = bind(own, lambda t: F.arrays_zip(t.alias("t"), F.slice(F.concat(F.array(F.lit(None).cast(_TOKEN)), t), 1, F.size(t)).alias("p")))
-    each = texts.where(F.col(text).isNotNull()).select(F.explode(paired).alias("pair")).select("pair.*").toDF("t", "p")
-    each = each.where(F.col("t.type").rlike(r"[\p{L}\p{N}]"))
-    end = F.coalesce(F.col("p.end"), F.lit("!"))
+    # without white space at its start a text has no empty word before another
+    own = texts.where(F.col(text).isNotNull()).select(F.split(F.ltrim(F.col(text), F.lit(_WHITE)), r"\s+").alias("w"))
+    none = F.array(F.lit(None).cast("string"))
+    paired = F.arrays_zip(F.col("w").alias("word"), F.slice(F.concat(none, F.col("w")), 1, F.size("w")).alias("before"))
+    each = own.select(F.explode(paired).alias("pair")).select("pair.word", "pair.before")
+    before = F.col("before")
+    # a word without a mark ends nothing, whatever it is; a text's first word has none before it (null)
+    mark = F.contains(before, F.lit(".")) | F.contains(before, F.lit("!")) | F.contains(before, F.lit("?"))
+    marked = F.when(before.isNull() | mark, before).otherwise("")
+    written = each.select("word", marked.alias("marked")).groupBy("word", "marked").agg(F.count(F.lit(1)).alias("n"))
+    # letters and digits are no marks: a word has some if its type has
+    written = written.where(F.col("word").rlike(r"[\p{L}\p{N}]"))
+    split = with_token(with_token(written, "word", "t"), "marked", "p")
+    end = F.when(F.col("marked").isNull(), "!").otherwise(F.col("p.end"))
     return (
-        each.select("t.*", end.alias("before_end"), F.when(F.col("p.end") == ".", F.col("p.type")).alias("before"))
+        split.select("t.*", end.alias("before_end"), F.when(F.col("p.end") == ".", F.col("p.type")).alias("before"), "n")
         .groupBy("type", "end", "upper", "lower", "before_end", "before")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("n").alias("n"))
     )
 
 
-_TOKEN = "struct<type:string,end:string,upper:boolean,lower:boolean>"
-
-
 def _times_log(n: Column, p: Column) -> Column:
     """n · ln p, zero for n = 0."""
     return F.when(n == 0, 0.0).otherwise(n * F.ln(p))
@@ -184,6 +203,19 @@ def no_breaks(pairs: DataFrame, model: SplitterModel) -> DataFrame:
     return known.where(kept_together).select(*pairs.columns)
 
 
+def _bytes(rows: DataFrame) -> int:
+    """About the size of a small table in memory."""
+    return rows.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*rows.columns))) + 64), F.lit(0))).first()[0]
+
+
+def _may_hold(borders: DataFrame, model: SplitterModel, spread_by: list[str]) -> DataFrame:
+    """Of periods behind words ``type``, those that ``no_breaks`` may hold together: behind abbreviations, initials, numbers, and firsts of collocations."""
+    words = model.types.where("abbreviation").select("type").union(model.collocations.select("type")).distinct()
+    words = write_once(words.withColumn("holds", F.lit(True)), "holding-words")
+    looked = lookup_join(borders, words, ["type"], spread_by, dim_bytes=_bytes(words), how="left")
+    return looked.where(F.col("holds") | (F.length("type") == 1) | (F.col("type") == NUMBER)).drop("holds")
+
+
 def split_learnt(df: DataFrame, model: SplitterModel, key: list[str], text: str = "msg") -> DataFrame:
     """One row per sentence by the learnt model, the other columns repeated, with its position ``sentence_idx``.
 
@@ -192,28 +224,38 @@ def split_learnt(df: DataFrame, model: SplitterModel, key: list[str], text: str
     model holds the words around together. Sentences are trimmed; texts without any, or
     null, give no row. U+0001 counts as a blank.
     """
-    clean = F.translate(F.col(text), _BREAK, " ")
-    marked = F.regexp_replace(clean, r"""([.!?]+["')\]]*\s+)""", "$1" + _BREAK)
-    parts = df.where(F.col(text).isNotNull()).withColumn("__parts", F.split(marked, _BREAK))
-    last = lambda i: F.element_at(tokens(F.substring_index(F.btrim(F.get("__parts", i), F.lit(_WHITE)), " ", -1)), -1)
-    first = lambda i: F.get(tokens(F.substring_index(F.ltrim(F.get("__parts", i + 1), F.lit(_WHITE)), " ", 1)), F.lit(0))
-    count = F.size("__parts")
-    borders = F.when(count > 1, F.transform(F.sequence(F.lit(0), count - 2), lambda i: F.struct(i.alias("at"), last(i).alias("a"), first(i).alias("b"))))
-    each = parts.select(*key, F.explode(borders).alias("border")).where((F.col("border.a.end") == ".") & F.col("border.b").isNotNull())
+    clean = F.replace(F.col(text), F.lit(_BREAK), F.lit(" "))
+    texts = df.where(F.col(text).isNotNull())
+    parts = F.split(F.regexp_replace(clean, r"""([.!?]+["')\]]*\s+)""", "$1" + _BREAK), _BREAK)
+    # the same parts without white space around the breaks
+    bare = F.split(F.regexp_replace(clean, r"""([.!?]+["')\]]*)\s+""", "$1" + _BREAK), _BREAK)
+    last = F.element_at(F.split(F.substring_index("part", " ", -1), r"\s+"), -1)
+    first = F.get(F.split(F.substring_index("next", " ", 1), r"\s+"), F.lit(0))
+    each = texts.select(*[F.col(c).alias(f"__{c}") for c in key], bare.alias("parts"))
+    following = F.slice("parts", 2, F.size("parts"))
+    each = each.select(*[f"__{c}" for c in key], F.posexplode(F.arrays_zip(F.col("parts").alias("part"), following.alias("next"))).alias("at", "two"))
+    each = each.select(*[f"__{c}" for c in key], "at", "two.part", "two.next").where(F.col("next").isNotNull())
+    each = each.select(*[F.col(f"__{c}").alias(c) for c in key], "at", last.alias("__last"), first.alias("__first"))
+    # exploded, not filtered: a filter would move below and take each word apart twice
+    ended = F.when((F.col("a.end") == ".") & (F.col("__first") != ""), F.array("a.type"))
+    each = with_token(each, "__last", "a").select(*key, "at", "__first", F.explode(ended).alias("type"))
+    each = with_token(_may_hold(each, model, [*key, "at"]), "__first", "b")
     each = each.select(
-        *key, "border.at", F.col("border.a.type").alias("type"), F.col("border.b.type").alias("next_type"),
-        F.col("border.b.upper").alias("next_upper"), F.col("border.b.lower").alias("next_lower"),
+        *key, "at", "type", F.col("b.type").alias("next_type"), F.col("b.upper").alias("next_upper"), F.col("b.lower").alias("next_lower")
     )
     each = write_once(each, "borders")
     pair = ["type", "next_type", "next_upper", "next_lower"]
     kept = write_once(no_breaks(each.select(*pair).distinct(), model), "no-breaks")
     size = 64 * kept.count()
     joined = lookup_join(each, kept, pair, [*key, "at"], dim_bytes=size)
-    held = joined.groupBy(*key).agg(F.collect_set("at").alias("__held"))
-    whole = join_null_safe(parts, held, list(key), "left")
-    part = lambda p, i: F.concat(p, F.when(F.array_contains(F.coalesce("__held", F.array().cast("array<int>")), i), "").otherwise(_BREAK))
+    held = write_once(joined.groupBy(*key).agg(F.collect_set("at").alias("__held")), "held")
+    if _bytes(held) <= BROADCAST_BYTES:
+        held = F.broadcast(held)
+    whole = join_null_safe(texts, held, list(key), "left").withColumn("__parts", parts)
+    part = lambda p, i: F.concat(p, F.when(F.array_contains("__held", i), "").otherwise(_BREAK))
     joined_text = F.array_join(F.transform("__parts", part), "")
-    sentences = F.transform(F.split(joined_text, _BREAK), lambda s: F.btrim(s, F.lit(_WHITE)))
+    pieces = F.when(F.col("__held").isNull(), F.col("__parts")).otherwise(F.split(joined_text, _BREAK))
+    sentences = F.transform(pieces, lambda s: F.btrim(s, F.lit(_WHITE)))
     sentences = F.filter(sentences, lambda s: s != "")
     others = [c for c in df.columns if c != text]
     return whole.select(*others, F.posexplode(sentences).alias("sentence_idx", text))

@@ -4,6 +4,7 @@ import math
 import random
 import re
 from collections import Counter
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -170,3 +171,23 @@ def test_no_texts(spark):
     assert model.types.count() == model.collocations.count() == 0
     rows = spark.createDataFrame([(1, "Dr. Molan. Then")], "id long, text string")
     assert [r["text"] for r in S.split_learnt(rows, model, ["id"], "text").collect()] == ["Dr.", "Molan.", "Then"]
+
+
+def test_only_periods_that_may_hold_are_stored(monkeypatch, learnt):
+    _, rows, model, brute = learnt
+    stored, write_once = {}, S.write_once
+    monkeypatch.setattr(S, "write_once", lambda df, name: stored.setdefault(name, write_once(df, name)))
+    S.split_learnt(rows, model, ["id"], "text")
+    found = [r["type"] for r in stored["borders"].collect()]
+    holding = brute.abbreviations | {a for a, _ in brute.collocations} | {S.NUMBER}
+    assert found and all(w in holding or len(w) == 1 for w in found)
+
+
+def test_sentences_without_broadcasts(monkeypatch, learnt):
+    texts, rows, model, brute = learnt
+    monkeypatch.setattr(S, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(S, "lookup_join", partial(S.lookup_join, broadcast_bytes=-1, rows_per_salt=50))
+    found = {}
+    for r in S.split_learnt(rows, model, ["id"], "text").orderBy("id", "sentence_idx").collect():
+        found.setdefault(r["id"], []).append(r["text"])
+    assert found == {i: own for i, t in enumerate(texts) if (own := brute.split(t))}
