@@ -191,3 +191,20 @@ def test_sentences_without_broadcasts(monkeypatch, learnt):
     for r in S.split_learnt(rows, model, ["id"], "text").orderBy("id", "sentence_idx").collect():
         found.setdefault(r["id"], []).append(r["text"])
     assert found == {i: own for i, t in enumerate(texts) if (own := brute.split(t))}
+
+
+def test_words_are_counted_before_they_are_taken_apart(spark):
+    odd = ["\t(The \"end.\") Dr.\n[x] -5.5, No?! 'a..' !? ...\u000bA.B. (\"q\") \"'. end", "  ", "One", "Ö. ß 1. Ⅷ ", None, "a.  a.  a. a"]
+    counts = S.count_words(spark.createDataFrame([(t,) for t in odd * 3], "text string"))
+    want = Counter()
+    for text in odd:
+        own = [token(w) for w in re.split(r"[ \t\n\v\f\r]+", text or "") if w]
+        for i, (w, end, up, low) in enumerate(own):
+            if any(c.isalnum() for c in w):
+                before = own[i - 1] if i else (None, "!")
+                want[w, end, up, low and not up, before[1], before[0] if before[1] == "." else None] += 3
+    assert {tuple(r[:6]): r["n"] for r in counts.collect()} == want
+    # no expression is interpreted per word, and the tasks that read the texts only count
+    plan = counts._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = plan[max(i for i, line in enumerate(plan) if "Aggregate" in line) + 1:]
+    assert not any("lambdafunction" in line for line in plan) and not any("regexp_replace" in line for line in below)
