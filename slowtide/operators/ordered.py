@@ -9,6 +9,8 @@ from slowtide.operators.skew import join_null_safe
 from slowtide.session import write_once
 
 MAX_SERIES_ROWS = 5_000_000
+#: Rows worth a run of their own while there are fewer runs than shuffle partitions; rows may hold texts.
+RUN_ROWS = 10_000
 
 
 def first_rows(df: DataFrame, k: int, order: list[str], series: list[str] = ("series",)) -> DataFrame:
@@ -146,7 +148,9 @@ def running_total(
     """
     series, keys = list(series), [*series, "run"]
     rows, _ = _sizes(df, series)
-    runs = sorted_runs(df, [*series, *order], max(1, -(-rows // max_run_rows)))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n_runs = max(1, -(-rows // max_run_rows), min(tasks, -(-rows // RUN_ROWS)))
+    runs = sorted_runs(df, [*series, *order], n_runs)
     sizes = runs.groupBy(*keys).agg(F.sum(value).alias("__sum"))
     by_series = W.partitionBy(*series)
     starts = sizes.select(

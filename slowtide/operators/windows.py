@@ -10,6 +10,8 @@ from pyspark.sql import Window as W
 
 from slowtide.functions.vectors import check_dims, vector_sum
 from slowtide.operators.ordered import running_total
+from slowtide.operators.skew import lookup_join
+from slowtide.session import write_once
 
 UNITS = {
     "us": timedelta(microseconds=1),
@@ -72,17 +74,20 @@ def _steps(rows: DataFrame, every: Span, period: Span, time: str) -> tuple[DataF
     return cut, F.when(n > 0, back).otherwise(F.array().cast("array<timestamp_ntz>"))
 
 
-def _open_windows(windows: DataFrame, series: list[str], first_step: str) -> DataFrame:
-    """Drop windows that start before the first step with data of their series.
+def _open_windows(steps: DataFrame, firsts: DataFrame, starts: Column, series: list[str]) -> DataFrame:
+    """Copy steps to their windows ``window_start``, without windows that start before the first step of their series.
 
-    The first window of a series opens at its first row's step.
+    The first window of a series opens at its first row's step, the least ``__last`` in ``firsts``. Only
+    one row per series is joined: no task holds a series' windows.
     """
-    if series:
-        # few rows per series here (one per window), bounded by the calendar
-        first = F.min(first_step).over(W.partitionBy(*series))
-        return windows.withColumn("__first", first).where("window_start >= __first").drop("__first", first_step)
-    first = windows.agg(F.min(first_step))
-    return windows.where(F.col("window_start") >= first.scalar()).drop(first_step)
+    opened = lambda rows: rows.withColumn("window_start", F.explode(F.filter(starts, lambda s: s >= F.col("__first")))).drop("__first")
+    if not series:
+        return opened(steps.crossJoin(F.broadcast(firsts.agg(F.min("__last").alias("__first")))))
+    # a struct of nulls equals itself: rows without a series are one of their own
+    key = F.struct(*series)
+    first = write_once(firsts.groupBy(*series).agg(F.min("__last").alias("__first")).select(key.alias("__series"), "__first"), "first-steps")
+    size = first.agg(F.coalesce(F.sum(F.octet_length(F.to_json("__series")) + 64), F.lit(0))).first()[0]
+    return opened(lookup_join(steps.withColumn("__series", key), first, ["__series"], ["__step"], dim_bytes=size).drop("__series"))
 
 
 def _mean(total: str, n: str) -> Column:
@@ -118,15 +123,9 @@ def pool_windows(
         sums = rows.withColumn("window_start", step.start_of(F.col(time))).groupBy(*series, "window_start").agg(total, count)
     else:
         cut, starts = _steps(rows, step, length, time)
-        sums = _open_windows(
-            cut.groupBy(*series, "__step", "__last")
-            .agg(total, count)
-            .withColumn("window_start", F.explode(starts))
-            .groupBy(*series, "window_start")
-            .agg(vector_sum(F.col("total")).alias("total"), F.sum("n").alias("n"), F.min("__last").alias("__last")),
-            series,
-            "__last",
-        )
+        steps = write_once(cut.groupBy(*series, "__step", "__last").agg(total, count), "step-sums")
+        copied = _open_windows(steps, steps, starts, series)
+        sums = copied.groupBy(*series, "window_start").agg(vector_sum(F.col("total")).alias("total"), F.sum("n").alias("n"))
     return sums.select(*series, "window_start", "n", _mean("total", "n").alias(vector))
 
 
@@ -164,8 +163,7 @@ def join_texts(
     )
     if length.micros == step.micros:
         return _numbered(steps.withColumnRenamed("__step", "window_start"), [*series, "window_start"], text)
-    copied = steps.withColumn("window_start", F.explode(starts))
-    opened = _open_windows(copied, series, "__last")
+    opened = _open_windows(steps, sized, starts, series)
     window = [*series, "window_start"]
     # a window's steps and their parts: a few rows
     before = F.sum("__bytes").over(W.partitionBy(*window).orderBy("__step", "part")) - F.col("__bytes")

@@ -206,3 +206,39 @@ def test_a_vector_of_another_length_names_its_row(spark):
     )
     with pytest.raises(Exception, match="not 2 in row s 2024-01-02"):
         pool_windows(rows, "1d", dims=2).collect()
+
+
+@pytest.mark.parametrize("broadcast_bytes", [-1, 1 << 20])
+@pytest.mark.parametrize("series", [[], ["series"]])
+def test_no_task_holds_the_windows_of_a_series(spark, monkeypatch, broadcast_bytes, series):
+    from functools import partial
+
+    from slowtide.operators import ordered, windows
+
+    monkeypatch.setattr(windows, "lookup_join", partial(windows.lookup_join, broadcast_bytes=broadcast_bytes, rows_per_salt=7))
+    monkeypatch.setattr(ordered, "RUN_ROWS", 10)
+    runs, sorted_runs = [], ordered.sorted_runs
+    monkeypatch.setattr(ordered, "sorted_runs", lambda df, order, n: runs.append(n) or sorted_runs(df, order, n))
+    data = [(i, [None, "a", "a", "a", "b"][i % 5], D(2024, 1, 1) + dt.timedelta(hours=13 * i), f"t{i}", [float(i)]) for i in range(60)]
+    rows = spark.createDataFrame(data, SCHEMA)
+    texts, sums = {}, {}
+    for name in {r[1] if series else None for r in data}:
+        own = [r for r in data if not series or r[1] == name]
+        first = min(r[2] for r in own).replace(hour=0)
+        for i, _, date, msg, (v,) in own:
+            for back in range(3):
+                start = date.replace(hour=0) - dt.timedelta(days=back)
+                if start >= first:
+                    texts.setdefault((name, start), []).append(msg)
+                    sums.setdefault((name, start), []).append(v)
+    joined = join_texts(rows, "1d", "3d", series=series)
+    name = lambda r: r["series"] if series else None
+    assert {(name(r), r["window_start"]): r["msg"] for r in joined.collect()} == {k: " ".join(v) for k, v in texts.items()}
+    pooled = pool_windows(rows, "1d", "3d", series=series)
+    assert {(name(r), r["window_start"]): (r["n"], r["embedding"][0]) for r in pooled.collect()} == {
+        k: (len(v), pytest.approx(sum(v) / len(v))) for k, v in sums.items()
+    }
+    # sorted in several runs, and no window function over a whole series
+    assert runs and min(runs) > 1
+    plan = (joined._jdf.queryExecution().optimizedPlan().toString() + pooled._jdf.queryExecution().optimizedPlan().toString()).splitlines()
+    assert not any("Window [min(" in line for line in plan)
